@@ -1,2 +1,242 @@
-def queries(): return {}
-def oracle_sql(): return {}
+"""Splitting oversized items at natural boundaries by pointer doubling over successor tables."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from threadlake.sources.tables import latest_units, merged_posts, table
+
+LIMIT = 500
+OVERLAP = 60
+LEVELS = ("post", "line", "sentence", "word")
+MARKS = frozenset(".!?…")
+#: Code points of text that one vectorised chunk holds (a longer text makes a chunk of its own).
+CHUNK = 4_000_000
+_WORD = re.compile(r"\S+")
+
+
+def _words(text: str, post_starts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, and the level of the boundary before each: 0 post, 1 line, 2 sentence, 3 word."""
+    spans = np.array([m.span() for m in _WORD.finditer(text)], np.int64).reshape(-1, 2)
+    start, end = spans[:, 0], spans[:, 1]
+    level = np.full(len(start), 3, np.int8)
+    if len(start):
+        before = end[:-1].tolist()
+        gaps = [1 if "\n" in text[a:b] else 2 if text[a - 1] in MARKS else 3 for a, b in zip(before, start[1:].tolist())]
+        level[1:] = gaps
+        at = np.searchsorted(start, np.asarray(post_starts, np.int64))
+        level[at[at < len(start)]] = 0
+        level[0] = 0
+    return start, end, level
+
+
+def _blocks(start: np.ndarray, end: np.ndarray, level: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words longer than ``size`` cut into blocks; the boundaries inside a word have level 4."""
+    if not len(start) or (end - start).max() <= size:
+        return start, end, level
+    parts = -(-(end - start) // size)
+    k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    s = np.repeat(start, parts) + k * size
+    return s, np.minimum(s + size, np.repeat(end, parts)), np.where(k > 0, 4, np.repeat(level, parts)).astype(np.int8)
+
+
+def _reach(successor: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Marks what the chains from ``first`` visit: the successor table is squared until every chain stands still, then
+    the tables are applied from the longest jump to the shortest, each doubling the marked set."""
+    tables, at = [successor], successor[first]
+    while True:
+        last = tables[-1]
+        square = last[last]
+        if np.array_equal(square[first], at):
+            break
+        tables.append(square)
+        at = square[first]
+    marked = np.zeros(len(successor), bool)
+    marked[first] = True
+    for t in reversed(tables):
+        marked[t[np.flatnonzero(marked)]] = True
+    return marked
+
+
+def _last_at_or_before(flag: np.ndarray) -> np.ndarray:
+    return np.maximum.accumulate(np.where(flag, np.arange(len(flag)), -1))
+
+
+def split_texts(texts: list[str], post_starts: list[list[int]], limit: int = LIMIT, overlap: int = OVERLAP):
+    """For each text its cut level and its pieces as ``(start, end, repeated, level)`` in code points."""
+    block = limit - overlap
+    words = [_words(t, p) for t, p in zip(texts, post_starts)]
+    # One number line for all texts: every text gets its own far apart stretch of positions, so one search serves all.
+    offset = np.concatenate([[0], np.cumsum([len(t) + 2 * limit for t in texts])]).astype(np.int64)
+    raw = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*[(s + o, e + o, v) for (s, e, v), o in zip(words, offset)])]
+    count = np.array([len(w[0]) for w in words])
+    cut = np.full(len(texts), len(LEVELS))
+    for lv in range(len(LEVELS) - 1, -1, -1):
+        # Stretches of this level; the farthest successor of a stretch is found by one search over all ends.
+        heads = np.flatnonzero(raw[2] <= lv)
+        tails = np.append(heads[1:], len(raw[0])) - 1
+        doc = np.searchsorted(np.cumsum(count), heads, "right")
+        s, e = raw[0][heads], raw[1][tails]
+        own = np.flatnonzero(count > 0)
+        n = len(heads)
+        far = np.searchsorted(e, s + limit, "right")
+        stop = np.searchsorted(doc, doc, "right")
+        far = np.minimum(far, stop)  # the end of a text is the head of the next one: chains stop there
+        first = np.searchsorted(doc, own)
+        # a text's end state is n + its number; a stretch over the limit keeps its own place
+        target = np.where(far >= stop, n + doc, np.maximum(far, np.arange(n)))
+        target = np.concatenate([target, n + np.arange(len(texts))])
+        jump = target
+        while True:
+            square = jump[jump]
+            if np.array_equal(square[first], jump[first]):
+                break
+            jump = square
+        cut[own[jump[first] >= n]] = lv
+    # Pieces: mixed levels, the coarsest boundary in reach wins.
+    parts = [_blocks(*w, block) for w in words]
+    start, end, level = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*[(s + o, e + o, v) for (s, e, v), o in zip(parts, offset)])]
+    count = np.array([len(p[0]) for p in parts])
+    n = len(start)
+    out: list[list[tuple[int, int, int, str]]] = [[] for _ in texts]
+    if n:
+        doc = np.repeat(np.arange(len(texts)), count)
+        first = (np.cumsum(count) - count)[count > 0]
+        stop = np.cumsum(count)[doc]
+        begin = start.copy()
+        inner = np.ones(n, bool)
+        inner[first] = False
+        i = np.flatnonzero(inner)
+        back = end[i - 1] - overlap
+        is_word = level < 4
+        word_start = start[is_word]
+        w = np.searchsorted(word_start, back)
+        candidate = word_start[np.minimum(w, len(word_start) - 1)]
+        at_word = (w < len(word_start)) & (candidate < end[i - 1])
+        from_ = np.where(at_word, candidate, np.maximum(back, start[(np.cumsum(count) - count)[doc[i]]]))
+        from_ = np.where(end[i] - from_ > limit, start[i], from_)  # a long stretch of white space between the words
+        begin[i] = from_
+        far = np.minimum(np.searchsorted(end, begin + limit, "right"), stop)
+        boundary = np.append(level, 0)
+        boundary[np.cumsum(count)[count > 0]] = 0
+        successor, why = np.full(n, -1), np.full(n, 4)
+        for lv in range(5):
+            c = _last_at_or_before(boundary <= lv)[far]
+            use = (successor < 0) & (c > np.arange(n))
+            successor[use], why[use] = c[use], lv
+        target = np.where(successor >= stop, n + doc, successor)
+        target = np.concatenate([target, n + np.arange(len(texts))])
+        marked = np.flatnonzero(_reach(target, first)[:n])
+        names = [*LEVELS, "inside_word"]
+        o = offset[doc[marked]]
+        repeated = np.where(inner[marked], np.maximum(end[marked - 1] - begin[marked], 0), 0)
+        for d, a, b, r, y in zip(doc[marked].tolist(), (begin[marked] - o).tolist(), (end[successor[marked] - 1] - o).tolist(), repeated.tolist(), why[marked].tolist()):
+            out[d].append((a, b, r, names[y]))
+    return [([*LEVELS, "none"][c], p) for c, p in zip(cut, out)]
+
+
+def _kernel(limit: int, overlap: int):
+    piece = pa.struct([("piece_start", pa.int32()), ("piece_end", pa.int32()), ("repeated", pa.int32()), ("cut_at", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, texts, lengths = b.column("id").to_pylist(), b.column("full_text").to_pylist(), b.column("lengths").to_pylist()
+            i = 0
+            while i < len(texts):
+                j, size = i + 1, len(texts[i])
+                while j < len(texts) and size + len(texts[j]) <= CHUNK:
+                    size += len(texts[j])
+                    j += 1
+                starts = []
+                for t, ls in zip(texts[i:j], lengths[i:j]):
+                    ls = np.asarray(ls or [], np.int64)
+                    fits = len(ls) > 0 and ls.sum() + len(ls) - 1 == len(t)
+                    starts.append([0, *(np.cumsum(ls + 1)[:-1].tolist() if fits else [])])
+                found = split_texts(texts[i:j], starts, limit, overlap)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids[i:j]),
+                        pa.array([c for c, _ in found]),
+                        pa.array([[dict(zip(("piece_start", "piece_end", "repeated", "cut_at"), x)) for x in p] for _, p in found], pa.list_(piece)),
+                    ],
+                    names=["unit_id", "cut_level", "pieces"],
+                )
+                i = j
+
+    return run
+
+
+def split_units(units: DataFrame, posts: DataFrame, *, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """unit_id, cut_level, pieces of every unit whose text is longer than ``limit`` code points.
+
+    Per id the row with the latest ``built_at`` counts (see ``latest_units``). The stretches of its posts follow from the
+    lengths of ``posts.text`` in the order of ``continuation_ids_json``, so wrong, missing or repeated ``post_spans`` play
+    no part; only lengths are shuffled, never post texts. Where the lengths do not add up to the text (an unknown post, a
+    malformed list) the whole text counts as one stretch.
+
+    A piece runs to the farthest boundary of the coarsest kind within its ``limit``: post, line, sentence, word, else
+    inside an overlong word. Each piece after the first begins ``overlap`` code points before its predecessor's end, or
+    later if only so it begins at a word. Per batch of texts every boundary gets its farthest legal successor by one sorted
+    search; squaring the successor tables yields all greedy cuts at once.
+
+    Null, empty and short texts give no row; a text of white space alone gives no pieces (cut_level ``post``); ties and
+    repeated rows count once; empty tables give an empty result; other columns are ignored. A text is one row and is cut
+    where it lies, so a hot source or unit causes no large task.
+    """
+    latest = latest_units(units, "id", "continuation_ids_json", "full_text").filter(F.char_length("full_text") > limit)
+    members = latest.select("id", F.posexplode(F.concat(F.array("id"), F.coalesce(F.from_json("continuation_ids_json", "array<string>"), F.array().cast("array<string>")))).alias("k", "post_id"))
+    lengths = (
+        merged_posts(posts.select("id", F.char_length("text").alias("n")), "id", "n").filter("n > 0").withColumnRenamed("id", "post_id")
+    )
+    stretches = (
+        members.join(lengths, "post_id")
+        .groupBy("id")
+        .agg(F.array_sort(F.collect_list(F.struct("k", "n"))).alias("s"))
+        .select("id", F.col("s.n").alias("lengths"))
+    )
+    rows = latest.select("id", "full_text").join(stretches, "id", "left")
+    return rows.mapInArrow(
+        _kernel(limit, overlap),
+        "unit_id string, cut_level string, pieces array<struct<piece_start:int,piece_end:int,repeated:int,cut_at:string>>",
+    )
+
+
+def pieces(units: DataFrame, posts: DataFrame, **options) -> DataFrame:
+    """unit_id, piece_no, piece_start, piece_end, repeated, cut_at, piece: the pieces with their texts."""
+    cut = split_units(units, posts, **options).select("unit_id", F.posexplode("pieces").alias("piece_no", "p"))
+    text = latest_units(units, "id", "full_text").withColumnRenamed("id", "unit_id")
+    return cut.join(text, "unit_id").select(
+        "unit_id", "piece_no", "p.*", F.substring("full_text", F.col("p.piece_start") + 1, F.col("p.piece_end") - F.col("p.piece_start")).alias("piece")
+    )
+
+
+def _found(spark, d):
+    return split_units(table(spark, d, "content_units"), table(spark, d, "posts")).select("unit_id", "cut_level")
+
+
+def queries() -> dict:
+    return {"p1_found": _found, "p1_pieces": lambda s, d: pieces(table(s, d, "content_units"), table(s, d, "posts"))}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p1_found": r"""
+WITH u AS (SELECT id, arg_max(full_text, built_at) AS t, arg_max(continuation_ids_json, built_at) AS c FROM content_units GROUP BY id),
+l AS (SELECT * FROM u WHERE length(t) > 500),
+p AS (SELECT id, max(text) AS text FROM posts GROUP BY id HAVING max(text) <> ''),
+m AS (SELECT id, id AS post_id FROM l UNION ALL SELECT id, unnest(from_json(c, '["VARCHAR"]')) FROM l),
+s0 AS (SELECT m.id, p.text AS x FROM m JOIN p ON p.id = m.post_id),
+s1 AS (SELECT id, unnest(string_split(x, chr(10))) AS x FROM s0),
+s2 AS (SELECT id, unnest(string_split(regexp_replace(x, '([.!?…])\s', '\1' || chr(10), 'g'), chr(10))) AS x FROM s1),
+s3 AS (SELECT id, unnest(regexp_split_to_array(x, '\s')) AS x FROM s2),
+n AS (SELECT id, 0 AS lv, x FROM s0 UNION ALL SELECT id, 1, x FROM s1 UNION ALL SELECT id, 2, x FROM s2 UNION ALL SELECT id, 3, x FROM s3),
+g AS (SELECT id, lv, max(length(regexp_replace(x, '^\s+|\s+$', '', 'g'))) AS longest FROM n GROUP BY id, lv)
+SELECT l.id AS unit_id, coalesce(list_extract(['post', 'line', 'sentence', 'word'], (min(lv) FILTER (longest <= 500) + 1)::INT), 'none') AS cut_level
+FROM l LEFT JOIN g ON l.id = g.id GROUP BY l.id"""
+    }
