@@ -1,2 +1,289 @@
-def queries(): return {}
-def oracle_sql(): return {}
+"""Similarity clusters by Markov clustering on a graph of grid cells, with an exact merge of touching clusters."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from threadlake.plans.lineage import Stages
+from threadlake.sources.tables import latest_units, table
+
+STEP = 0.8
+LEAST = 8
+INFLATION = 2.0
+#: Entries below this are pruned from the flow matrix; of the rest a column keeps the largest ``KEEP``.
+PRUNE = 1e-3
+KEEP = 12
+ROUNDS = 30
+REPRESENTATIVES = 3
+#: Each refinement cuts a box into 8 parts per axis.
+REFINE = 8
+
+AXES = ("x", "y", "z")
+_LOW, _HIGH, _REP = [f"lo_{a}" for a in AXES], [f"hi_{a}" for a in AXES], [f"at_{a}" for a in AXES]
+
+
+def _keys(side: float, level: int) -> list:
+    """Grid coordinates of a point; scaling by a power of two is exact, so finer boxes nest in coarser ones."""
+    return [F.floor(F.col(a) * F.lit(float(REFINE**level)) / F.lit(side)).cast("long").alias(f"k{level}{a}") for a in AXES]
+
+
+def points_of(units: DataFrame) -> DataFrame:
+    """unit_id, x, y, z of the latest rows whose coordinates are all there and finite."""
+    at = latest_units(units, "id", "umap_x", "umap_y", "umap_z").select(F.col("id").alias("unit_id"), *[F.col(f"umap_{a}").cast("double").alias(a) for a in AXES])
+    for a in AXES:
+        at = at.filter(F.col(a).isNotNull() & ~F.isnan(a) & (F.abs(a) < 1e12))
+    return at
+
+
+def _box_columns() -> list:
+    first = F.min(F.struct(*AXES))
+    return [
+        *[F.min(a).alias(f"lo_{a}") for a in AXES],
+        *[F.max(a).alias(f"hi_{a}") for a in AXES],
+        *[first[a].alias(f"at_{a}") for a in AXES],
+    ]
+
+
+def _gap2(a: str, b: str):
+    """Squared least distance of two boxes, squared greatest distance, squared distance of their sample points."""
+    near, far, real = F.lit(0.0), F.lit(0.0), F.lit(0.0)
+    for x in AXES:
+        lo1, hi1, lo2, hi2 = (F.col(f"{p}.{q}_{x}") for p, q in ((a, "lo"), (a, "hi"), (b, "lo"), (b, "hi")))
+        d = F.greatest(lo1 - hi2, lo2 - hi1, F.lit(0.0))
+        e = F.greatest(hi1 - lo2, hi2 - lo1)
+        r = F.col(f"{a}.at_{x}") - F.col(f"{b}.at_{x}")
+        near, far, real = near + d * d, far + e * e, real + r * r
+    return near, far, real
+
+
+def _judged(pairs: DataFrame, step: float) -> DataFrame:
+    """a_cell, b_cell, a (box), b (box) with ``link``: true, false, or null if the boxes alone cannot tell."""
+    near, far, real = _gap2("a", "b")
+    single = (F.col("a.lo_x") == F.col("a.hi_x")) & (F.col("a.lo_y") == F.col("a.hi_y")) & (F.col("a.lo_z") == F.col("a.hi_z"))
+    for x in AXES:
+        single = single & (F.col(f"b.lo_{x}") == F.col(f"b.hi_{x}"))
+    # The sample points decide with the very comparison that defines a step; box bounds get a slack for rounding.
+    slack = step * step * 1e-9
+    return pairs.withColumn(
+        "link", F.when(F.sqrt(real) <= step, True).when(near > step * step + slack, False).when(far < step * step - slack, True).when(single, False)
+    )
+
+
+def _linked_cells(points: DataFrame, cells: DataFrame, side: float, step: float, stages: Stages) -> DataFrame:
+    """Pairs (a_cell < b_cell) of occupied cells that hold two points within one step.
+
+    Only cells up to two apart per axis are paired (62 half offsets), by an equality join on the shifted grid coordinates.
+    Boxes around the cells' points settle most pairs; the rest is refined into sub-boxes, of which a box has at most
+    8 * 8 * 8 however many points it holds, until every pair is settled by bounds or by two actual points.
+    """
+    reach = range(-2, 3)
+    offsets = [(i, j, k) for i in reach for j in reach for k in reach if (i, j, k) > (0, 0, 0)]
+    box = [F.struct(*_LOW, *_HIGH, *_REP).alias("box")]
+    base = cells.select("cell", "k0x", "k0y", "k0z", *box)
+    shift = F.explode(F.array(*[F.struct(*[F.lit(o).cast("long").alias(f"d{a}") for o, a in zip(off, AXES)]) for off in offsets])).alias("o")
+    left = base.select(F.col("cell").alias("a_cell"), F.col("box").alias("a"), *[F.col(f"k0{x}") for x in AXES], shift)
+    left = left.select("a_cell", "a", *[(F.col(f"k0{x}") + F.col(f"o.d{x}")).alias(f"k0{x}") for x in AXES])
+    right = base.select(F.col("cell").alias("b_cell"), F.col("box").alias("b"), "k0x", "k0y", "k0z")
+    judged = _judged(left.join(right, ["k0x", "k0y", "k0z"]).select("a_cell", "b_cell", "a", "b"), step).filter(F.col("link").isNull() | F.col("link"))
+    judged = stages.keep(judged)
+    found = [judged.filter("link").select("a_cell", "b_cell")]
+    open_ = judged.filter("link is null").select("a_cell", "b_cell", F.col("a_cell").alias("a_box"), F.col("b_cell").alias("b_box"))
+    inside = points.select("cell", F.col("cell").alias("box"), *AXES).distinct()
+    level = 1
+    while not open_.isEmpty():
+        wanted = open_.select(F.col("a_box").alias("box")).union(open_.select(F.col("b_box").alias("box"))).distinct()
+        inside = stages.keep(
+            inside.join(wanted, "box", "left_semi").select("cell", "box", *AXES, F.concat_ws("/", "box", *_keys(side, level)).alias("sub"))
+        )
+        subs = inside.groupBy("box", "sub").agg(*_box_columns()).select("box", "sub", F.struct(*_LOW, *_HIGH, *_REP).alias("s"))
+        a = subs.select(F.col("box").alias("a_box"), F.col("sub").alias("a_sub"), F.col("s").alias("a"))
+        b = subs.select(F.col("box").alias("b_box"), F.col("sub").alias("b_sub"), F.col("s").alias("b"))
+        judged = _judged(open_.join(a, "a_box").join(b, "b_box"), step).filter(F.col("link").isNull() | F.col("link"))
+        judged = stages.keep(judged.select("a_cell", "b_cell", F.col("a_sub").alias("a_box"), F.col("b_sub").alias("b_box"), "link"))
+        yes = stages.keep(judged.filter("link").select("a_cell", "b_cell").distinct())
+        found.append(yes)
+        open_ = stages.keep(judged.filter("link is null").drop("link").join(yes, ["a_cell", "b_cell"], "left_anti"))
+        inside = inside.select("cell", F.col("sub").alias("box"), *AXES)
+        level += 1
+    out = found[0]
+    for f in found[1:]:
+        out = out.union(f)
+    low, high = F.least("a_cell", "b_cell"), F.greatest("a_cell", "b_cell")
+    return stages.keep(out.select(low.alias("a_cell"), high.alias("b_cell")).distinct())
+
+
+def _columns(rows: DataFrame, inflation: float, prune: float, keep: int) -> DataFrame:
+    """(col, row, v) entries, summed per entry before: inflated, small ones pruned, columns normalized."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            lists, values = b.column("rows"), b.column("vals").flatten().to_numpy()
+            size = np.diff(lists.offsets.to_numpy())
+            names = lists.flatten()
+            col = np.repeat(np.arange(b.num_rows), size)
+            v = values**inflation
+            v = v / np.bincount(col, v)[col]
+            order = np.lexsort((names.to_numpy(zero_copy_only=False).astype(str), -v, col))
+            rank = np.empty(len(v), np.int64)
+            rank[order] = np.arange(len(v)) - np.repeat(np.cumsum(size) - size, size)
+            ok = (rank < keep) & ((v >= prune) | (rank == 0))
+            col, v, names = col[ok], v[ok], names.filter(pa.array(ok))
+            v = v / np.bincount(col, v, minlength=b.num_rows)[col]
+            top = np.zeros(b.num_rows)
+            np.maximum.at(top, col, v)
+            unsettled = (top - np.bincount(col, v * v, minlength=b.num_rows))[col]
+            yield pa.RecordBatch.from_arrays([b.column("col").take(pa.array(col)), names, pa.array(v), pa.array(unsettled)], names=["col", "row", "v", "chaos"])
+
+    lists = rows.groupBy("col").agg(F.collect_list("row").alias("rows"), F.collect_list("v").alias("vals"))
+    return lists.mapInArrow(run, "col string, row string, v double, chaos double")
+
+
+def markov_clusters(cells: DataFrame, links: DataFrame, stages: Stages, *, inflation: float = INFLATION, prune: float = PRUNE, keep: int = KEEP, rounds: int = ROUNDS) -> DataFrame:
+    """cell, cluster, flow: Markov clustering of the weighted cell graph.
+
+    The flow matrix starts from Gaussian similarities of the cells' centres, weighted by the mass of the cell that flow
+    enters, with a self loop per cell. Expansion squares it by one sparse join on the middle index; the products are summed
+    map-side before the shuffle. Inflation and pruning bound every column by ``keep`` entries, so a round costs at most
+    keep * keep products per cell. It ends when every column has settled. The strongest row of a column is its attractor.
+    """
+    near = cells.select(F.col("cell").alias("a_cell"), F.struct(*AXES, "n").alias("p"))
+    far = cells.select(F.col("cell").alias("b_cell"), F.struct(*AXES, "n").alias("q"))
+    d2 = F.lit(0.0)
+    for x in AXES:
+        d2 = d2 + (F.col(f"p.{x}") - F.col(f"q.{x}")) * (F.col(f"p.{x}") - F.col(f"q.{x}"))
+    alike = F.exp(-d2 / (2 * STEP * STEP / 4))
+    w = links.join(near, "a_cell").join(far, "b_cell").select("a_cell", "b_cell", alike.alias("s"), F.col("p.n").alias("m"), F.col("q.n").alias("n"))
+    entries = (
+        w.select(F.col("a_cell").alias("col"), F.col("b_cell").alias("row"), (F.col("s") * F.sqrt("n")).alias("v"))
+        .union(w.select(F.col("b_cell"), F.col("a_cell"), F.col("s") * F.sqrt("m")))
+        .union(cells.select(F.col("cell"), F.col("cell"), F.sqrt("n")))
+    )
+    flow = stages.keep(_columns(entries, 1.0, prune, keep))
+    for _ in range(rounds):
+        left = flow.select(F.col("col").alias("mid"), "row", F.col("v").alias("v1"))
+        right = flow.select("col", F.col("row").alias("mid"), F.col("v").alias("v2"))
+        squared = right.join(left, "mid").groupBy("col", "row").agg(F.sum(F.col("v1") * F.col("v2")).alias("v"))
+        new = stages.keep(_columns(squared, inflation, prune, keep))
+        stages.drop(flow)
+        flow = new
+        if flow.filter("chaos > 0.001").isEmpty():
+            break
+    strongest = flow.groupBy("col").agg(F.max(F.struct(F.round("v", 9).alias("v"), F.col("row"))).alias("x")).select(F.col("col").alias("cell"), F.col("x.row").alias("cluster"), F.col("x.v").alias("flow"))
+    strongest = stages.keep(strongest)
+    # Several attractors of one cluster may point at each other: follow them to the smallest one.
+    return connected(strongest.select(F.col("cell").alias("a"), F.col("cluster").alias("b")).filter("a <> b"), strongest.select(F.col("cell").alias("v")), stages).join(
+        strongest.withColumnRenamed("cell", "v"), "v"
+    ).select(F.col("v").alias("cell"), F.col("label").alias("cluster"), "flow")
+
+
+def connected(edges: DataFrame, vertices: DataFrame, stages: Stages) -> DataFrame:
+    """v, label: the smallest vertex reachable over the edges.
+
+    Every round takes the smallest label among the neighbours (a map-side combined minimum) and then follows labels of
+    labels, so long chains shrink by a factor each round; it ends when no label moves.
+    """
+    both = stages.keep(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = stages.keep(vertices.select("v", F.col("v").alias("label")))
+    while True:
+        heard = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("heard"))
+        lower = labels.join(heard, "v", "left").select("v", "label", F.least("label", "heard").alias("new"))
+        hop = labels.select(F.col("v").alias("new"), F.col("label").alias("onward"))
+        moved = stages.keep(lower.join(hop, "new").select("v", "label", F.least("new", "onward").alias("new")))
+        stages.drop(labels)
+        labels = moved.select("v", F.col("new").alias("label"))
+        if moved.filter("new <> label").isEmpty():
+            return labels
+        labels = stages.keep(labels)
+
+
+class Clusters:
+    """``members``: unit_id, x, y, z, cell, cluster, flow, group (cluster of clusters that touch)."""
+
+    def __init__(self, members: DataFrame):
+        self.members = members
+
+
+def cluster_units(units: DataFrame, *, step: float = STEP) -> Clusters:
+    """Markov clusters of the units with coordinates, and the groups that touching clusters form.
+
+    Points of one grid cell (side step / sqrt 3) are surely within a step of each other and become one weighted node, so
+    the graph grows with occupied space, not with rows: a cell with a third of all rows is one node. Cells that hold two
+    points within a step are linked exactly (see ``_linked_cells``). Markov clustering cuts the graph into clusters
+    (``markov_clusters``). Flow never leaves a connected part, so every part is a union of clusters; the exact check after
+    it joins clusters between which a link remains.
+
+    Per id the latest row counts; units with a null, NaN or infinite coordinate, or one beyond 1e12, take no part; equal
+    coordinates are fine; an empty table gives empty results; other columns are ignored.
+    """
+    spark = units.sparkSession
+    stages = Stages(spark, "clusters")
+    side = step / 3**0.5 * (1 - 1e-9)
+    at = stages.keep(points_of(units).select("unit_id", *AXES, *_keys(side, 0)))
+    cells = stages.keep(
+        at.groupBy("k0x", "k0y", "k0z").agg(F.min("unit_id").alias("cell"), F.count("*").cast("double").alias("n"), *[F.avg(a).alias(f"mean_{a}") for a in AXES], *_box_columns())
+    )
+    points = stages.keep(at.join(cells.select("k0x", "k0y", "k0z", "cell"), ["k0x", "k0y", "k0z"]).select("unit_id", *AXES, "cell"))
+    links = _linked_cells(points, cells, side, step, stages)
+    centres = cells.select("cell", "n", *[F.col(f"mean_{a}").alias(a) for a in AXES])
+    flow = stages.keep(markov_clusters(centres, links, stages))
+    of = flow.select("cell", "cluster")
+    between = (
+        links.join(of.select(F.col("cell").alias("a_cell"), F.col("cluster").alias("a")), "a_cell")
+        .join(of.select(F.col("cell").alias("b_cell"), F.col("cluster").alias("b")), "b_cell")
+        .filter("a <> b")
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .distinct()
+    )
+    groups = connected(stages.keep(between), of.select(F.col("cluster").alias("v")).distinct(), stages)
+    joined = flow.join(groups.select(F.col("v").alias("cluster"), F.col("label").alias("group")), "cluster")
+    return Clusters(points.join(joined, "cell").select("unit_id", *AXES, "cell", "cluster", "flow", "group"))
+
+
+def found(units: DataFrame, *, step: float = STEP, least: int = LEAST) -> DataFrame:
+    """unit_a (smallest id of a group of at least ``least`` units), unit_b (each other member)."""
+    members = Stages(units.sparkSession, "members").keep(cluster_units(units, step=step).members.select("unit_id", "group"))
+    groups = members.groupBy("group").agg(F.min("unit_id").alias("unit_a"), F.count("*").alias("n")).filter(F.col("n") >= least)
+    return members.join(groups, "group").filter(F.col("unit_id") != F.col("unit_a")).select("unit_a", F.col("unit_id").alias("unit_b"))
+
+
+def summaries(units: DataFrame, *, step: float = STEP, representatives: int = REPRESENTATIVES) -> DataFrame:
+    """cluster (smallest unit id), n_units, representatives: the members with the strongest flow into the attractor, the
+    nearer to the cluster's centre first, then by id. The best of 64 salted parts of a cluster are found before the whole."""
+    members = Stages(units.sparkSession, "members").keep(cluster_units(units, step=step).members)
+    centres = members.groupBy("cluster").agg(F.min("unit_id").alias("first_unit"), F.count("*").alias("n_units"), *[F.avg(a).alias(f"c_{a}") for a in AXES])
+    d2 = sum(((F.col(a) - F.col(f"c_{a}")) * (F.col(a) - F.col(f"c_{a}")) for a in AXES), F.lit(0.0))
+    scored = members.join(centres, "cluster").select("first_unit", "n_units", "unit_id", (-F.col("flow")).alias("minus_flow"), d2.alias("d2"))
+    cell = F.struct("minus_flow", "d2", "unit_id")
+    salt = F.pmod(F.xxhash64("unit_id"), F.lit(64))
+    part = Window.partitionBy("first_unit", "salt").orderBy("minus_flow", "d2", "unit_id")
+    few = scored.withColumn("salt", salt).withColumn("k", F.row_number().over(part)).filter(F.col("k") <= representatives)
+    return few.groupBy("first_unit", "n_units").agg(F.slice(F.array_sort(F.collect_list(cell)), 1, representatives).alias("r")).select(
+        F.col("first_unit").alias("cluster"), "n_units", F.to_json("r.unit_id").alias("representatives")
+    )
+
+
+def queries() -> dict:
+    return {
+        "p4_found": lambda s, d: found(table(s, d, "content_units")),
+        "p4_clusters": lambda s, d: summaries(table(s, d, "content_units")),
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p4_found": """
+WITH RECURSIVE u AS (SELECT id, arg_max(struct_pack(x := umap_x, y := umap_y, z := umap_z), built_at) AS p FROM content_units GROUP BY id),
+k AS (SELECT id, p.x AS x, p.y AS y, p.z AS z FROM u WHERE p.x IS NOT NULL AND p.y IS NOT NULL AND p.z IS NOT NULL),
+e AS (SELECT a.id AS a, b.id AS b FROM k a JOIN k b ON sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) <= 0.8),
+r AS (SELECT id AS a, id AS b FROM k UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+g AS (SELECT b AS id, min(a) AS unit_a FROM r GROUP BY b),
+n AS (SELECT unit_a FROM g GROUP BY unit_a HAVING count(*) >= 8)
+SELECT unit_a, id AS unit_b FROM g WHERE unit_a IN (SELECT unit_a FROM n) AND id <> unit_a"""
+    }
