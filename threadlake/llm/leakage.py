@@ -1,2 +1,228 @@
-def queries(): return {}
-def oracle_sql(): return {}
+"""Evaluation texts that leaked into a corpus: seeded n-gram scan, exact verification, removal of spans."""
+
+from __future__ import annotations
+
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
+import regex
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from threadlake.llm.text import fold, words
+from threadlake.sources.tables import table
+
+#: Words of the n-grams in the broadcast set. A stretch of m >= 14 words with at most m / 7 edits always holds three of them.
+SEED = 4
+SEEDS_NEEDED = 3
+LEAST_WORDS = 14
+#: One word in so many may be altered, left out or added.
+ONE_IN = 7
+#: Any longer leak holds one of at most 2 * LEAST_WORDS - 1 words with the same share of edits, so this many edits suffice.
+MOST_EDITS = (2 * LEAST_WORDS - 1) // ONE_IN
+#: Characters of evaluation texts per broadcast; a larger collection is scanned in several passes.
+BLOCK_CHARS = 8_000_000
+
+#: A word with the invisible and control characters inside it.
+_TOKEN = regex.compile(r"[\p{L}\p{N}\p{M}\p{Cf}\x00-\x08\x0e-\x1b\x7f-\x84\x86-\x9f]+")
+
+
+class Folded:
+    """Folded words of texts with their places; words seen before are looked up."""
+
+    def __init__(self):
+        self.known: dict[str, tuple[str, ...]] = {}
+
+    def __call__(self, text: str) -> tuple[list[str], list[tuple[int, int]]]:
+        out, spans, known = [], [], self.known
+        for m in _TOKEN.finditer(text):
+            token = m.group()
+            w = known.get(token)
+            if w is None:
+                if len(known) > 400_000:
+                    known.clear()
+                w = known[token] = tuple(words(fold(token)))
+            for x in w:
+                out.append(x)
+                spans.append(m.span())
+        return out, spans
+
+
+class LeakIndex:
+    """Seeds of evaluation items and the check of their surroundings."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        self.fold = Folded()
+        self.ids = [i for i, _ in items]
+        self.number: dict[str, int] = {}
+        self.texts: list[list[int]] = []
+        self.seeds: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
+        for k, (_, text) in enumerate(items):
+            w = [self.number.setdefault(x, len(self.number)) for x in self.fold(text)[0]]
+            self.texts.append(w)
+            if len(w) >= LEAST_WORDS:
+                for p in range(len(w) - SEED + 1):
+                    self.seeds[tuple(w[p : p + SEED])].append((k, p))
+        self.seeds = dict(self.seeds)
+
+    def _extend(self, item: list[int], doc: list[int], i0: int, j0: int) -> tuple[int, int] | None:
+        """Furthest end (item, doc) of an alignment from a matching pair that keeps to the allowed share of edits."""
+
+        def slide(i, j):
+            while i < len(item) and j < len(doc) and item[i] == doc[j]:
+                i, j = i + 1, j + 1
+            return i
+
+        best = None
+        reach = {0: slide(i0, j0)}  # by diagonal: how far the item is used up
+        base = j0 - i0
+        for edits in range(MOST_EDITS + 1):
+            for d, i in reach.items():
+                m = i - i0
+                if m >= LEAST_WORDS and ONE_IN * edits <= m and item[i - 1] == doc[i + base + d - 1] and (best is None or i > best[0]):
+                    best = (i, i + base + d)
+            if edits == MOST_EDITS:
+                break
+            longer: dict[int, int] = {}
+            for d, i in reach.items():
+                for d2, i2 in ((d, i + 1), (d - 1, i + 1), (d + 1, i)):  # altered, left out, added
+                    if i2 <= len(item) and 0 <= i2 + base + d2 <= len(doc):
+                        longer[d2] = max(longer.get(d2, -1), i2)
+            reach = {d: slide(i, i + base + d) for d, i in longer.items()}
+        return best
+
+    def _check(self, item: list[int], doc: list[int], hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Word spans of the document that hold a leak; hits: (item place, doc place) of seeds, by doc place."""
+        spans, i = [], 0
+        while i < len(hits):
+            # seeds that one alignment of at most 2 * LEAST_WORDS - 1 words could join
+            p0, j0 = hits[i]
+            near = [(p, j) for p, j in hits[i:] if j - j0 < 2 * LEAST_WORDS and abs((j - p) - (j0 - p0)) <= MOST_EDITS]
+            if len({p for p, _ in near}) >= SEEDS_NEEDED:
+                reach = LEAST_WORDS + MOST_EDITS
+                found = None
+                for j in range(max(0, j0 - reach), j0 + 1):
+                    for d in range(-MOST_EDITS, MOST_EDITS + 1):
+                        p = j - (j0 - p0) + d
+                        if 0 <= p < len(item) and item[p] == doc[j] and not (p and j and item[p - 1] == doc[j - 1]):
+                            if (end := self._extend(item, doc, p, j)) and (found is None or end[1] - j > found[1] - found[0]):
+                                found = (j, end[1])
+                if found:
+                    spans.append(found)
+            i += 1
+        return spans
+
+    def scan(self, text: str | None) -> tuple[dict[int, list[tuple[int, int]]], list[tuple[int, int]]]:
+        """Item id -> word spans; and the places of the words."""
+        if not text:
+            return {}, []
+        w, places = self.fold(text)
+        if len(w) < LEAST_WORDS - LEAST_WORDS // ONE_IN:
+            return {}, places
+        get, seeds = self.number.get, self.seeds
+        doc = [get(x, -1) for x in w]
+        hits = defaultdict(list)
+        for j, key in enumerate(zip(doc, doc[1:], doc[2:], doc[3:])):
+            for k, p in seeds.get(key, ()):
+                hits[k].append((p, j))
+        out = {}
+        for k, h in hits.items():
+            if len(h) >= SEEDS_NEEDED and (spans := self._check(self.texts[k], doc, h)):
+                out[self.ids[k]] = spans
+        return out, places
+
+
+_INDEX: dict[int, LeakIndex] = {}
+
+
+def _index(shared) -> LeakIndex:
+    items = shared.value
+    key = hash(tuple(items))
+    if key not in _INDEX:
+        _INDEX[key] = LeakIndex(items)
+    return _INDEX[key]
+
+
+def _spans(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = _index(shared).scan
+        for b in batches:
+            doc, item, start, end = [], [], [], []
+            for d, t in zip(b.column("doc_id"), b.column("text")):
+                found, places = scan(t.as_py())
+                for k, spans in found.items():
+                    for a, z in spans:
+                        doc.append(d.as_py())
+                        item.append(k)
+                        start.append(places[a][0])
+                        end.append(places[z - 1][1])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc, pa.int64()), pa.array(item, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["doc_id", "item_id", "leak_start", "leak_end"]
+            )
+
+    return run
+
+
+def leak_spans(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id, leak_start, leak_end (code points of text): overlapping stretches that an item leaked to.
+
+    At least 14 consecutive words of the item stand in the document in order, from a word to a word that are intact, with
+    at most one in seven altered, left out or added. Words are compared in folded form: case, accents, punctuation,
+    symbols, spacing, Unicode form, invisible and control characters do not matter.
+
+    The items' four-word sequences are broadcast as a hash set and every document's windows are scanned for them where the
+    document lies, without a shuffle; three of them on neighbouring diagonals lead to an exact alignment. Items larger than
+    one broadcast block are scanned block by block. Null, empty and short texts and items give no rows; a repeated document
+    row gives its rows again; empty tables give an empty result; other columns are ignored.
+    """
+    spark = documents.sparkSession
+    given = items.select("item_id", "text").filter(F.col("text").isNotNull() & F.col("item_id").isNotNull())
+    chars = given.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(1, -(-chars // BLOCK_CHARS))
+    out = None
+    for k in range(blocks):
+        rows = given.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).distinct().orderBy("item_id", "text").collect()
+        shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in rows])
+        part = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_spans(shared), "doc_id long, item_id long, leak_start int, leak_end int")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def found(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id of every leak, once. Spans of one pair come from one task, so this distinct combines map-side."""
+    return leak_spans(documents, items).select("doc_id", "item_id").distinct()
+
+
+def report(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """item_id, n_documents, n_spans of the items that leaked."""
+    return leak_spans(documents, items).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.count("*").alias("n_spans"))
+
+
+def cleaned(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, text of every document that leaks were found in, with the leaked spans cut out.
+
+    Overlapping spans are merged per document before the cut; the number of spans is bounded by the document's own words.
+    """
+    spans = leak_spans(documents, items).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("leak_start", "leak_end"))).alias("spans"))
+    hit = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(spans, "doc_id")
+    step = F.aggregate(
+        "spans",
+        F.struct(F.lit("").alias("kept"), F.lit(0).alias("at")),
+        lambda s, x: F.struct(
+            F.concat(s["kept"], F.col("text").substr(s["at"] + 1, F.greatest(x["leak_start"] - s["at"], F.lit(0)))).alias("kept"),
+            F.greatest(s["at"], x["leak_end"]).alias("at"),
+        ),
+    )
+    return hit.withColumn("s", step).select("doc_id", F.concat(F.col("s.kept"), F.col("text").substr(F.col("s.at") + 1, F.char_length("text"))).alias("text"))
+
+
+def queries() -> dict:
+    def both(f):
+        return lambda s, d: f(table(s, d, "documents"), table(s, d, "eval_items"))
+
+    return {"p8_found": both(found), "p8_report": both(report), "p8_cleaned": both(cleaned)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
