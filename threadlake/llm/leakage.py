@@ -108,8 +108,13 @@ class LeakIndex:
                         if 0 <= p < len(item) and item[p] == doc[j] and not (p and j and item[p - 1] == doc[j - 1]):
                             if (end := self._extend(item, doc, p, j)) and (found is None or end[1] - j > found[1] - found[0]):
                                 found = (j, end[1])
-                if found:
+                if found and spans and found[0] <= spans[-1][1]:
+                    spans[-1] = (min(spans[-1][0], found[0]), max(spans[-1][1], found[1]))
+                elif found:
                     spans.append(found)
+                if found:  # seeds inside the span cannot add to it, but those at its end may
+                    while i + 1 < len(hits) and hits[i + 1][1] < found[1] - 2 * LEAST_WORDS:
+                        i += 1
             i += 1
         return spans
 
@@ -165,7 +170,7 @@ def _spans(shared):
 
 
 def leak_spans(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, leak_start, leak_end (code points of text): overlapping stretches that an item leaked to.
+    """doc_id, item_id, leak_start, leak_end (code points of text): the stretches that an item leaked to, overlapping ones joined.
 
     At least 14 consecutive words of the item stand in the document in order, from a word to a word that are intact, with
     at most one in seven altered, left out or added. Words are compared in folded form: case, accents, punctuation,
