@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlake.llm.text import fold, letter_runs, sentences
+from threadlake.llm.text import fold, letter_runs, sentences, without_links
 from threadlake.sources.tables import latest_units, table
 
 LANGUAGES = ("en", "fr", "vi")
@@ -39,7 +39,6 @@ MARGIN = 1.04
 #: Words per unit of decision where a stretch has no punctuation.
 WINDOW = 6
 
-_DROP = regex.compile(r"https?://\S+|www\.\S+|[#@][\p{L}\p{N}_]+")
 _CLAUSE = regex.compile(r"[,;:()\"«»“”]+\s*")
 
 
@@ -58,7 +57,7 @@ def label_language(label: str | None) -> str | None:
 def chunks(text: str) -> list[tuple[int, str, int]]:
     """(sentence number, folded words, number of words) of the clauses of a text; long ones in windows."""
     out = []
-    for k, sentence in enumerate(sentences(_DROP.sub(" ", text))):
+    for k, sentence in enumerate(sentences(without_links(text))):
         for clause in _CLAUSE.split(fold(sentence)):
             w = letter_runs(clause)
             parts = max(1, round(len(w) / (1.5 * WINDOW))) if len(w) > 2 * WINDOW else 1

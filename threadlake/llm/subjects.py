@@ -1,2 +1,355 @@
-def queries(): return {}
-def oracle_sql(): return {}
+"""Subject areas of documents: averaged word and subword embeddings with independent logistic outputs."""
+
+from __future__ import annotations
+
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from threadlake.llm.text import fold, sentences, visible, without_links, words
+from threadlake.plans.lineage import Stages
+from threadlake.sources.tables import table
+
+#: Hashed rows of the embedding table and their width.
+BUCKETS, WIDTH = 1 << 16, 16
+#: Labelled documents that the model is fitted on at most (chosen by hash), and shards their gradients come from.
+SAMPLE, SHARDS = 20_000, 6
+#: Rounds of fitting whole documents, then sentences with the labels their document allows; a shard's steps per round.
+DOCUMENT_ROUNDS, SENTENCE_ROUNDS = 4, 5
+DOCUMENT_STEPS, SENTENCE_STEPS, BATCH, RATE = 100, 300, 48, 0.2
+#: Logit under which a sentence of a labelled document counts as small talk.
+UNLIKELY = -4.0
+#: Share of a document's sentences that must deal with a subject.
+SHARE = 1 / 3
+#: Stretches without punctuation are judged in windows of about so many words.
+WINDOW, LONGEST = 16, 40
+#: Stretches of fewer words are joined with the next.
+SHORTEST = 5
+NGRAMS = (4,)
+
+
+def units_of(text: str | None) -> list[list[str]]:
+    """Folded words of each sentence; long stretches without punctuation in windows."""
+    out = []
+    for s in sentences(without_links(visible(text or ""))):
+        w = words(fold(s))
+        parts = max(1, round(len(w) / WINDOW)) if len(w) > LONGEST else 1
+        for i in range(parts):
+            piece = w[len(w) * i // parts : len(w) * (i + 1) // parts]
+            if out and _wordy(out[-1]) < SHORTEST:  # a line break or mark inside a sentence
+                out[-1] = out[-1] + piece
+            elif piece:
+                out.append(piece)
+    if len(out) > 1 and _wordy(out[-1]) < SHORTEST:
+        out.pop()  # numbers, code and other scraps are no sentence
+    return out
+
+
+def _wordy(w: list[str]) -> int:
+    return sum(len(x) > 1 and not x.isdigit() for x in w)
+
+
+class Buckets:
+    """Hashed rows of a word (itself and its subwords) or of a pair of words; every token weighs one in total."""
+
+    def __init__(self, buckets: int):
+        self.n = buckets
+        self.known: dict[str, np.ndarray] = {}
+
+    def rows(self, token: str) -> np.ndarray:
+        found = self.known.get(token)
+        if found is None:
+            names = [token]
+            if " " not in token:
+                marked = f"<{token}>"
+                names += [marked[i : i + k] for k in NGRAMS for i in range(len(marked) - k + 1)]
+            found = np.array([zlib.crc32(x.encode()) % self.n for x in names], np.int32)
+            if len(self.known) > 300_000:
+                self.known.clear()
+            self.known[token] = found
+        return found
+
+
+def tokens(w: list[str]) -> list[str]:
+    return [*w, *[f"{a} {b}" for a, b in zip(w, w[1:])]]
+
+
+class Model:
+    """embedding (buckets x width), output (width x subjects), bias; with the squared-gradient sums of each."""
+
+    def __init__(self, subjects: list[str], buckets: int = BUCKETS, width: int = WIDTH):
+        rng = np.random.default_rng(7)
+        self.subjects = subjects
+        self.e = (rng.uniform(-1, 1, (buckets, width)) / width).astype(np.float32)
+        self.o = rng.normal(0, 0.3, (width, len(subjects))).astype(np.float32)
+        self.b = np.full(len(subjects), -1.0, np.float32)
+        self.ge, self.go, self.gb = np.full(buckets, 1e-9, np.float32), np.full_like(self.o, 1e-4), np.full_like(self.b, 1e-4)
+
+    def logits(self, rows: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(self.e[rows] * weights[:, None], starts) @ self.o + self.b
+
+    def step(self, rows, weights, owner, starts, target, mask, rate: float = RATE):
+        """One Adagrad step on a batch of texts; owner: the text of each row."""
+        x = np.add.reduceat(self.e[rows] * weights[:, None], starts)
+        p = 1 / (1 + np.exp(-np.clip(x @ self.o + self.b, -30, 30)))
+        d = ((p - target) * mask / len(starts)).astype(np.float32) * 8
+        dx = d @ self.o.T
+        do, db = x.T @ d, d.sum(0)
+        self.go += do * do
+        self.gb += db * db
+        self.o -= rate * do / np.sqrt(self.go)
+        self.b -= rate * db / np.sqrt(self.gb)
+        order = np.argsort(rows, kind="stable")
+        sorted_rows = rows[order]
+        first = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
+        g = np.add.reduceat((dx[owner] * weights[:, None])[order], first)
+        touched = sorted_rows[first]
+        self.ge[touched] += (g * g).mean(1)
+        self.e[touched] -= rate * g / np.sqrt(self.ge[touched])[:, None]
+        return touched
+
+
+class Packed:
+    """Rows and weights of many texts (word lists with at least one word), laid end to end."""
+
+    def __init__(self, texts: list[list[str]], buckets: Buckets):
+        rows, weights, count = [], [], []
+        for w in texts:
+            t = [buckets.rows(x) for x in tokens(w)]
+            every = np.repeat([1 / (len(r) * len(t)) for r in t], [len(r) for r in t])
+            own, at = np.unique(np.concatenate(t), return_inverse=True)
+            rows.append(own)
+            weights.append(np.bincount(at, every).astype(np.float32))
+            count.append(len(own))
+        self.rows, self.weights, self.count = np.concatenate(rows), np.concatenate(weights), np.array(count)
+        self.start = np.cumsum(self.count) - self.count
+
+    def take(self, texts: np.ndarray):
+        """rows, weights, owner, starts of some of the texts."""
+        n = self.count[texts]
+        starts = np.cumsum(n) - n
+        owner = np.repeat(np.arange(len(texts)), n)
+        at = np.arange(n.sum()) - starts[owner] + self.start[texts][owner]
+        return self.rows[at], self.weights[at], owner, starts
+
+    def logits(self, model: Model) -> np.ndarray:
+        out = []
+        for i in range(0, len(self.count), 4096):
+            rows, weights, _, starts = self.take(np.arange(i, min(i + 4096, len(self.count))))
+            out.append(model.logits(rows, weights, starts))
+        return np.concatenate(out)
+
+
+def _targets(z: np.ndarray, first: np.ndarray, n: np.ndarray, given: np.ndarray):
+    """What each sentence should answer, from its document's labels and what the model thinks so far (logits ``z``).
+
+    A label means that a third of the sentences deal with the subject: at least that many of the likeliest, and any the
+    model is sure of; others it thinks of first are left open. A missing label only means that fewer do: sentences the
+    model is sure of are left out of the loss.
+    """
+    target = np.zeros_like(z)
+    best = z.argmax(1)
+    for a, m, y in zip(first, n, given):
+        at = np.arange(a, a + m)
+        has = np.flatnonzero(y)
+        need = max(1, int(np.ceil(m * SHARE - 1e-9)))
+        for k in has:
+            target[at[np.argsort(-z[at, k], kind="stable")[:need]], k] = 1
+            target[at[z[at, k] > 0], k] = 1
+            if len(has) > 1:  # of two labels a sentence takes the likelier one
+                worse = at[np.isin(best[at], has) & (best[at] != k) & (z[at, k] < 0)]
+                target[worse, k] = 0
+    labelled = np.repeat(given, n, axis=0) == 1
+    open_ = labelled & (target == 0) & (best[:, None] == np.arange(z.shape[1])) & (z > UNLIKELY)
+    return target, np.where((~labelled & (z > 0.5)) | open_, 0.0, 1.0)
+
+
+def _gradients(shared, phase: str, seed: int, rate: float):
+    """Steps on one shard; gives back how the parameters moved, for the rows it touched."""
+
+    def run(pdf):
+        import pandas as pd
+
+        model: Model = shared.value
+        buckets = Buckets(len(model.e))
+        docs = [[s.split(" ") for s in d] for d in pdf["units"]]
+        given = np.stack([np.isin(model.subjects, list(x)).astype(np.float32) for x in pdf["labels"]])
+        if phase == "documents":
+            texts, target, mask = Packed([[w for s in d for w in s] for d in docs], buckets), given, np.ones_like(given)
+        else:
+            n = np.array([len(d) for d in docs])
+            texts = Packed([s for d in docs for s in d], buckets)
+            target, mask = _targets(texts.logits(model), np.cumsum(n) - n, n, given)
+        e, o, b, ge, go, gb = model.e.copy(), model.o.copy(), model.b.copy(), model.ge.copy(), model.go.copy(), model.gb.copy()
+        touched = np.zeros(len(e), bool)
+        rng = np.random.default_rng(seed)
+        order = rng.permutation(len(texts.count))
+        for _ in range(DOCUMENT_STEPS if phase == "documents" else SENTENCE_STEPS):
+            part, order = order[:BATCH], order[BATCH:]
+            touched[model.step(*texts.take(part), target[part], mask[part], rate)] = True
+            if not len(order):
+                order = rng.permutation(len(texts.count))
+        rows = np.flatnonzero(touched).astype(np.int32)
+        parts = [rows, model.e[rows] - e[rows], model.ge[rows] - ge[rows], model.o - o, model.go - go, model.b - b, model.gb - gb]
+        model.e, model.o, model.b, model.ge, model.go, model.gb = e, o, b, ge, go, gb
+        return pd.DataFrame([[np.ascontiguousarray(p).tobytes() for p in parts]], columns=list("abcdefg"))
+
+    return run
+
+
+def _synchronise(model: Model, moves: list) -> None:
+    """Adds the mean movement: of a row over the shards that touched it, of the outputs over all."""
+    width, subjects = model.e.shape[1], len(model.subjects)
+    de, dge, n = np.zeros_like(model.e), np.zeros_like(model.ge), np.zeros(len(model.e), np.float32)
+    for m in moves:
+        rows = np.frombuffer(m["a"], np.int32)
+        de[rows] += np.frombuffer(m["b"], np.float32).reshape(-1, width)
+        dge[rows] += np.frombuffer(m["c"], np.float32)
+        n[rows] += 1
+    model.e += de / np.maximum(n, 1)[:, None]
+    model.ge += dge / np.maximum(n, 1)
+    share = np.float32(1 / max(len(moves), 1))
+    for name, key, shape in (("o", "d", (width, subjects)), ("go", "e", (width, subjects)), ("b", "f", (subjects,)), ("gb", "g", (subjects,))):
+        setattr(model, name, getattr(model, name) + share * sum((np.frombuffer(m[key], np.float32).reshape(shape) for m in moves), np.zeros(shape, np.float32)))
+
+
+def _cut(frames: Iterator) -> Iterator:
+    import pandas as pd
+
+    for pdf in frames:
+        yield pd.DataFrame({"shard": pdf["shard"], "labels": pdf["labels"], "units": [[" ".join(w) for w in units_of(t)] for t in pdf["text"]]})
+
+
+def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame, *, sample: int = SAMPLE) -> Model | None:
+    """Fits the model on at most ``sample`` labelled documents; None without any.
+
+    Each round broadcasts the parameters (a fixed 4.5 MB), runs Adagrad steps on every shard and synchronises what the
+    shards report. First whole documents learn their labels, then sentences learn which of their document's labels they
+    carry; wrong labels of single documents are outvoted.
+    """
+    spark = documents.sparkSession
+    names = sorted(r["subject"] for r in subjects.select("subject").filter(F.col("subject").isNotNull()).distinct().collect())
+    marked = (
+        labels.select("doc_id", "subject").filter(F.col("subject").isin(names)).groupBy("doc_id").agg(F.collect_set("subject").alias("labels"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    )
+    stages = Stages(spark, "subjects")
+    texts = documents.select("doc_id", "text").filter(F.col("text").isNotNull()).join(marked, "doc_id")
+    cut = texts.select(F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)).cast("int").alias("shard"), "labels", "text").mapInPandas(_cut, "shard int, labels array<string>, units array<string>")
+    train = stages.keep(cut.filter(F.size("units") > 0).repartition(SHARDS, "shard"))
+    if not names or train.isEmpty():
+        return None
+    model = Model(names)
+    plan = ["documents"] * DOCUMENT_ROUNDS + ["sentences"] * SENTENCE_ROUNDS
+    schema = ", ".join(f"{c} binary" for c in "abcdefg")
+    for k, phase in enumerate(plan):
+        shared = spark.sparkContext.broadcast(model)
+        moves = train.groupBy("shard").applyInPandas(_gradients(shared, phase, k, RATE * (1 - k / len(plan))), schema).collect()
+        _synchronise(model, moves)
+        shared.unpersist()
+    return model
+
+
+class Scorer:
+    """Words and pairs become their contribution to the logits once; a sentence is then a mean of table rows."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.buckets = Buckets(len(model.e))
+        self.place: dict[str, int] = {}
+        self.table = np.zeros((1 << 12, len(model.subjects)), np.float32)
+
+    def _add(self, token: str) -> int:
+        k = len(self.place)
+        if k >= len(self.table):
+            if k >= 1 << 19:
+                self.place.clear()
+                k = 0
+            else:
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[k] = self.model.e[self.buckets.rows(token)].mean(0) @ self.model.o
+        self.place[token] = k
+        return k
+
+    def shares(self, texts: list[str | None]) -> np.ndarray:
+        """Per text and subject the share of sentences that deal with it."""
+        out = np.zeros((len(texts), len(self.model.subjects)))
+        for i, text in enumerate(texts):
+            found = units_of(text)
+            if not found:
+                continue
+            yes = np.zeros(len(self.model.subjects))
+            for w in found:
+                t = tokens(w)
+                at = [self.place.get(x, -1) for x in t]
+                if -1 in at:
+                    if len(self.place) + len(t) >= 1 << 19:
+                        self.place.clear()
+                    for x in t:
+                        if x not in self.place:
+                            self._add(x)
+                    at = [self.place[x] for x in t]
+                yes += self.table[at].mean(0) + self.model.b > 0
+            out[i] = yes / len(found)
+        return out
+
+
+_SCORERS: dict[int, Scorer] = {}
+
+
+def _score(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = id(shared.value)
+        if key not in _SCORERS:
+            _SCORERS.clear()
+            _SCORERS[key] = Scorer(shared.value)
+        scorer = _SCORERS[key]
+        names = scorer.model.subjects
+        for b in batches:
+            share = scorer.shares(b.column("text").to_pylist())
+            r, k = np.nonzero(share > 0)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id").take(pa.array(r)), pa.array(np.array(names, object)[k], pa.string()), pa.array(share[r, k])], names=["doc_id", "subject", "share"]
+            )
+
+    return run
+
+
+def subject_shares(documents: DataFrame, labels: DataFrame, subjects: DataFrame, *, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, subject, share of the document's sentences that deal with the subject; no row where none does.
+
+    Every document is scored whole, where it lies, without a shuffle. Null, empty and wordless texts give no rows; a
+    repeated document row gives its rows again; without labelled documents or subjects the result is empty; other columns
+    are ignored. Labels of unknown subjects or documents play no part; repeated labels count once.
+    """
+    spark = documents.sparkSession
+    model = fit(documents, labels, subjects, sample=sample)
+    schema = "doc_id long, subject string, share double"
+    if model is None:
+        return spark.createDataFrame([], schema)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull()).mapInArrow(_score(spark.sparkContext.broadcast(model)), schema)
+
+
+def found(documents: DataFrame, labels: DataFrame, subjects: DataFrame, **options) -> DataFrame:
+    """doc_id, subject where at least a third of the sentences deal with the subject."""
+    return subject_shares(documents, labels, subjects, **options).filter(F.col("share") >= SHARE - 1e-9).select("doc_id", "subject")
+
+
+def composition(documents: DataFrame, labels: DataFrame, subjects: DataFrame, **options) -> DataFrame:
+    """subject, n_documents: what the corpus is made of."""
+    return found(documents, labels, subjects, **options).groupBy("subject").agg(F.count("*").alias("n_documents"))
+
+
+def queries() -> dict:
+    def on(f):
+        return lambda s, d: f(table(s, d, "documents"), table(s, d, "subject_labels"), table(s, d, "subject_areas"))
+
+    return {"p9_found": on(found), "p9_composition": on(composition)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}

@@ -12,6 +12,7 @@ _SENTENCE_END = regex.compile(
     r"(?:[.!?…]+[\p{Pe}\p{Pf}\"']*(?=[\s\p{So}\p{Sk}\p{Cf}]|$)|:\)+|[\r\n]+|\s[-–—]\s|[\p{So}\p{Sk}‍️]+)[\p{So}\p{Sk}\p{Cf}️\s]*"
 )
 _WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
+_LINKS = regex.compile(r"https?://\S+|www\.\S+|[#@][\p{L}\p{N}_]+")
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
@@ -54,6 +55,11 @@ def letter_runs(text: str) -> list[str]:
     return _LETTERS.findall(text)
 
 
+def without_links(text: str) -> str:
+    """The text without addresses, hashtags and mentions."""
+    return _LINKS.sub(" ", text)
+
+
 def sentences(text: str) -> list[str]:
     """The stretches between sentence ends that hold a letter."""
     return [s for s in _SENTENCE_END.split(text) if _LETTERS.search(s)]
