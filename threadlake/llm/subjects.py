@@ -171,9 +171,13 @@ def _targets(z: np.ndarray, first: np.ndarray, n: np.ndarray, given: np.ndarray)
 def _gradients(shared, phase: str, seed: int, rate: float):
     """Steps on one shard; gives back how the parameters moved, for the rows it touched."""
 
-    def run(pdf):
+    def run(frames: Iterator) -> Iterator:
         import pandas as pd
 
+        held = list(frames)  # one partition is one shard
+        if not sum(map(len, held)):
+            return
+        pdf = pd.concat(held)
         model: Model = shared.value
         buckets = Buckets(len(model.e))
         docs = [[s.split(" ") for s in d] for d in pdf["units"]]
@@ -196,7 +200,7 @@ def _gradients(shared, phase: str, seed: int, rate: float):
         rows = np.flatnonzero(touched).astype(np.int32)
         parts = [rows, model.e[rows] - e[rows], model.ge[rows] - ge[rows], model.o - o, model.go - go, model.b - b, model.gb - gb]
         model.e, model.o, model.b, model.ge, model.go, model.gb = e, o, b, ge, go, gb
-        return pd.DataFrame([[np.ascontiguousarray(p).tobytes() for p in parts]], columns=list("abcdefg"))
+        yield pd.DataFrame([[np.ascontiguousarray(p).tobytes() for p in parts]], columns=list("abcdefg"))
 
     return run
 
@@ -248,7 +252,9 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame, *, sample:
     schema = ", ".join(f"{c} binary" for c in "abcdefg")
     for k, phase in enumerate(plan):
         shared = spark.sparkContext.broadcast(model)
-        moves = train.groupBy("shard").applyInPandas(_gradients(shared, phase, k, RATE * (1 - k / len(plan))), schema).collect()
+        # a partition per shard: a repartition to a given number is not coalesced, so the shards run side by side
+        shards = train.repartition(SHARDS, "shard")
+        moves = shards.mapInPandas(_gradients(shared, phase, k, RATE * (1 - k / len(plan))), schema).collect()
         _synchronise(model, moves)
         shared.unpersist()
     return model
