@@ -21,6 +21,8 @@ SAMPLE, SHARDS = 20_000, 6
 #: Rounds of fitting whole documents, then sentences with the labels their document allows; a shard's steps per round.
 DOCUMENT_ROUNDS, SENTENCE_ROUNDS = 4, 5
 DOCUMENT_STEPS, SENTENCE_STEPS, BATCH, RATE = 100, 300, 48, 0.2
+#: Share of a text's rows that a training step sees: no single word may carry a label.
+KEPT = 0.5
 #: Logit under which a sentence of a labelled document counts as small talk.
 UNLIKELY = -4.0
 #: Share of a document's sentences that must deal with a subject.
@@ -194,7 +196,9 @@ def _gradients(shared, phase: str, seed: int, rate: float):
         order = rng.permutation(len(texts.count))
         for _ in range(DOCUMENT_STEPS if phase == "documents" else SENTENCE_STEPS):
             part, order = order[:BATCH], order[BATCH:]
-            touched[model.step(*texts.take(part), target[part], mask[part], rate)] = True
+            rows, weights, owner, starts = texts.take(part)
+            weights = weights * (rng.random(len(rows), np.float32) < KEPT) / np.float32(KEPT)
+            touched[model.step(rows, weights, owner, starts, target[part], mask[part], rate)] = True
             if not len(order):
                 order = rng.permutation(len(texts.count))
         rows = np.flatnonzero(touched).astype(np.int32)
