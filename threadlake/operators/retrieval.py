@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -254,3 +256,45 @@ def parts_touched(chunks: DataFrame, spans: DataFrame) -> DataFrame:
     s = spans.select("unit_id", "place", F.col("span_start").alias("_a"), F.col("span_end").alias("_b"))
     hit = chunks.join(s, "unit_id").filter((F.col("span_start") < F.col("_b")) & (F.col("_a") < F.col("span_end")))
     return hit.groupBy("unit_id", "span_start", "span_end").agg(F.bool_or(F.col("place") == 0).alias("opening"), F.bool_or(F.col("place") > 0).alias("continuation"))
+
+
+def sub_queries(queries: DataFrame, rewrites: DataFrame, transform: str) -> DataFrame:
+    """Sub-queries (query_id, sub_id, text) of a transform: ``none`` keeps the question, others take the stored rewrites (query_id,
+    transform, place, text); ``expand`` and ``step_back`` also keep the question itself."""
+    own = queries.select("query_id", F.lit(0).alias("sub_id"), "text")
+    if transform == "none":
+        return own
+    new = rewrites.filter(F.col("transform") == transform).select("query_id", (F.col("place") + 1).alias("sub_id"), "text")
+    return own.unionByName(new) if transform in ("expand", "step_back") else new
+
+
+def merge_sub_queries(ranges: DataFrame) -> DataFrame:
+    """Rank ranges of sub-queries (query_id, sub_id, ...) merged by reciprocal ranks."""
+    return rank_range(rrf(ranges))
+
+
+def contextual(chunks: DataFrame, contexts: DataFrame, way: str) -> DataFrame:
+    """Chunk texts preceded by their context and a line feed, except for whole texts."""
+    if way == "whole":
+        return chunks
+    j = chunks.join(contexts.select("chunk_id", "context"), "chunk_id", "left")
+    return j.withColumn("chunk", F.concat_ws("\n", "context", "chunk")).drop("context")
+
+
+def exact_round(column: Column, decimals: int = DECIMALS) -> Column:
+    """Half away from zero on the exact binary value, where ``round`` decides on the shortest decimal form. Python decimals hold a
+    double exactly, so this is an Arrow-batched function for where that exactness is claimed."""
+    step = Decimal(1).scaleb(-decimals)
+
+    def run(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: float(Decimal(x).quantize(step, ROUND_HALF_UP)) + 0.0, na_action="ignore")
+
+    run.__annotations__ = {"v": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "double")(column)
+
+
+def plan_status(lexical: bool, dense_: bool, has_vectors: bool) -> str:
+    """ok, bm25-only (dense was asked for but has no vectors), or in-progress (nothing can run)."""
+    if dense_ and not has_vectors:
+        return "bm25-only" if lexical else "in-progress"
+    return "ok" if lexical or dense_ else "in-progress"

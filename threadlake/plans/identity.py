@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadlake.functions import metrics
+from threadlake.operators import density
 from threadlake.operators import partitions as op
 from threadlake.operators import vectors
 from threadlake.plans import base
@@ -102,8 +103,24 @@ def semantic_reference(spark, d):
     return vectors.pairwise(c, "label").agg(F.round(F.max("cosine"), 6).alias("reference"))
 
 
+def density_clusters(spark, d):
+    """Density clusters of the units of each topic by their coordinates: how many, and their validity.
+
+    One kernel per topic: the reference groups hold at most a few thousand units, larger ones are refused."""
+    from threadlake.plans.threads import _topic_of
+
+    u = base.units(spark, d, "umap_x", "umap_y", "umap_z").filter("umap_x is not null and umap_y is not null and umap_z is not null")
+    p = u.join(_topic_of(spark, d).filter("topic_id is not null").select("id", "topic_id"), "id").select("topic_id", F.col("id").alias("unit_id"), F.col("umap_x").alias("x"), F.col("umap_y").alias("y"), F.col("umap_z").alias("z"))
+    c = density.cluster(p, "topic_id")
+    return c.groupBy("topic_id").agg((F.max("label") + 1).alias("clusters"), F.count_if(F.col("label") < 0).alias("noise"), F.round(F.first("validity"), 6).alias("validity"))
+
+
+def principal_coordinates(spark, d):
+    return density.principal_coordinates(table(spark, d, "embeddings"), "vec_id", "embedding").select("vec_id", *[F.round(a, 6).alias(a) for a in "xyz"])
+
+
 QUERIES = (
-    partition_agreement, partition_transitions, distinct_partitions, same_partition, cluster_identity, best_jaccard, common_units, membership_margins,
+    density_clusters, principal_coordinates, partition_agreement, partition_transitions, distinct_partitions, same_partition, cluster_identity, best_jaccard, common_units, membership_margins,
     co_cluster_cores, topic_streaks, embedding_centroids, embedding_representatives, centroid_similarities, semantic_reference,
 )
 
