@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import pyarrow as pa
 import regex
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.llm.text import fold, letter_runs, sentences, without_links
+from threadlake.plans.lineage import Stages
 from threadlake.sources.tables import latest_units, table
 
 LANGUAGES = ("en", "fr", "vi")
@@ -162,14 +164,22 @@ def fit(units: DataFrame, *, sample: int = SAMPLE) -> dict[str, bytes]:
     Labels may be wrong: each half of the sample is judged with dictionaries of the other half, and only texts whose
     language agrees with their label and that hold no segment of another language go into the final dictionaries.
     """
-    latest = latest_units(units, "id", "full_text", "language_primary").filter(F.col("full_text").isNotNull() & F.col("language_primary").isNotNull())
+    stages = Stages(units.sparkSession, "languages")
+    sized = units.select("id", "built_at", "language_primary", F.char_length("full_text").alias("n"))
+    # texts stay where they are until the sample is known
+    narrow = latest_units(sized, "id", "language_primary", "n").filter(F.col("n").between(30, SAMPLE_CHARS) & F.col("language_primary").isNotNull())
+    head = F.split(F.lower(F.trim("language_primary")), r"[-_\s]")[0]
+    code = F.coalesce(*[F.when(head.isin(*names), F.lit(c)) for c, names in SPELLINGS.items()])
+    spelled = stages.keep(narrow.select("id", code.alias("code"), F.xxhash64("id").alias("h")).filter("code is not null"))
+    chosen = None
+    for c in LANGUAGES:
+        part = spelled.filter(F.col("code") == c).orderBy("h", "id").limit(sample)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    chosen = stages.keep(chosen)
+    texts = latest_units(units.join(F.broadcast(chosen.select("id")), "id", "left_semi"), "id", "full_text")  # at most 3 * sample ids
     halves: list[dict[str, list[str]]] = [defaultdict(list), defaultdict(list)]
-    short = latest.filter(F.char_length("full_text").between(30, SAMPLE_CHARS))
-    for code, names in SPELLINGS.items():
-        spelled = F.split(F.lower(F.trim("language_primary")), r"[-_\s]")[0].isin(*names)
-        rows = short.filter(spelled).select("full_text", F.xxhash64("id").alias("h")).orderBy("h").limit(sample).collect()
-        for k, r in enumerate(rows):
-            halves[k % 2][code].append(r["full_text"])
+    for k, r in enumerate(texts.join(F.broadcast(chosen), "id").orderBy("code", "h", "id").collect()):
+        halves[k % 2][r["code"]].append(r["full_text"] or "")
     for _ in range(2):
         kept: list[dict[str, list[str]]] = [defaultdict(list), defaultdict(list)]
         for k in (0, 1):
@@ -180,7 +190,7 @@ def fit(units: DataFrame, *, sample: int = SAMPLE) -> dict[str, bytes]:
                     if found["lang"] == code and not found["segments"] and not found["rejected"]:
                         kept[k][code].append(t)
         halves = kept
-    return {c: _dictionary(c, [t for pair in zip(halves[0][c], halves[1][c]) for t in pair] or halves[0][c]) for c in LANGUAGES}
+    return {c: _dictionary(c, [t for pair in zip_longest(halves[0][c], halves[1][c]) for t in pair if t]) for c in LANGUAGES}
 
 
 _READY: dict[int, CompressionClassifier] = {}
