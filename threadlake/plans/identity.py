@@ -103,6 +103,33 @@ def semantic_reference(spark, d):
     return vectors.pairwise(c, "label").agg(F.round(F.max("cosine"), 6).alias("reference"))
 
 
+def mutual_information(spark, d):
+    """Adjusted mutual information of the two newest runs, from their contingency table (one row per pair of clusters)."""
+    cells = op.contingency(*_last_two(spark, d)).toPandas()
+    return spark.createDataFrame([(round(op.adjusted_mutual_information(cells), 6),)] if len(cells) else [], "ami double")
+
+
+def median_shift(spark, d):
+    """Signed-rank p of each topic's engagement against the channel median; a kernel per topic of bounded size, else left out."""
+    import pandas as pd
+
+    from threadlake.operators import significance
+    from threadlake.operators.order_statistics import quantiles
+    from threadlake.plans.comparisons import _cells
+
+    c = _cells(spark, d).filter("metric = 'engagement'").select("topic_id", "value")
+    centre = quantiles(c, [], "value", {"centre": 0.5}).first()
+    if centre is None or centre["centre"] is None:
+        return spark.createDataFrame([], "topic_id string, n long, p double")
+    own = c.filter("topic_id is not null")
+    small = own.join(own.groupBy("topic_id").agg(F.count("*").alias("k")).filter(F.col("k") <= significance.KERNEL_VALUES).select("topic_id"), "topic_id", "left_semi")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"topic_id": pdf["topic_id"].iloc[:1], "n": [len(pdf)], "p": [significance.wilcoxon_signed_rank(pdf["value"], centre["centre"])]})
+
+    return small.groupBy("topic_id").applyInPandas(run, "topic_id string, n long, p double")
+
+
 def density_clusters(spark, d):
     """Density clusters of the units of each topic by their coordinates: how many, and their validity.
 
@@ -120,7 +147,7 @@ def principal_coordinates(spark, d):
 
 
 QUERIES = (
-    density_clusters, principal_coordinates, partition_agreement, partition_transitions, distinct_partitions, same_partition, cluster_identity, best_jaccard, common_units, membership_margins,
+    mutual_information, median_shift, density_clusters, principal_coordinates, partition_agreement, partition_transitions, distinct_partitions, same_partition, cluster_identity, best_jaccard, common_units, membership_margins,
     co_cluster_cores, topic_streaks, embedding_centroids, embedding_representatives, centroid_similarities, semantic_reference,
 )
 

@@ -174,6 +174,7 @@ def oracle_sql() -> dict[str, str]:
         "distribution_top": _BM + _top(dist),
         "dense_top": _DN + dense,
         "gold_ranks": _DN + dense.replace(" SELECT query_id, passage_id, score, rank::INT", ", tp AS (SELECT query_id, passage_id, score, rank::INT", 1) + "), h AS (SELECT tp.query_id, e.label AS unit, tied_from, tied_to, count(*) AS h FROM tp JOIN e ON e.vec_id = tp.passage_id AND e.label::VARCHAR = tp.query_id GROUP BY ALL), f AS (SELECT query_id, unit, arg_min(struct_pack(a := tied_from, b := tied_to, h := h), tied_from) AS x FROM h GROUP BY 1, 2) SELECT c.query_id, c.label AS unit, x.a AS rank_from, x.b - x.h + 1 AS rank_to FROM c LEFT JOIN f ON f.query_id = c.query_id AND f.unit = c.label",
+        "reranked": _DN + dense.replace(" SELECT query_id, passage_id, score, rank::INT", ", tp AS (SELECT query_id, passage_id, score, rank::INT", 1) + "), hd AS (SELECT tp.query_id, tp.passage_id, round(list_dot_product(e.v0, c.c), 6) AS score FROM tp JOIN e ON e.vec_id = tp.passage_id JOIN c ON c.query_id = tp.query_id WHERE tied_from <= 10) SELECT query_id, passage_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank, rank() OVER (PARTITION BY query_id ORDER BY score DESC) AS tied_from, rank() OVER (PARTITION BY query_id ORDER BY score DESC) + count(*) OVER (PARTITION BY query_id, score) - 1 AS tied_to, false AS not_reranked FROM hd UNION ALL SELECT query_id, passage_id, score, rank, tied_from, tied_to, true FROM tp WHERE tied_from > 10",
         "passage_hashes": "SELECT sha256(text) AS hash, min(doc_id) AS passage_id FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1",
         "questions_with_tokens": _BM + "SELECT query_id, array_to_string(t, ' ') AS tokens, t <> f AS accented FROM qq",
     }
