@@ -33,6 +33,7 @@ def _functional_graph_cycles(edges: DataFrame, stages: Stages) -> DataFrame:
         hop = jump.select(F.col("id").alias("mid"), F.col("to").alias("far"))
         squared = stages.keep(jump.join(hop, jump["to"] == hop["mid"]).select("id", F.col("far").alias("to")))
         now = squared.select("to").distinct().count()
+        stages.drop(jump)
         jump = squared
         if now == image:
             break
@@ -98,8 +99,9 @@ def build_forest(posts: DataFrame, *, with_paths: bool = False) -> Forest:
         far = left.filter(F.col("dist") == stride).select("anc", F.col("id").alias("mid"), F.col("dist").alias("d1"), *([F.col("seg").alias("seg1")] if with_paths else []))
         near = left.select(F.col("anc").alias("mid"), "id", F.col("dist").alias("d2"), *([F.col("seg").alias("seg2")] if with_paths else []))
         squared = far.join(near, "mid").select("anc", "id", (F.col("d1") + F.col("d2")).alias("dist"), *([F.concat("seg1", "seg2").alias("seg")] if with_paths else []))
-        pairs = stages.keep(left.unionByName(squared))
-        stages.drop(left)
+        longer_pairs = stages.keep(left.unionByName(squared))
+        stages.drop(left, pairs)
+        pairs = longer_pairs
         stride *= 2
     done = reached[0]
     for r in reached[1:]:
