@@ -133,7 +133,7 @@ def median_shift(spark, d):
 def density_clusters(spark, d):
     """Density clusters of the units of each topic by their coordinates: how many, and their validity.
 
-    One kernel per topic: the reference groups hold at most a few thousand units, larger ones are refused."""
+    One kernel per topic; a topic beyond the kernel's bound is refused, not cut."""
     from threadlake.plans.threads import _topic_of
 
     u = base.units(spark, d, "umap_x", "umap_y", "umap_z").filter("umap_x is not null and umap_y is not null and umap_z is not null")
