@@ -154,3 +154,30 @@ def test_ami():
     assert partitions.adjusted_mutual_information(same) == pytest.approx(1.0)
     free = pd.DataFrame({"la": [0, 0, 1, 1], "lb": [0, 1, 0, 1], "n": [25, 25, 25, 25]})
     assert abs(partitions.adjusted_mutual_information(free)) < 0.02
+
+
+def test_placements_match_relative_effects():
+    rng = np.random.default_rng(9)
+    for na, nb, high in ((3, 9, 5), (9, 3, 5), (7, 90, 30), (90, 7, 10**9), (5, 5, 2)):
+        a, b = np.sort(rng.integers(0, high, na).astype(float)), np.sort(rng.integers(0, high, nb).astype(float))
+        places = significance.Placements(a, b)
+        pooled, drawn = np.sort(np.concatenate([a, b])), np.concatenate([places.seen, places.draw(40, rng)])
+        effect, se = places.statistic(drawn)
+        for at, e, s in zip(drawn, effect, se):
+            few = np.isin(np.arange(na + nb), at)
+            x, y = (pooled[~few], pooled[few]) if places.swapped else (pooled[few], pooled[~few])
+            assert (e, s) == pytest.approx(tuple(float(v[0]) for v in significance.relative_effects(x[None], y[None])[:2]), abs=1e-12)
+    seen = significance.Placements(np.arange(2.0), np.arange(2.0, 20)).draw(38_000, rng)
+    counts = np.bincount(seen[:, 0] * 20 + seen[:, 1], minlength=400)
+    assert (counts > 0).sum() == 190 and counts[counts > 0].min() > 120 and counts.max() < 290
+
+
+def test_topic_comparisons_draws_100_000_permutations(spark, monkeypatch):
+    from threadlake.plans import comparisons
+
+    data = [("high" if i < 60 else None, "m", float(i % 7 + (9 if i < 55 else 0))) for i in range(300)]
+    monkeypatch.setattr(comparisons, "_cells", lambda s, d: s.createDataFrame(data, "topic_id string, metric string, value double"))
+    whole = comparisons.topic_comparisons(spark, "").collect()
+    assert whole[0].p == pytest.approx(2 / 100_001)
+    monkeypatch.setattr(significance, "DRAWN_PER_TASK", 5_000_000)
+    assert comparisons.topic_comparisons(spark, "").collect() == whole  # drawn by several tasks

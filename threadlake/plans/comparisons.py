@@ -11,9 +11,6 @@ from threadlake.plans.base import WITH
 from threadlake.plans.lineage import Stages
 from threadlake.plans.threads import _TOPIC, _topic_of
 
-#: Permutations of the query (the operator's default is 100 000).
-PERMUTATIONS = 2_000
-
 
 def _cells(spark, d):
     i = base.latest_insights(spark, d).withColumnRenamed("post_id", "id")
@@ -40,7 +37,7 @@ def holm_verdicts(spark, d):
 
 def topic_comparisons(spark, d):
     """The full comparison with the permutation test and its Holm family."""
-    c = Stages(spark, "comparisons").keep(op.compare_groups(_cells(spark, d), "topic_id", "metric", "value", permutations=PERMUTATIONS))
+    c = Stages(spark, "comparisons").keep(op.compare_groups(_cells(spark, d), "topic_id", "metric", "value"))
     return op.holm(c, "p", []).withColumn("verdict", metrics.verdict(F.col("p_holm"), F.col("delta"), F.col("insufficient_data")))
 
 
