@@ -1,5 +1,6 @@
 import itertools
 import math
+import zlib
 
 import numpy as np
 import pytest
@@ -181,3 +182,21 @@ def test_topic_comparisons_draws_100_000_permutations(spark, monkeypatch):
     assert whole[0].p == pytest.approx(2 / 100_001)
     monkeypatch.setattr(significance, "DRAWN_PER_TASK", 5_000_000)
     assert comparisons.topic_comparisons(spark, "").collect() == whole  # drawn by several tasks
+
+
+def test_large_comparisons_match_the_kernels(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    data = [(g, "m", float(v)) for g, v in zip(rng.choice(["x", "y", "z", None], 400, p=[0.5, 0.3, 0.01, 0.19]), rng.integers(0, 40, 400))] + [("x", "n", 1.0), ("x", "n", 2.0), ("y", "n", 3.0), ("y", "n", 4.0)]
+    monkeypatch.setattr(significance, "KERNEL_VALUES", 3)
+    df = spark.createDataFrame(data, "g string, metric string, v double")
+    out = {(r.metric, r.group_id): r for r in significance.compare_groups(df, "g", "metric", "v").collect()}
+    assert len(out) == len({(k, g) for g, k, _ in data if g})
+    for (k, g), r in out.items():
+        a, b = [v for h, q, v in data if h == g and q == k], [v for h, q, v in data if h != g and q == k]
+        assert (r.median_group, r.median_rest, r.n_group, r.n_rest) == (np.median(a), np.median(b), len(a), len(b))
+        want = significance.brunner_munzel_t(a, b)
+        assert (want is None) == (r.method == "mann_whitney") and (want or k == "n")
+        if want:
+            assert [r.p, r.delta, r.delta_low, r.delta_high] == pytest.approx([want[c] for c in ("p", "delta", "delta_low", "delta_high")], abs=1e-9)
+        low, high = significance.median_difference_interval(a, b, seed=zlib.crc32(f"{g}|{k}".encode()))
+        assert (r.diff_low, r.diff_high) == (low, high)
