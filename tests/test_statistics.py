@@ -200,3 +200,20 @@ def test_large_comparisons_match_the_kernels(spark, monkeypatch):
             assert [r.p, r.delta, r.delta_low, r.delta_high] == pytest.approx([want[c] for c in ("p", "delta", "delta_low", "delta_high")], abs=1e-9)
         low, high = significance.median_difference_interval(a, b, seed=zlib.crc32(f"{g}|{k}".encode()))
         assert (r.diff_low, r.diff_high) == (low, high)
+
+
+def test_median_shift_keeps_large_topics(spark, monkeypatch):
+    from threadlake.plans import comparisons, identity
+
+    rng = np.random.default_rng(12)
+    data = [(f"t{i % 3}", "engagement", float(v)) for i, v in enumerate(rng.integers(0, 9, 150))]
+    centre = float(np.median([v for _, _, v in data]))
+    data.append(("flat", "engagement", centre))
+    monkeypatch.setattr(comparisons, "_cells", lambda s, d: s.createDataFrame(data, "topic_id string, metric string, value double"))
+    monkeypatch.setattr(significance, "KERNEL_VALUES", 10)
+    out = {r.topic_id: r for r in identity.median_shift(spark, "").collect()}
+    assert set(out) == {"t0", "t1", "t2", "flat"}
+    centre = float(np.median([v for _, _, v in data]))
+    for g, r in out.items():
+        own = [v for k, _, v in data if k == g]
+        assert r.n == len(own) and r.p == pytest.approx(significance.wilcoxon_signed_rank(own, centre), nan_ok=True)

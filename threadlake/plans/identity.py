@@ -110,9 +110,7 @@ def mutual_information(spark, d):
 
 
 def median_shift(spark, d):
-    """Signed-rank p of each topic's engagement against the channel median; a kernel per topic of bounded size, else left out."""
-    import pandas as pd
-
+    """Signed-rank p of each topic's engagement against the channel median, from ranks and aggregates: topics may be of any size."""
     from threadlake.operators import significance
     from threadlake.operators.order_statistics import quantiles
     from threadlake.plans.comparisons import _cells
@@ -121,13 +119,7 @@ def median_shift(spark, d):
     centre = quantiles(c, [], "value", {"centre": 0.5}).first()
     if centre is None or centre["centre"] is None:
         return spark.createDataFrame([], "topic_id string, n long, p double")
-    own = c.filter("topic_id is not null")
-    small = own.join(own.groupBy("topic_id").agg(F.count("*").alias("k")).filter(F.col("k") <= significance.KERNEL_VALUES).select("topic_id"), "topic_id", "left_semi")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"topic_id": pdf["topic_id"].iloc[:1], "n": [len(pdf)], "p": [significance.wilcoxon_signed_rank(pdf["value"], centre["centre"])]})
-
-    return small.groupBy("topic_id").applyInPandas(run, "topic_id string, n long, p double")
+    return significance.signed_ranks(c.filter("topic_id is not null"), "topic_id", "value", centre["centre"])
 
 
 def density_clusters(spark, d):
