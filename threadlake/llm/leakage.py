@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -13,138 +14,170 @@ from pyspark.sql import functions as F
 from threadlake.llm.text import fold, words
 from threadlake.sources.tables import table
 
-#: Words of the n-grams in the broadcast set. A stretch of m >= 14 words with at most m / 7 edits always holds three of them.
+#: Words of the n-grams in the broadcast set. A stretch of m >= 14 words with at most m / 7 edits has its intact words in so
+#: few runs that one of them holds four, and it always holds three n-grams.
 SEED = 4
 SEEDS_NEEDED = 3
 LEAST_WORDS = 14
 #: One word in so many may be altered, left out or added.
 ONE_IN = 7
-#: Any longer leak holds one of at most 2 * LEAST_WORDS - 1 words with the same share of edits, so this many edits suffice.
-MOST_EDITS = (2 * LEAST_WORDS - 1) // ONE_IN
-#: Characters of evaluation texts per broadcast; a larger collection is scanned in several passes.
-BLOCK_CHARS = 8_000_000
+#: Any leak with more edits holds a shorter one with at most this many (the intact runs of one that does not would be too long).
+MOST_EDITS = 4
+#: Edits that need no long run. A leak with more that holds no shorter one begins with ``LONG_RUN`` intact words: its first
+#: runs but one, with the edits between them, must fall short of the words that one edit less would need.
+FEW_EDITS, LONG_RUN = 2, 7
+#: An alone run of at most so many words needs an intact word right after a single edit: two edits and SEED - 1 words are too few.
+SHORT_RUN = LEAST_WORDS - FEW_EDITS - SEED
+#: Characters of evaluation texts per broadcast (some 350 000 n-grams); a larger collection is scanned in several passes.
+BLOCK_CHARS = 2_000_000
 
 #: A word with the invisible and control characters inside it.
 _TOKEN = regex.compile(r"[\p{L}\p{N}\p{M}\p{Cf}\x00-\x08\x0e-\x1b\x7f-\x84\x86-\x9f]+")
 
 
-class Folded:
-    """Folded words of texts with their places; words seen before are looked up."""
+def _parts(text: str) -> list[tuple[str, int, int]]:
+    """Folded words with the places of the token that holds them."""
+    return [(w, *m.span()) for m in _TOKEN.finditer(text) for w in words(fold(m.group()))]
 
-    def __init__(self):
-        self.known: dict[str, tuple[str, ...]] = {}
 
-    def __call__(self, text: str) -> tuple[list[str], list[tuple[int, int]]]:
-        out, spans, known = [], [], self.known
-        for m in _TOKEN.finditer(text):
-            token = m.group()
-            w = known.get(token)
-            if w is None:
-                if len(known) > 400_000:
-                    known.clear()
-                w = known[token] = tuple(words(fold(token)))
-            for x in w:
-                out.append(x)
-                spans.append(m.span())
-        return out, spans
+class _Numbers(dict):
+    """Stretch without white space -> numbers of its words; -1 for a word that no item holds. Made when first met."""
+
+    def __init__(self, number: dict[str, int]):
+        self.number = number
+
+    def __missing__(self, stretch: str) -> tuple[int, ...]:
+        if len(self) > 400_000:
+            self.clear()
+        found = self[stretch] = tuple([self.number.get(w, -1) for w, _, _ in _parts(stretch)])
+        return found
 
 
 class LeakIndex:
     """Seeds of evaluation items and the check of their surroundings."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.fold = Folded()
         self.ids = [i for i, _ in items]
         self.number: dict[str, int] = {}
         self.texts: list[list[int]] = []
-        self.seeds: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
+        seeds: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
         for k, (_, text) in enumerate(items):
-            w = [self.number.setdefault(x, len(self.number)) for x in self.fold(text)[0]]
+            w = [self.number.setdefault(x, len(self.number)) for x, _, _ in _parts(text)]
             self.texts.append(w)
             if len(w) >= LEAST_WORDS:
                 for p in range(len(w) - SEED + 1):
-                    self.seeds[tuple(w[p : p + SEED])].append((k, p))
-        self.seeds = dict(self.seeds)
-
-    def _extend(self, item: list[int], doc: list[int], i0: int, j0: int) -> tuple[int, int] | None:
-        """Furthest end (item, doc) of an alignment from a matching pair that keeps to the allowed share of edits."""
-
-        def slide(i, j):
-            while i < len(item) and j < len(doc) and item[i] == doc[j]:
-                i, j = i + 1, j + 1
-            return i
-
-        best = None
-        reach = {0: slide(i0, j0)}  # by diagonal: how far the item is used up
-        base = j0 - i0
-        for edits in range(MOST_EDITS + 1):
-            for d, i in reach.items():
-                m = i - i0
-                if m >= LEAST_WORDS and ONE_IN * edits <= m and item[i - 1] == doc[i + base + d - 1] and (best is None or i > best[0]):
-                    best = (i, i + base + d)
-            if edits == MOST_EDITS:
-                break
+                    seeds[tuple(w[p : p + SEED])].append((k, p))
+        self.seeds = dict(seeds)
+        self.numbers = _Numbers(self.number)
+
+    @staticmethod
+    def _goes_on(item: list[int], doc: list[int], i: int, j: int, step: int) -> bool:
+        """Whether an intact word follows one word altered, left out or added at places i, j."""
+        for a, b in ((i + step, j + step), (i + step, j), (i, j + step)):
+            if 0 <= a < len(item) and 0 <= b < len(doc) and item[a] == doc[b]:
+                return True
+        return False
+
+    @staticmethod
+    def _reach(item: list[int], doc: list[int], i: int, j: int, step: int, edits: int) -> list[tuple[int, int]]:
+        """By number of edits: the furthest (item words, document words) from places i, j on in direction ``step`` that end
+        with an intact word."""
+        n, m = (len(item) - i, len(doc) - j) if step > 0 else (i + 1, j + 1)
+        best = [(0, 0)]
+        front = {0: 0}  # by surplus of document words: item words used up
+        for _ in range(edits):
             longer: dict[int, int] = {}
-            for d, i in reach.items():
-                for d2, i2 in ((d, i + 1), (d - 1, i + 1), (d + 1, i)):  # altered, left out, added
-                    if i2 <= len(item) and 0 <= i2 + base + d2 <= len(doc):
-                        longer[d2] = max(longer.get(d2, -1), i2)
-            reach = {d: slide(i, i + base + d) for d, i in longer.items()}
+            for d, a in front.items():
+                for d2, a2 in ((d, a + 1), (d - 1, a + 1), (d + 1, a)):  # altered, left out, added
+                    if a2 <= n and 0 <= a2 + d2 <= m and a2 > longer.get(d2, -1):
+                        longer[d2] = a2
+            top = best[-1]
+            for d, a in longer.items():
+                b = a
+                while b < n and b + d < m and item[i + step * b] == doc[j + step * (b + d)]:
+                    b += 1
+                longer[d] = b
+                if b > a and b > top[0]:
+                    top = (b, b + d)
+            best.append(top)
+            front = longer
         return best
 
     def _check(self, item: list[int], doc: list[int], hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """Word spans of the document that hold a leak; hits: (item place, doc place) of seeds, by doc place."""
-        spans, i = [], 0
-        while i < len(hits):
-            # seeds that one alignment of at most 2 * LEAST_WORDS - 1 words could join
-            p0, j0 = hits[i]
-            near = [(p, j) for p, j in hits[i:] if j - j0 < 2 * LEAST_WORDS and abs((j - p) - (j0 - p0)) <= MOST_EDITS]
-            if len({p for p, _ in near}) >= SEEDS_NEEDED:
-                reach = LEAST_WORDS + MOST_EDITS
-                found = None
-                for j in range(max(0, j0 - reach), j0 + 1):
-                    for d in range(-MOST_EDITS, MOST_EDITS + 1):
-                        p = j - (j0 - p0) + d
-                        if 0 <= p < len(item) and item[p] == doc[j] and not (p and j and item[p - 1] == doc[j - 1]):
-                            if (end := self._extend(item, doc, p, j)) and (found is None or end[1] - j > found[1] - found[0]):
-                                found = (j, end[1])
-                if found and spans and found[0] <= spans[-1][1]:
-                    spans[-1] = (min(spans[-1][0], found[0]), max(spans[-1][1], found[1]))
-                elif found:
-                    spans.append(found)
-                if found:  # seeds inside the span cannot add to it, but those at its end may
-                    while i + 1 < len(hits) and hits[i + 1][1] < found[1] - 2 * LEAST_WORDS:
-                        i += 1
-            i += 1
-        return spans
-
-    def scan(self, text: str | None) -> tuple[dict[int, list[tuple[int, int]]], list[tuple[int, int]]]:
-        """Item id -> word spans; and the places of the words."""
+        """Word spans of the document that hold a leak; hits: (item place, doc place) of seeds, by doc place.
+
+        Seeds that follow each other on a diagonal are one run of intact words. Every leak holds such a run, and what can be
+        added before and after it are independent: the furthest reaches by number of edits are found once per run, so the
+        work is in proportion to the hits.
+        """
+        runs: list[list[int]] = []  # item place, doc place, words
+        last: dict[int, list[int]] = {}
+        for p, j in hits:
+            run = last.get(j - p)
+            if run is not None and run[1] + run[2] - SEED + 1 == j:
+                run[2] += 1
+            else:
+                last[j - p] = run = [p, j, SEED]
+                runs.append(run)
+        crowd = Counter([r[1] - r[0] for r in runs])
+        spans: list[tuple[int, int]] = []
+        for p, j, n in runs:
+            # Without another run on a neighbouring diagonal an edit wins at most SEED - 1 intact words: a short run stays short.
+            if n <= SHORT_RUN and sum([crowd.get(j - p + d, 0) for d in range(-MOST_EDITS, MOST_EDITS + 1)]) == 1:
+                if n + FEW_EDITS * SEED < LEAST_WORDS or not (self._goes_on(item, doc, p + n, j + n, 1) or self._goes_on(item, doc, p - 1, j - 1, -1)):
+                    continue
+            edits = MOST_EDITS if n >= LONG_RUN else FEW_EDITS
+            after = self._reach(item, doc, p + n, j + n, 1, edits)
+            before = self._reach(item, doc, p - 1, j - 1, -1, edits)
+            found = None
+            for x in range(edits + 1):
+                for y in range(edits + 1 - x):
+                    m = before[x][0] + n + after[y][0]
+                    if m >= LEAST_WORDS and ONE_IN * (x + y) <= m:
+                        a, z = j - before[x][1], j + n + after[y][1]
+                        if found is None or z - a > found[1] - found[0]:
+                            found = (a, z)
+            if found:
+                spans.append(found)
+        merged: list[tuple[int, int]] = []
+        for a, z in sorted(spans):
+            if merged and a <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(merged[-1][1], z))
+            else:
+                merged.append((a, z))
+        return merged
+
+    def scan(self, text: str | None) -> dict[int, list[tuple[int, int]]]:
+        """Item id -> code point spans of the text that leaked from it."""
         if not text:
-            return {}, []
-        w, places = self.fold(text)
-        if len(w) < LEAST_WORDS - LEAST_WORDS // ONE_IN:
-            return {}, places
-        get, seeds = self.number.get, self.seeds
-        doc = [get(x, -1) for x in w]
+            return {}
+        doc = list(chain.from_iterable(map(self.numbers.__getitem__, text.split())))
+        if len(doc) < LEAST_WORDS - LEAST_WORDS // ONE_IN:
+            return {}
         hits = defaultdict(list)
-        for j, key in enumerate(zip(doc, doc[1:], doc[2:], doc[3:])):
-            for k, p in seeds.get(key, ()):
-                hits[k].append((p, j))
-        out = {}
+        seen = self.seeds.get
+        for j, found in enumerate(map(seen, zip(doc, doc[1:], doc[2:], doc[3:]))):
+            if found is not None:
+                for k, p in found:
+                    hits[k].append((p, j))
+        out, places = {}, None
         for k, h in hits.items():
             if len(h) >= SEEDS_NEEDED and (spans := self._check(self.texts[k], doc, h)):
-                out[self.ids[k]] = spans
-        return out, places
+                places = places or _parts(text)  # only documents with a leak need the places of their words
+                out[self.ids[k]] = [(places[a][1], places[z - 1][2]) for a, z in spans]
+        return out
 
 
 _INDEX: dict[int, LeakIndex] = {}
 
 
 def _index(shared) -> LeakIndex:
+    """The worker's index of a broadcast block; blocks of earlier queries are let go."""
     items = shared.value
     key = hash(tuple(items))
     if key not in _INDEX:
+        while len(_INDEX) > 1:
+            _INDEX.pop(next(iter(_INDEX)))
         _INDEX[key] = LeakIndex(items)
     return _INDEX[key]
 
@@ -154,14 +187,13 @@ def _spans(shared):
         scan = _index(shared).scan
         for b in batches:
             doc, item, start, end = [], [], [], []
-            for d, t in zip(b.column("doc_id"), b.column("text")):
-                found, places = scan(t.as_py())
-                for k, spans in found.items():
+            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                for k, spans in scan(t).items():
                     for a, z in spans:
-                        doc.append(d.as_py())
+                        doc.append(d)
                         item.append(k)
-                        start.append(places[a][0])
-                        end.append(places[z - 1][1])
+                        start.append(a)
+                        end.append(z)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(doc, pa.int64()), pa.array(item, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["doc_id", "item_id", "leak_start", "leak_end"]
             )
@@ -177,7 +209,7 @@ def leak_spans(documents: DataFrame, items: DataFrame) -> DataFrame:
     symbols, spacing, Unicode form, invisible and control characters do not matter.
 
     The items' four-word sequences are broadcast as a hash set and every document's windows are scanned for them where the
-    document lies, without a shuffle; three of them on neighbouring diagonals lead to an exact alignment. Items larger than
+    document lies, without a shuffle; runs of them lead to an exact alignment with what stands before and after. Items larger than
     one broadcast block are scanned block by block. Null, empty and short texts and items give no rows; a repeated document
     row gives its rows again; empty tables give an empty result; other columns are ignored.
     """
