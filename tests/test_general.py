@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from threadlake.operators import hierarchy, regular_grid
@@ -121,6 +122,25 @@ def test_long_chain_and_circle(spark):
     assert tree["c0299"].path.split("/") == [f"c{i:04d}" for i in range(300)] and tree["c0000"].n_descendants == 299
 
 
+def test_rows_of_a_deep_chain_grow_with_the_logarithm_of_its_depth(spark, monkeypatch):
+    written = []
+    keep = hierarchy.Stages.keep
+
+    def counted(self, df):
+        out = keep(self, df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(hierarchy.Stages, "keep", counted)
+    n = 100_000
+    chain = spark.range(n).select(
+        F.format_string("c%06d", "id").alias("id"), F.when(F.col("id") > 0, F.format_string("c%06d", F.col("id") - 1)).alias("replied_to_id"), F.lit("c000000").alias("root_post_id"), (F.col("id") > 0).alias("is_reply")
+    )
+    forest = hierarchy.build_forest(chain)
+    assert forest.reached.agg(F.max("depth")).first()[0] == n - 1 and forest.reached.count() == n
+    assert sum(written) <= n * 20
+
+
 def test_descendants_and_empty(spark):
     posts = [("a", None, None, False), ("b", "a", "a", True), ("c", "b", "a", True)]
     assert rows(hierarchy.descendants(frame(spark, posts))) == [("a", "b", 1), ("a", "c", 2), ("b", "c", 1)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlake.operators.hierarchy import build_forest
+from threadlake.operators.hierarchy import build_forest, reached_paths
 from threadlake.plans.lineage import Stages
 
 
@@ -18,7 +18,7 @@ def _own_chains(posts: DataFrame, with_paths: bool = False) -> DataFrame:
     links = nodes.join(inside, "parent", "left").select(
         "id", F.when(F.col("parent_root") == F.col("root"), F.col("parent")).alias("replied_to_id"), F.col("root").alias("root_post_id"), (F.col("id") != F.col("root")).alias("is_reply")
     )
-    return build_forest(links, with_paths=with_paths).reached
+    return reached_paths(links) if with_paths else build_forest(links).reached.select("id", "top", "depth")
 
 
 def reply_roles(posts: DataFrame) -> DataFrame:
@@ -80,6 +80,6 @@ def reply_depth(posts: DataFrame) -> DataFrame:
     links = replies.join(inside, "parent", "left").select(
         "id", F.when(F.col("parent_root") == F.col("root_ref"), F.col("parent")).alias("replied_to_id"), F.col("root_ref").alias("root_post_id"), F.lit(True).alias("is_reply")
     )
-    depth = build_forest(links).reached.join(replies.select("id", "root_ref"), "id").groupBy(F.col("root_ref").alias("root")).agg((F.max("depth") + 1).alias("depth"))
+    depth = build_forest(links).reached.select("id", "depth").join(replies.select("id", "root_ref"), "id").groupBy(F.col("root_ref").alias("root")).agg((F.max("depth") + 1).alias("depth"))
     roots = posts.filter(~F.col("is_reply")).select(F.col("id").alias("root"))
     return roots.join(depth, "root", "left").select("root", F.coalesce("depth", F.lit(0)).cast("int").alias("depth"))
