@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,13 +15,17 @@ from threadlake.llm.text import fold, sentences, visible, without_links, words
 from threadlake.plans.lineage import Stages
 from threadlake.sources.tables import table
 
-#: Hashed rows of the embedding table and their width.
+#: Hashed rows of the embedding table (a row number fits 16 bits) and their width.
 BUCKETS, WIDTH = 1 << 16, 16
-#: Labelled documents that the model is fitted on at most (chosen by hash), and shards their gradients come from.
-SAMPLE, SHARDS = 20_000, 6
-#: Rounds of fitting whole documents, then sentences with the labels their document allows; a shard's steps per round.
-DOCUMENT_ROUNDS, SENTENCE_ROUNDS = 4, 5
-DOCUMENT_STEPS, SENTENCE_STEPS, BATCH, RATE = 100, 300, 48, 0.2
+#: Labelled documents that the model is fitted on at most (chosen by hash).
+SAMPLE = 20_000
+#: Rounds of fitting whole documents, then sentences with the labels their document allows. A round sums the gradients of
+#: about ``BATCH`` documents over all partitions; the parts of a larger sample take turns.
+DOCUMENT_ROUNDS, SENTENCE_ROUNDS, BATCH = 10, 26, 4000
+#: First step length; it falls to a fifth. Decay of the running means of the gradient and its square.
+RATE, MEAN, SQUARE = 0.2, 0.9, 0.98
+#: Gradients a round brings to the driver at most (a partition each, 4.5 MB at most).
+SHARDS = 12
 #: Share of a text's rows that a training step sees: no single word may carry a label.
 KEPT = 0.5
 #: Logit under which a sentence of a labelled document counts as small talk.
@@ -31,119 +36,116 @@ SHARE = 1 / 3
 WINDOW, LONGEST = 16, 40
 #: Stretches of fewer words are joined with the next.
 SHORTEST = 5
-NGRAMS = (4,)
-
-
-def units_of(text: str | None) -> list[list[str]]:
-    """Folded words of each sentence; long stretches without punctuation in windows."""
-    out = []
-    for s in sentences(without_links(visible(text or ""))):
-        w = words(fold(s))
-        parts = max(1, round(len(w) / WINDOW)) if len(w) > LONGEST else 1
-        for i in range(parts):
-            piece = w[len(w) * i // parts : len(w) * (i + 1) // parts]
-            if out and _wordy(out[-1]) < SHORTEST:  # a line break or mark inside a sentence
-                out[-1] = out[-1] + piece
-            elif piece:
-                out.append(piece)
-    if len(out) > 1 and _wordy(out[-1]) < SHORTEST:
-        out.pop()  # numbers, code and other scraps are no sentence
-    return out
-
-
-def _wordy(w: list[str]) -> int:
-    return sum(len(x) > 1 and not x.isdigit() for x in w)
-
-
-class Buckets:
-    """Hashed rows of a word (itself and its subwords) or of a pair of words; every token weighs one in total."""
-
-    def __init__(self, buckets: int):
-        self.n = buckets
-        self.known: dict[str, np.ndarray] = {}
-
-    def rows(self, token: str) -> np.ndarray:
-        found = self.known.get(token)
-        if found is None:
-            names = [token]
-            if " " not in token:
-                marked = f"<{token}>"
-                names += [marked[i : i + k] for k in NGRAMS for i in range(len(marked) - k + 1)]
-            found = np.array([zlib.crc32(x.encode()) % self.n for x in names], np.int32)
-            if len(self.known) > 300_000:
-                self.known.clear()
-            self.known[token] = found
+#: Letters of a subword.
+SUBWORD = 4
+#: Words that a worker remembers; beyond that it starts over between batches.
+REMEMBERED = 400_000
+
+
+class Vocabulary(dict):
+    """Stretch without white space -> numbers of its folded words; a word is hashed when first met.
+
+    ``hashes``: per word; ``wordy``: more than a letter and not all digits; ``subs``: rows of the word and its subwords.
+    """
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.hashes: list[int] = []
+        self.wordy: list[bool] = []
+        self.subs: list[list[int]] = []
+
+    def __missing__(self, stretch: str) -> tuple[int, ...]:
+        found = self[stretch] = tuple([self._word(w) for w in words(fold(stretch))])
         return found
 
+    def _word(self, w: str) -> int:
+        k = self.number.get(w)
+        if k is None:
+            k = self.number[w] = len(self.hashes)
+            marked = f"<{w}>"
+            names = [w, *[marked[i : i + SUBWORD] for i in range(len(marked) - SUBWORD + 1)]]
+            self.hashes.append(zlib.crc32(w.encode()))
+            self.wordy.append(len(w) > 1 and not w.isdigit())
+            self.subs.append([zlib.crc32(x.encode()) % BUCKETS for x in names])
+        return k
+
+    def units_of(self, text: str | None) -> list[list[int]]:
+        """Words of each sentence; long stretches without punctuation in windows."""
+        out: list[list[int]] = []
+        wordy = 0  # of the last one
+        for s in sentences(without_links(visible(text or ""))):
+            w = list(chain.from_iterable(map(self.__getitem__, s.split())))
+            parts = max(1, round(len(w) / WINDOW)) if len(w) > LONGEST else 1
+            for i in range(parts):
+                piece = w[len(w) * i // parts : len(w) * (i + 1) // parts]
+                if out and wordy < SHORTEST:  # a line break or mark inside a sentence
+                    out[-1] = out[-1] + piece
+                    wordy += sum([self.wordy[x] for x in piece])
+                elif piece:
+                    out.append(piece)
+                    wordy = sum([self.wordy[x] for x in piece])
+        if len(out) > 1 and wordy < SHORTEST:
+            out.pop()  # numbers, code and other scraps are no sentence
+        return out
+
 
-def tokens(w: list[str]) -> list[str]:
-    return [*w, *[f"{a} {b}" for a, b in zip(w, w[1:])]]
+def _pair_rows(hashes: np.ndarray) -> np.ndarray:
+    """Rows of each word with the next one, from the words' 32-bit hashes."""
+    mixed = hashes[:-1] * np.uint64(0x9E3779B1) + hashes[1:] * np.uint64(0x85EBCA77) + (hashes[:-1] >> np.uint64(15))
+    return ((mixed >> np.uint64(16)) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def _encoded(vocabulary: Vocabulary, units: list[list[int]]) -> tuple[bytes, bytes, bytes, bytes]:
+    """Words per sentence (32 bit), rows per word (16), rows of the words, rows of the pairs inside sentences (16)."""
+    size = np.array([len(u) for u in units], np.uint32)
+    ids = list(chain.from_iterable(units))
+    subs = [vocabulary.subs[i] for i in ids]
+    owner = np.repeat(np.arange(len(size)), size)
+    pairs = _pair_rows(np.array([vocabulary.hashes[i] for i in ids], np.uint64))[owner[1:] == owner[:-1]]
+    count = np.minimum([len(x) for x in subs], 0xFFFF).astype(np.uint16)
+    rows = np.array(list(chain.from_iterable([x[:0xFFFF] for x in subs])), np.uint16)
+    return size.tobytes(), count.tobytes(), rows.tobytes(), pairs.astype(np.uint16).tobytes()
 
 
 class Model:
-    """embedding (buckets x width), output (width x subjects), bias; with the squared-gradient sums of each."""
+    """embedding (buckets x width), output (width x subjects), bias."""
 
-    def __init__(self, subjects: list[str], buckets: int = BUCKETS, width: int = WIDTH):
+    def __init__(self, subjects: list[str]):
         rng = np.random.default_rng(7)
         self.subjects = subjects
-        self.e = (rng.uniform(-1, 1, (buckets, width)) / width).astype(np.float32)
-        self.o = rng.normal(0, 0.3, (width, len(subjects))).astype(np.float32)
-        self.b = np.full(len(subjects), -1.0, np.float32)
-        self.ge, self.go, self.gb = np.full(buckets, 1e-9, np.float32), np.full_like(self.o, 1e-4), np.full_like(self.b, 1e-4)
-
-    def logits(self, rows: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(self.e[rows] * weights[:, None], starts) @ self.o + self.b
-
-    def step(self, rows, weights, owner, starts, target, mask, rate: float = RATE):
-        """One Adagrad step on a batch of texts; owner: the text of each row."""
-        x = np.add.reduceat(self.e[rows] * weights[:, None], starts)
-        p = 1 / (1 + np.exp(-np.clip(x @ self.o + self.b, -30, 30)))
-        d = ((p - target) * mask / len(starts)).astype(np.float32) * 8
-        dx = d @ self.o.T
-        do, db = x.T @ d, d.sum(0)
-        self.go += do * do
-        self.gb += db * db
-        self.o -= rate * do / np.sqrt(self.go)
-        self.b -= rate * db / np.sqrt(self.gb)
-        order = np.argsort(rows, kind="stable")
-        sorted_rows = rows[order]
-        first = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
-        g = np.add.reduceat((dx[owner] * weights[:, None])[order], first)
-        touched = sorted_rows[first]
-        self.ge[touched] += (g * g).mean(1)
-        self.e[touched] -= rate * g / np.sqrt(self.ge[touched])[:, None]
-        return touched
+        e = (rng.uniform(-1, 1, (BUCKETS, WIDTH)) / WIDTH).astype(np.float32)
+        self.parameters = [e, rng.normal(0, 0.3, (WIDTH, len(subjects))).astype(np.float32), np.full(len(subjects), -1.0, np.float32)]
 
 
 class Packed:
-    """Rows and weights of many texts (word lists with at least one word), laid end to end."""
-
-    def __init__(self, texts: list[list[str]], buckets: Buckets):
-        rows, weights, count = [], [], []
-        for w in texts:
-            t = [buckets.rows(x) for x in tokens(w)]
-            every = np.repeat([1 / (len(r) * len(t)) for r in t], [len(r) for r in t])
-            own, at = np.unique(np.concatenate(t), return_inverse=True)
-            rows.append(own)
-            weights.append(np.bincount(at, every).astype(np.float32))
-            count.append(len(own))
-        self.rows, self.weights, self.count = np.concatenate(rows), np.concatenate(weights), np.array(count)
-        self.start = np.cumsum(self.count) - self.count
-
-    def take(self, texts: np.ndarray):
-        """rows, weights, owner, starts of some of the texts."""
-        n = self.count[texts]
-        starts = np.cumsum(n) - n
-        owner = np.repeat(np.arange(len(texts)), n)
-        at = np.arange(n.sum()) - starts[owner] + self.start[texts][owner]
-        return self.rows[at], self.weights[at], owner, starts
-
-    def logits(self, model: Model) -> np.ndarray:
-        out = []
-        for i in range(0, len(self.count), 4096):
-            rows, weights, _, starts = self.take(np.arange(i, min(i + 4096, len(self.count))))
-            out.append(model.logits(rows, weights, starts))
-        return np.concatenate(out)
+    """Rows and weights of sentences laid end to end, from what ``_encoded`` made of documents.
+
+    A token (a word with its subwords, or a pair of neighbours) weighs one, a text is the mean of its tokens.
+    """
+
+    def __init__(self, size: np.ndarray, count: np.ndarray, rows: np.ndarray, pairs: np.ndarray):
+        size, count = size.astype(np.int64), count.astype(np.int64)
+        word_of = np.repeat(np.arange(len(size)), size)
+        self.tokens = 2 * size - 1
+        sub_of = np.repeat(word_of, count)
+        pair_of = np.repeat(np.arange(len(size)), size - 1)
+        owner = np.concatenate([sub_of, pair_of])
+        weight = np.concatenate([np.repeat(1 / count, count), np.ones(len(pairs))])
+        order = np.argsort(owner, kind="stable")
+        self.owner, self.rows, self.weights = owner[order], np.concatenate([rows, pairs])[order].astype(np.int64), weight[order].astype(np.float32)
+
+    def means(self, embedding: np.ndarray, group: np.ndarray, kept: np.ndarray | None = None):
+        """Means per group of sentences (``group``: ascending, of each sentence); with the rows, weights, groups they came from."""
+        rows, weights, owner = (self.rows, self.weights, self.owner) if kept is None else (self.rows[kept], self.weights[kept], self.owner[kept])
+        g = group[owner]
+        weights = weights / np.bincount(group, self.tokens).astype(np.float32)[g]
+        if kept is not None:
+            weights = weights / np.float32(KEPT)
+        out = np.zeros((group[-1] + 1, embedding.shape[1]), np.float32)
+        if len(g):
+            first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+            out[g[first]] = np.add.reduceat(embedding[rows] * weights[:, None], first)
+        return out, rows, weights, g
 
 
 def _targets(z: np.ndarray, first: np.ndarray, n: np.ndarray, given: np.ndarray):
@@ -170,161 +172,175 @@ def _targets(z: np.ndarray, first: np.ndarray, n: np.ndarray, given: np.ndarray)
     return target, np.where((~labelled & (z > 0.5)) | open_, 0.0, 1.0)
 
 
-def _gradients(shared, phase: str, seed: int, rate: float):
-    """Steps on one shard; gives back how the parameters moved, for the rows it touched."""
+def _gradients(shared, phase: str, seed: int):
+    """The summed gradient of one partition's documents: rows of the embedding it touches, the outputs, the bias."""
 
     def run(frames: Iterator) -> Iterator:
         import pandas as pd
 
-        held = list(frames)  # one partition is one shard
-        if not sum(map(len, held)):
+        held = [f for f in frames if len(f)]
+        if not held:
             return
         pdf = pd.concat(held)
         model: Model = shared.value
-        buckets = Buckets(len(model.e))
-        docs = [[s.split(" ") for s in d] for d in pdf["units"]]
+        e, o, b = model.parameters
+        texts = Packed(*[np.frombuffer(b"".join(pdf[c]), t) for c, t in (("size", np.uint32), ("count", np.uint16), ("rows", np.uint16), ("pairs", np.uint16))])
+        n = (pdf["size"].str.len() // 4).to_numpy()
         given = np.stack([np.isin(model.subjects, list(x)).astype(np.float32) for x in pdf["labels"]])
         if phase == "documents":
-            texts, target, mask = Packed([[w for s in d for w in s] for d in docs], buckets), given, np.ones_like(given)
+            group, target, mask = np.repeat(np.arange(len(n)), n), given, np.float32(1)
         else:
-            n = np.array([len(d) for d in docs])
-            texts = Packed([s for d in docs for s in d], buckets)
-            target, mask = _targets(texts.logits(model), np.cumsum(n) - n, n, given)
-        e, o, b, ge, go, gb = model.e.copy(), model.o.copy(), model.b.copy(), model.ge.copy(), model.go.copy(), model.gb.copy()
-        touched = np.zeros(len(e), bool)
-        rng = np.random.default_rng(seed)
-        order = rng.permutation(len(texts.count))
-        for _ in range(DOCUMENT_STEPS if phase == "documents" else SENTENCE_STEPS):
-            part, order = order[:BATCH], order[BATCH:]
-            rows, weights, owner, starts = texts.take(part)
-            weights = weights * (rng.random(len(rows), np.float32) < KEPT) / np.float32(KEPT)
-            touched[model.step(rows, weights, owner, starts, target[part], mask[part], rate)] = True
-            if not len(order):
-                order = rng.permutation(len(texts.count))
-        rows = np.flatnonzero(touched).astype(np.int32)
-        parts = [rows, model.e[rows] - e[rows], model.ge[rows] - ge[rows], model.o - o, model.go - go, model.b - b, model.gb - gb]
-        model.e, model.o, model.b, model.ge, model.go, model.gb = e, o, b, ge, go, gb
-        yield pd.DataFrame([[np.ascontiguousarray(p).tobytes() for p in parts]], columns=list("abcdefg"))
+            group = np.arange(len(texts.tokens))
+            target, mask = _targets(texts.means(e, group)[0] @ o + b, np.cumsum(n) - n, n, given)
+        kept = np.flatnonzero(np.random.default_rng([seed, int(pdf["h"].iloc[0]) & 0xFFFF]).random(len(texts.rows), np.float32) < KEPT)
+        x, rows, weights, owner = texts.means(e, group, kept)
+        p = 1 / (1 + np.exp(-np.clip(x @ o + b, -30, 30)))
+        d = ((p - target) * mask).astype(np.float32)
+        dx = d @ o.T
+        touched, at = np.unique(rows, return_inverse=True)
+        de = np.stack([np.bincount(at, dx[owner, k] * weights, minlength=len(touched)) for k in range(WIDTH)], 1).astype(np.float32)
+        parts = [touched.astype(np.int32), de, (x.T @ d).astype(np.float32), d.sum(0), np.array([len(x)], np.int64)]
+        yield pd.DataFrame([[np.ascontiguousarray(v).tobytes() for v in parts]], columns=list("abcde"))
 
     return run
 
 
-def _synchronise(model: Model, moves: list) -> None:
-    """Adds the mean movement: of a row over the shards that touched it, of the outputs over all."""
-    width, subjects = model.e.shape[1], len(model.subjects)
-    de, dge, n = np.zeros_like(model.e), np.zeros_like(model.ge), np.zeros(len(model.e), np.float32)
-    for m in moves:
-        rows = np.frombuffer(m["a"], np.int32)
-        de[rows] += np.frombuffer(m["b"], np.float32).reshape(-1, width)
-        dge[rows] += np.frombuffer(m["c"], np.float32)
-        n[rows] += 1
-    model.e += de / np.maximum(n, 1)[:, None]
-    model.ge += dge / np.maximum(n, 1)
-    share = np.float32(1 / max(len(moves), 1))
-    for name, key, shape in (("o", "d", (width, subjects)), ("go", "e", (width, subjects)), ("b", "f", (subjects,)), ("gb", "g", (subjects,))):
-        setattr(model, name, getattr(model, name) + share * sum((np.frombuffer(m[key], np.float32).reshape(shape) for m in moves), np.zeros(shape, np.float32)))
+class _Descent:
+    """Steps along the synchronised gradient, scaled by running means of it and of its square."""
+
+    def __init__(self, model: Model):
+        self.model, self.t = model, 0
+        self.mean = [np.zeros_like(p) for p in model.parameters]
+        self.square = [np.zeros_like(p) for p in model.parameters]
+
+    def step(self, gradients: list, rate: float) -> None:
+        total = [np.zeros_like(p) for p in self.model.parameters]
+        n = max(1, sum(int(np.frombuffer(g["e"], np.int64)[0]) for g in gradients))
+        for g in gradients:
+            rows = np.frombuffer(g["a"], np.int32)
+            total[0][rows] += np.frombuffer(g["b"], np.float32).reshape(len(rows), WIDTH)
+            total[1] += np.frombuffer(g["c"], np.float32).reshape(total[1].shape)
+            total[2] += np.frombuffer(g["d"], np.float32)
+        self.t += 1
+        for p, m, v, g in zip(self.model.parameters, self.mean, self.square, total):
+            g = g / np.float32(n)
+            m *= np.float32(MEAN)
+            m += np.float32(1 - MEAN) * g
+            v *= np.float32(SQUARE)
+            v += np.float32(1 - SQUARE) * g * g
+            p -= np.float32(rate / (1 - MEAN**self.t)) * m / (np.sqrt(v / np.float32(1 - SQUARE**self.t)) + np.float32(1e-8))
 
 
 def _cut(frames: Iterator) -> Iterator:
     import pandas as pd
 
+    vocabulary = Vocabulary()
     for pdf in frames:
-        yield pd.DataFrame({"shard": pdf["shard"], "labels": pdf["labels"], "units": [[" ".join(w) for w in units_of(t)] for t in pdf["text"]]})
+        units = [vocabulary.units_of(t) for t in pdf["text"]]
+        some = np.array([len(u) > 0 for u in units], bool)
+        coded = [_encoded(vocabulary, u) for u in units if u]
+        out = pdf.loc[some, ["h", "labels"]].reset_index(drop=True)
+        for k, c in enumerate(("size", "count", "rows", "pairs")):
+            out[c] = [x[k] for x in coded]
+        yield out
 
 
 def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame, *, sample: int = SAMPLE) -> Model | None:
     """Fits the model on at most ``sample`` labelled documents; None without any.
 
-    Each round broadcasts the parameters (a fixed 4.5 MB), runs Adagrad steps on every shard and synchronises what the
-    shards report. First whole documents learn their labels, then sentences learn which of their document's labels they
-    carry; wrong labels of single documents are outvoted.
+    Each round broadcasts the parameters (a fixed 4.2 MB); every partition sums the gradient of its documents at these very
+    parameters, the driver adds the partitions' sums (so how documents are spread does not matter) and takes one step. First
+    whole documents learn their labels, then sentences learn which of their document's labels they carry; wrong labels of
+    single documents are outvoted. The hashed form of the sample is written once and read by every round without a shuffle.
     """
     spark = documents.sparkSession
     names = sorted(r["subject"] for r in subjects.select("subject").filter(F.col("subject").isNotNull()).distinct().collect())
+    h = F.xxhash64("doc_id")
     marked = (
         labels.select("doc_id", "subject").filter(F.col("subject").isin(names)).groupBy("doc_id").agg(F.collect_set("subject").alias("labels"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        .orderBy(h, "doc_id").limit(sample)
     )
-    stages = Stages(spark, "subjects")
-    texts = documents.select("doc_id", "text").filter(F.col("text").isNotNull()).join(marked, "doc_id")
-    cut = texts.select(F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)).cast("int").alias("shard"), "labels", "text").mapInPandas(_cut, "shard int, labels array<string>, units array<string>")
-    train = stages.keep(cut.filter(F.size("units") > 0).repartition(SHARDS, "shard"))
-    if not names or train.isEmpty():
-        return None
-    model = Model(names)
-    plan = ["documents"] * DOCUMENT_ROUNDS + ["sentences"] * SENTENCE_ROUNDS
-    schema = ", ".join(f"{c} binary" for c in "abcdefg")
-    for k, phase in enumerate(plan):
-        shared = spark.sparkContext.broadcast(model)
-        # a partition per shard: a repartition to a given number is not coalesced, so the shards run side by side
-        shards = train.repartition(SHARDS, "shard")
-        moves = shards.mapInPandas(_gradients(shared, phase, k, RATE * (1 - k / len(plan))), schema).collect()
-        _synchronise(model, moves)
-        shared.unpersist()
+    with Stages(spark, "subjects") as stages:
+        texts = documents.select("doc_id", "text").filter(F.col("text").isNotNull()).join(marked, "doc_id").select(h.alias("h"), "labels", "text")
+        train = stages.keep(texts.mapInPandas(_cut, "h long, labels array<string>, size binary, count binary, rows binary, pairs binary"))
+        n = train.count() if names else 0
+        if not n:
+            return None
+        model = Model(names)
+        descent = _Descent(model)
+        parts = max(1, round(n / BATCH))
+        plan = ["documents"] * DOCUMENT_ROUNDS + ["sentences"] * SENTENCE_ROUNDS
+        for k, phase in enumerate(plan):
+            shared = spark.sparkContext.broadcast(model)
+            turn = train if parts == 1 else train.filter(F.pmod(F.shiftright("h", 8), F.lit(parts)) == k % parts)
+            found = turn.coalesce(SHARDS).mapInPandas(_gradients(shared, phase, k), "a binary, b binary, c binary, d binary, e binary").collect()
+            descent.step(found, RATE * (1 - 0.8 * k / len(plan)))
+            shared.unpersist()
     return model
 
 
 class Scorer:
-    """Words and pairs become their contribution to the logits once; a sentence is then a mean of table rows."""
+    """Adds up what words and pairs contribute to the logits, from tables, over a batch of texts at once."""
 
     def __init__(self, model: Model):
-        self.model = model
-        self.buckets = Buckets(len(model.e))
-        self.place: dict[str, int] = {}
-        self.table = np.zeros((1 << 12, len(model.subjects)), np.float32)
-
-    def _add(self, token: str) -> int:
-        k = len(self.place)
-        if k >= len(self.table):
-            if k >= 1 << 19:
-                self.place.clear()
-                k = 0
-            else:
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[k] = self.model.e[self.buckets.rows(token)].mean(0) @ self.model.o
-        self.place[token] = k
-        return k
+        e, o, self.bias = model.parameters
+        self.subjects = model.subjects
+        self.pairs = e @ o
+        self.vocabulary = Vocabulary()
+        self.words = np.zeros((1 << 12, len(self.subjects)), np.float32)
+        self.hashes = np.zeros(1 << 12, np.uint64)
+        self.n = 0
+
+    def _learn(self) -> None:
+        v = self.vocabulary
+        while len(v.subs) > len(self.words):
+            self.words, self.hashes = np.concatenate([self.words, np.zeros_like(self.words)]), np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+        if self.n < (m := len(v.subs)):
+            new = v.subs[self.n : m]
+            size = np.array([len(x) for x in new])
+            rows = np.fromiter(chain.from_iterable(new), np.int64, size.sum())
+            self.words[self.n : m] = np.add.reduceat(self.pairs[rows], np.cumsum(size) - size) / size[:, None]
+            self.hashes[self.n : m] = v.hashes[self.n : m]
+            self.n = m
 
     def shares(self, texts: list[str | None]) -> np.ndarray:
         """Per text and subject the share of sentences that deal with it."""
-        out = np.zeros((len(texts), len(self.model.subjects)))
-        for i, text in enumerate(texts):
-            found = units_of(text)
-            if not found:
-                continue
-            yes = np.zeros(len(self.model.subjects))
-            for w in found:
-                t = tokens(w)
-                at = [self.place.get(x, -1) for x in t]
-                if -1 in at:
-                    if len(self.place) + len(t) >= 1 << 19:
-                        self.place.clear()
-                    for x in t:
-                        if x not in self.place:
-                            self._add(x)
-                    at = [self.place[x] for x in t]
-                yes += self.table[at].mean(0) + self.model.b > 0
-            out[i] = yes / len(found)
+        if len(self.vocabulary) > REMEMBERED:
+            self.vocabulary, self.n = Vocabulary(), 0
+        units = [self.vocabulary.units_of(t) for t in texts]
+        self._learn()
+        n = np.array([len(u) for u in units])
+        out = np.zeros((len(texts), len(self.subjects)))
+        if not n.sum():
+            return out
+        size = np.fromiter((len(s) for u in units for s in u), np.int64, n.sum())
+        ids = np.fromiter((i for u in units for s in u for i in s), np.int64, size.sum())
+        owner = np.repeat(np.arange(len(size)), size)
+        total = self.words[ids]
+        inside = np.flatnonzero(owner[1:] == owner[:-1])
+        total[inside] += self.pairs[_pair_rows(self.hashes[ids])[inside]]
+        logits = np.add.reduceat(total, np.cumsum(size) - size) / (2 * size - 1)[:, None] + self.bias
+        some = np.flatnonzero(n)
+        out[some] = np.add.reduceat((logits > 0).astype(float), (np.cumsum(n) - n)[some]) / n[some][:, None]
         return out
 
 
-_SCORERS: dict[int, Scorer] = {}
+_SCORERS: dict[bytes, Scorer] = {}
 
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = id(shared.value)
+        model: Model = shared.value
+        key = model.parameters[1].tobytes()
         if key not in _SCORERS:
             _SCORERS.clear()
-            _SCORERS[key] = Scorer(shared.value)
+            _SCORERS[key] = Scorer(model)
         scorer = _SCORERS[key]
-        names = scorer.model.subjects
+        names = np.array(scorer.subjects, object)
         for b in batches:
             share = scorer.shares(b.column("text").to_pylist())
             r, k = np.nonzero(share > 0)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(pa.array(r)), pa.array(np.array(names, object)[k], pa.string()), pa.array(share[r, k])], names=["doc_id", "subject", "share"]
-            )
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(r)), pa.array(names[k], pa.string()), pa.array(share[r, k])], names=["doc_id", "subject", "share"])
 
     return run
 

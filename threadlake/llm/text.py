@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 
 import regex
@@ -16,34 +15,24 @@ _LINKS = regex.compile(r"https?://\S+|www\.\S+|[#@][\p{L}\p{N}_]+")
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
-def _folding() -> dict[int, str | None]:
-    """What case folding to accent-free letters leaves: marks, invisible and control characters go, white space stays."""
-    table: dict[int, str | None] = {}
-    for c in range(sys.maxunicode + 1):
-        kind = unicodedata.category(chr(c))
-        if kind in ("Mn", "Me", "Cf", "Cn", "Co", "Cs"):
-            table[c] = None
-        elif kind == "Cc" and not chr(c).isspace():
-            table[c] = None
-    table[ord("đ")] = "d"  # a stroke is no mark, so decomposing keeps it
-    return table
-
-
-_TABLE: dict[int, str | None] = {}
+#: Marks, invisible, unassigned, private and control characters; of control characters those that count as white space stay.
+_HIDDEN = regex.compile(r"(?V1)[[\p{Cf}\p{Cc}\p{Cn}\p{Co}\p{Cs}]--[\t-\r\x1c-\x1f\x85]]+")
+_MARKS_AND_HIDDEN = regex.compile(r"(?V1)[[\p{Mn}\p{Me}\p{Cf}\p{Cc}\p{Cn}\p{Co}\p{Cs}]--[\t-\r\x1c-\x1f\x85]]+")
 
 
 def fold(text: str) -> str:
     """Compatibility-decomposed, case-folded, without marks and invisible characters."""
-    if not _TABLE:
-        _TABLE.update(_folding())
     if text.isascii() and text.isprintable():
         return text.lower()
-    return unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", text).casefold()).translate(_TABLE)
+    plain = unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", text).casefold())
+    return _MARKS_AND_HIDDEN.sub("", plain).replace("đ", "d")  # a stroke is no mark, so decomposing keeps it
 
 
 def visible(text: str) -> str:
     """Composed text without invisible and control characters."""
-    return "".join(c for c in unicodedata.normalize("NFKC", text) if c.isspace() or unicodedata.category(c) not in ("Cf", "Cc", "Cn", "Co", "Cs"))
+    if text.isascii() and text.isprintable():
+        return text
+    return _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
 
 
 def words(text: str) -> list[str]:
