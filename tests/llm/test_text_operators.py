@@ -50,6 +50,11 @@ def test_languages(spark, units):
     assert languages.found(df.limit(0)).count() == 0
 
 
+def test_numbers_count_as_words_of_a_sentence():
+    assert languages.chunks("Nous avons vu 12 films, en 2024. 7") == [(0, "nous avons vu films", 5), (0, "en", 2)]
+    assert languages.chunks("») « 12, !") == [] and languages.chunks("") == []
+
+
 ITEMS = [(1, " ".join(f"eval{chr(97 + k % 26)}{k}" for k in range(60)), "en"), (2, None, "en"), (3, "too short to leak", "en"), (4, "", "vi")]
 
 

@@ -5,15 +5,16 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import zip_longest
+from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadlake.llm.text import fold, letter_runs, sentences, without_links
+from threadlake.llm.text import fold, sentences, without_links, words
 from threadlake.plans.lineage import Stages
 from threadlake.sources.tables import latest_units, table
 
@@ -44,6 +45,7 @@ WINDOW = 6
 _CLAUSE = regex.compile(r"[,;:()\"«»“”]+\s*")
 
 
+@lru_cache(100_000)
 def label_language(label: str | None) -> str | None:
     """The language a label names: a code of ``LANGUAGES``, ``other``, or None for a placeholder."""
     plain = fold(label or "").strip()
@@ -56,16 +58,37 @@ def label_language(label: str | None) -> str | None:
     return None if head in PLACEHOLDERS else "other"
 
 
+class _Folded(dict):
+    """Stretch without white space -> its folded words, None where a clause ends. Made when first met."""
+
+    def __missing__(self, stretch: str) -> tuple[str | None, ...]:
+        if len(self) > 400_000:
+            self.clear()
+        clauses = [words(c) for c in _CLAUSE.split(fold(stretch))]
+        found = self[stretch] = tuple([w for k, c in enumerate(clauses) for w in ((None,) if k else ()) + tuple(c)])
+        return found
+
+
+_FOLDED = _Folded()
+
+
 def chunks(text: str) -> list[tuple[int, str, int]]:
-    """(sentence number, folded words, number of words) of the clauses of a text; long ones in windows."""
+    """(sentence number, folded words with a letter, number of words) of the clauses of a text; long ones in windows."""
     out = []
     for k, sentence in enumerate(sentences(without_links(text))):
-        for clause in _CLAUSE.split(fold(sentence)):
-            w = letter_runs(clause)
+        w: list[str] = []
+        for x in chain(chain.from_iterable(map(_FOLDED.__getitem__, sentence.split())), (None,)):
+            if x is not None:
+                w.append(x)
+                continue
             parts = max(1, round(len(w) / (1.5 * WINDOW))) if len(w) > 2 * WINDOW else 1
-            for i in range(parts):
-                if piece := w[len(w) * i // parts : len(w) * (i + 1) // parts]:
-                    out.append((k, " ".join(piece), len(piece)))
+            for i in range(parts if w else 0):
+                piece = w[len(w) * i // parts : len(w) * (i + 1) // parts]
+                if letters := [y for y in piece if not y.isnumeric()]:
+                    out.append((k, " ".join(letters), len(piece)))
+                elif out and out[-1][0] == k:  # numbers alone count with the clause before them
+                    out[-1] = (k, out[-1][1], out[-1][2] + len(piece))
+            w = []
     return out
 
 
@@ -147,70 +170,98 @@ class CompressionClassifier:
 
 
 def _dictionary(code: str, texts: list[str]) -> bytes:
-    out, size = [], 0
-    for t in texts:
-        s = " ".join(c for _, c, _ in chunks(t))
-        if size + len(s) > DICTIONARY_CHARS:
-            continue
-        out.append(s)
-        size += len(s) + 1
     # zstandard finds the nearest text cheapest, so the seed goes to the far end
-    return (" " + SEEDS[code] + " " + " ".join(out) + " ").encode()
+    return (" " + SEEDS[code] + " " + " ".join(texts) + " ").encode()
+
+
+def _fold_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        folded = [" ".join(c for _, c, _ in chunks(t or "")) for t in b.column("full_text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(folded, pa.string())], names=[*b.schema.names, "folded"])
+
+
+def _agreeing(shared):
+    """Rows whose text the other half's dictionaries find to be in the labelled language, whole and beyond doubt."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judges = [_classifier(d) for d in shared.value]
+        for b in batches:
+            ok = []
+            for code, half, text in zip(b.column("code").to_pylist(), b.column("half").to_pylist(), b.column("full_text").to_pylist()):
+                found = judges[1 - half].classify(text)
+                ok.append(found["lang"] == code and not found["segments"] and not found["rejected"])
+            yield b.filter(pa.array(ok, pa.bool_()))
+
+    return run
 
 
 def fit(units: DataFrame, *, sample: int = SAMPLE) -> dict[str, bytes]:
-    """Dictionaries per language from at most ``sample`` labelled units of each (chosen by the hash of their ids).
+    """Dictionaries per language from at most ``sample`` labelled units of each (chosen by the hash of their ids), of texts
+    of 30 to ``SAMPLE_CHARS`` code points; the texts that fill ``DICTIONARY_CHARS`` in that order make the dictionary.
 
     Labels may be wrong: each half of the sample is judged with dictionaries of the other half, and only texts whose
-    language agrees with their label and that hold no segment of another language go into the final dictionaries.
+    language agrees with their label and that hold no segment of another language go into the final dictionaries. Texts are
+    folded and judged by the executors; the driver gets what fills the dictionaries.
     """
-    stages = Stages(units.sparkSession, "languages")
+    spark = units.sparkSession
     sized = units.select("id", "built_at", "language_primary", F.char_length("full_text").alias("n"))
     # texts stay where they are until the sample is known
     narrow = latest_units(sized, "id", "language_primary", "n").filter(F.col("n").between(30, SAMPLE_CHARS) & F.col("language_primary").isNotNull())
     head = F.split(F.lower(F.trim("language_primary")), r"[-_\s]")[0]
     code = F.coalesce(*[F.when(head.isin(*names), F.lit(c)) for c, names in SPELLINGS.items()])
-    spelled = stages.keep(narrow.select("id", code.alias("code"), F.xxhash64("id").alias("h")).filter("code is not null"))
-    chosen = None
-    for c in LANGUAGES:
-        part = spelled.filter(F.col("code") == c).orderBy("h", "id").limit(sample)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    chosen = stages.keep(chosen)
-    texts = latest_units(units.join(F.broadcast(chosen.select("id")), "id", "left_semi"), "id", "full_text")  # at most 3 * sample ids
-    halves: list[dict[str, list[str]]] = [defaultdict(list), defaultdict(list)]
-    for k, r in enumerate(texts.join(F.broadcast(chosen), "id").orderBy("code", "h", "id").collect()):
-        halves[k % 2][r["code"]].append(r["full_text"] or "")
-    for _ in range(2):
-        kept: list[dict[str, list[str]]] = [defaultdict(list), defaultdict(list)]
-        for k in (0, 1):
-            judge = CompressionClassifier({c: _dictionary(c, halves[1 - k][c]) for c in LANGUAGES})
-            for code in LANGUAGES:
-                for t in halves[k][code]:
-                    found = judge.classify(t)
-                    if found["lang"] == code and not found["segments"] and not found["rejected"]:
-                        kept[k][code].append(t)
-        halves = kept
-    return {c: _dictionary(c, [t for pair in zip_longest(halves[0][c], halves[1][c]) for t in pair if t]) for c in LANGUAGES}
+    spelled = narrow.select("id", code.alias("code"), F.xxhash64("id").alias("h")).filter("code is not null")
+    # a task keeps the first ``sample`` rows of a language before any are brought together
+    first = F.row_number().over(Window.partitionBy("code").orderBy("h", "id"))
+    with Stages(spark, "languages") as stages:
+        chosen = stages.keep(spelled.withColumn("k", first).filter(F.col("k") <= sample))
+        texts = latest_units(units.join(F.broadcast(chosen.select("id")), "id", "left_semi"), "id", "full_text")  # at most 3 * sample ids
+        rows = texts.join(F.broadcast(chosen), "id").select("code", (F.col("k") % 2).cast("int").alias("half"), "k", "full_text")
+        schema = "code string, half int, k int, full_text string"
+        rows = stages.keep(rows.mapInArrow(_fold_texts, schema + ", folded string"))
+
+        def dictionaries(rows: DataFrame, *by: str) -> dict:
+            upto = F.sum(F.char_length("folded") + 1).over(Window.partitionBy("code", *by).orderBy("k"))
+            got: dict = defaultdict(list)
+            for r in rows.withColumn("upto", upto).filter(F.col("upto") <= DICTIONARY_CHARS).select("code", "half", "k", "folded").orderBy("k").collect():
+                got[(r["code"], r["half"]) if by else r["code"]].append(r["folded"])
+            return got
+
+        for _ in range(2):
+            halves = dictionaries(rows, "half")
+            shared = spark.sparkContext.broadcast([{c: _dictionary(c, halves[c, k]) for c in LANGUAGES} for k in (0, 1)])
+            spread = rows.repartition(max(2, spark.sparkContext.defaultParallelism), "k")
+            rows = stages.keep(spread.mapInArrow(_agreeing(shared), schema + ", folded string"))
+        whole = dictionaries(rows)
+    return {c: _dictionary(c, whole[c]) for c in LANGUAGES}
 
 
 _READY: dict[int, CompressionClassifier] = {}
+
+
+def _classifier(dictionaries: dict[str, bytes]) -> CompressionClassifier:
+    """The worker's classifier for these dictionaries; the oldest of more than three is let go."""
+    key = hash(tuple(sorted(dictionaries.items())))
+    if key not in _READY:
+        while len(_READY) > 2:
+            _READY.pop(next(iter(_READY)))
+        _READY[key] = CompressionClassifier(dictionaries)
+    return _READY[key]
+
+
 _SEGMENT = pa.struct([("lang", pa.string()), ("words", pa.int32()), ("confidence", pa.float64())])
 
 
 def _kernel(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dictionaries = shared.value
-        key = hash(tuple(sorted(dictionaries.items())))
-        if key not in _READY:
-            _READY[key] = CompressionClassifier(dictionaries)
-        judge = _READY[key].classify
+        judge = _classifier(shared.value).classify
         for b in batches:
-            found = [judge(t.as_py()) for t in b.column("full_text")]
-            named = [label_language(x.as_py()) for x in b.column("language_primary")]
+            texts = b.column("full_text").to_pylist()
+            found = [judge(t) for t in texts]
+            named = [label_language(x) for x in b.column("language_primary").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("id"),
-                    pa.array([t.as_py() in (None, "") for t in b.column("full_text")], pa.bool_()),
+                    pa.array([not t for t in texts], pa.bool_()),
                     pa.array(named, pa.string()),
                     pa.array([f["lang"] for f in found], pa.string()),
                     pa.array([f["confidence"] for f in found], pa.float64()),

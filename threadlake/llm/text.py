@@ -40,10 +40,6 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text)
 
 
-def letter_runs(text: str) -> list[str]:
-    return _LETTERS.findall(text)
-
-
 def without_links(text: str) -> str:
     """The text without addresses, hashtags and mentions."""
     return _LINKS.sub(" ", text)
