@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.conftest import rows
@@ -58,6 +59,46 @@ def test_ambiguous_cells_are_refined(spark):
         assert rows(C.found(frame(spark, p))) == brute(p)
 
 
+def test_squaring_by_joins_equals_squaring_in_one_task(spark, monkeypatch):
+    """The distributed rounds and contractions give the groups of the local kernel, and flow decides them."""
+    f = frame(spark, blobs())
+    local = C.cluster_units(f).members
+    one = {r.unit_id: (r.group, r.cluster) for r in local.collect()}
+    monkeypatch.setattr(C, "LOCAL_LINKS", 0)
+    monkeypatch.setitem(C.markov_levels.__kwdefaults__, "local_links", 0)
+    many = {r.unit_id: (r.group, r.cluster) for r in C.cluster_units(f).members.collect()}
+
+    def classes(x, k):
+        out = {}
+        for unit, names in x.items():
+            out.setdefault(names[k], set()).add(unit)
+        return {frozenset(v) for v in out.values()}
+
+    assert classes(one, 0) == classes(many, 0)
+    same = classes(one, 1) & classes(many, 1)
+    assert len(same) >= 0.9 * len(classes(one, 1))
+
+
+def test_groups_are_what_flow_brings_together(monkeypatch):
+    """Without flow (every node its own cluster) nothing merges: the links alone decide nothing."""
+    links = pa.RecordBatch.from_pydict({"a": ["a", "b", "d"], "b": ["b", "c", "e"], "s": [0.9, 0.8, 0.7], "m": [1.0] * 3, "n": [1.0] * 3})
+    found = {r["node"]: r["part"] for b in C._local_levels(iter([links]), True) for r in b.to_pylist()}
+    assert found == {"a": found["b"], "b": found["c"], "c": found["a"], "d": found["e"], "e": found["d"]} and found["a"] != found["d"]
+    monkeypatch.setattr(C, "_settle", lambda col, row, v, n, *a: (np.arange(n), np.ones(n)))
+    with pytest.raises(RuntimeError, match="do not merge"):
+        list(C._local_levels(iter([links]), True))
+
+
+def test_flow_of_two_cliques():
+    a = [(i, j) for i in range(5) for j in range(i)] + [(i, j) for i in range(5, 10) for j in range(5, i)] + [(5, 4)]
+    x, y = np.array(a).T
+    own = np.arange(10)
+    low, flow = C._settle(np.r_[x, y, own], np.r_[y, x, own], np.ones(2 * len(a) + 10), 10, 2.0, C.PRUNE, C.KEEP, C.ROUNDS)
+    assert low[:5].tolist() == [low[0]] * 5 and low[5:].tolist() == [low[5]] * 5 and low[0] != low[5] and (flow > 0).all()
+    unlike = np.arange(40)  # a path is cut into several clusters
+    assert len(set(C._settle(np.r_[unlike[:-1], unlike[1:], unlike], np.r_[unlike[1:], unlike[:-1], unlike], np.ones(118), 40, 2.0, C.PRUNE, C.KEEP, C.ROUNDS)[0].tolist())) > 4
+
+
 def test_messy_rows(spark):
     base = [(f"{i:02d}", 0.1 * i, 0.0, 0.0, 2, "x", "x") for i in range(8)]
     extra = [("00", 99.0, 0.0, 0.0, 1, "x", "x"), base[3], ("90", None, 0.0, 0.0, 1, "x", "x"), ("91", float("nan"), 0.0, 0.0, 1, "x", "x"), ("92", float("inf"), 0.0, 0.0, 1, "x", "x"), (None, 0.0, 0.0, 0.0, 1, "x", "x")]

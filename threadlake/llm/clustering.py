@@ -1,4 +1,4 @@
-"""Similarity clusters by Markov clustering on a graph of grid cells, with an exact merge of touching clusters."""
+"""Similarity clusters by Markov clustering on a graph of grid cells, repeated on the contracted graph."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from threadlake.plans.lineage import Stages
@@ -15,10 +15,15 @@ from threadlake.sources.tables import latest_units, table
 STEP = 0.8
 LEAST = 8
 INFLATION = 2.0
-#: Entries below this are pruned from the flow matrix; of the rest a column keeps the largest ``KEEP``.
+#: Entries below this are pruned from the flow matrix; of the rest a squared column keeps the largest ``KEEP``.
 PRUNE = 1e-3
-KEEP = 12
-ROUNDS = 30
+KEEP = 32
+#: Rounds after which an unsettled flow is an error, and how far a column may be from settled.
+ROUNDS, SETTLED = 100, 1e-3
+#: A graph of at most so many links is squared in one task (the matrix then fits it), a larger one by joins.
+LOCAL_LINKS = 250_000
+#: Products that one step of a local squaring holds.
+PRODUCTS = 4_000_000
 REPRESENTATIVES = 3
 #: Each refinement cuts a box into 8 parts per axis.
 REFINE = 8
@@ -92,7 +97,7 @@ def _linked_cells(points: DataFrame, cells: DataFrame, side: float, step: float,
     judged = _judged(left.join(right, ["k0x", "k0y", "k0z"]).select("a_cell", "b_cell", "a", "b"), step).filter(F.col("link").isNull() | F.col("link"))
     judged = stages.keep(judged)
     found = [judged.filter("link").select("a_cell", "b_cell")]
-    open_ = judged.filter("link is null").select("a_cell", "b_cell", F.col("a_cell").alias("a_box"), F.col("b_cell").alias("b_box"))
+    open_ = judged.filter("link is null").select("a_cell", "b_cell", F.col("a_cell").alias("a_box"), F.col("b_cell").alias("b_box"), "a", "b")
     inside = points.select("cell", F.col("cell").alias("box"), *AXES).distinct()
     level = 1
     while not open_.isEmpty():
@@ -100,12 +105,17 @@ def _linked_cells(points: DataFrame, cells: DataFrame, side: float, step: float,
         inside = stages.keep(
             inside.join(wanted, "box", "left_semi").select("cell", "box", *AXES, F.concat_ws("/", "box", *_keys(side, level)).alias("sub"))
         )
-        subs = inside.groupBy("box", "sub").agg(*_box_columns()).select("box", "sub", F.struct(*_LOW, *_HIGH, *_REP).alias("s"))
-        a = subs.select(F.col("box").alias("a_box"), F.col("sub").alias("a_sub"), F.col("s").alias("a"))
-        b = subs.select(F.col("box").alias("b_box"), F.col("sub").alias("b_sub"), F.col("s").alias("b"))
-        judged = _judged(open_.join(a, "a_box").join(b, "b_box"), step).filter(F.col("link").isNull() | F.col("link"))
-        judged = stages.keep(judged.select("a_cell", "b_cell", F.col("a_sub").alias("a_box"), F.col("b_sub").alias("b_box"), "link"))
-        yes = stages.keep(judged.filter("link").select("a_cell", "b_cell").distinct())
+        subs = stages.keep(inside.groupBy("box", "sub").agg(*_box_columns()).select("box", "sub", F.struct(*_LOW, *_HIGH, *_REP).alias("s")))
+        pair = ["a_cell", "b_cell", "a_box", "b_box"]
+        slack = step * step * (1 + 1e-9)
+        # of each box only the parts within a step of the other box can matter; the parts of both that are left meet then
+        facing = open_.join(subs.select(F.col("box").alias("a_box"), F.col("sub").alias("a_sub"), F.col("s").alias("sa")), "a_box")
+        facing = facing.filter(_gap2("sa", "b")[0] <= slack).select(*pair, "a_sub", "sa", F.col("a").alias("whole"))
+        facing = facing.join(subs.select(F.col("box").alias("b_box"), F.col("sub").alias("b_sub"), F.col("s").alias("sb")), "b_box").filter(_gap2("sb", "whole")[0] <= slack)
+        judged = _judged(facing.select("a_cell", "b_cell", "a_sub", "b_sub", F.col("sa").alias("a"), F.col("sb").alias("b")), step).filter(F.col("link").isNull() | F.col("link"))
+        # a pair that is linked anywhere is settled: its open parts are dropped in the same pass
+        judged = stages.keep(judged.select("a_cell", "b_cell", F.col("a_sub").alias("a_box"), F.col("b_sub").alias("b_box"), "a", "b", "link"))
+        yes = judged.filter("link").select("a_cell", "b_cell").distinct()
         found.append(yes)
         open_ = stages.keep(judged.filter("link is null").drop("link").join(yes, ["a_cell", "b_cell"], "left_anti"))
         inside = inside.select("cell", F.col("sub").alias("box"), *AXES)
@@ -117,41 +127,169 @@ def _linked_cells(points: DataFrame, cells: DataFrame, side: float, step: float,
     return stages.keep(out.select(low.alias("a_cell"), high.alias("b_cell")).distinct())
 
 
-def _columns(rows: DataFrame, inflation: float, prune: float, keep: int) -> DataFrame:
-    """(col, row, v) entries, summed per entry before: inflated, small ones pruned, columns normalized."""
+def _pruned(col: np.ndarray, row: np.ndarray, v: np.ndarray, inflation: float, prune: float, keep: int | None):
+    """Entries by column, inflated, small ones pruned, columns normalized; and how far each entry's column is from settled.
+
+    ``row`` need only be comparable: of equal entries the smaller row stays."""
+    n = int(col[-1]) + 1 if len(col) else 0
+    v = v**inflation
+    v = v / np.bincount(col, v, n)[col]
+    ok = v >= prune
+    order = np.lexsort((row, -v, col))
+    size = np.bincount(col, minlength=n)
+    rank = np.empty(len(v), np.int64)
+    rank[order] = np.arange(len(v)) - np.repeat(np.cumsum(size) - size, size)
+    ok = (ok | (rank == 0)) & ((rank < keep) if keep else True)
+    col, row, v = col[ok], row[ok], v[ok]
+    v = v / np.bincount(col, v, n)[col]
+    top = np.zeros(n)
+    np.maximum.at(top, col, v)
+    return ok, v, (top - np.bincount(col, v * v, n))[col]
+
+
+def _columns(rows: DataFrame, inflation: float, prune: float, keep: int | None) -> DataFrame:
+    """(col, row, v, chaos) entries, summed per entry before, pruned by ``_pruned``. A column is one short list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             lists, values = b.column("rows"), b.column("vals").flatten().to_numpy()
-            size = np.diff(lists.offsets.to_numpy())
             names = lists.flatten()
-            col = np.repeat(np.arange(b.num_rows), size)
-            v = values**inflation
-            v = v / np.bincount(col, v)[col]
-            order = np.lexsort((names.to_numpy(zero_copy_only=False).astype(str), -v, col))
-            rank = np.empty(len(v), np.int64)
-            rank[order] = np.arange(len(v)) - np.repeat(np.cumsum(size) - size, size)
-            ok = (rank < keep) & ((v >= prune) | (rank == 0))
-            col, v, names = col[ok], v[ok], names.filter(pa.array(ok))
-            v = v / np.bincount(col, v, minlength=b.num_rows)[col]
-            top = np.zeros(b.num_rows)
-            np.maximum.at(top, col, v)
-            unsettled = (top - np.bincount(col, v * v, minlength=b.num_rows))[col]
-            yield pa.RecordBatch.from_arrays([b.column("col").take(pa.array(col)), names, pa.array(v), pa.array(unsettled)], names=["col", "row", "v", "chaos"])
+            col = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+            ok, v, chaos = _pruned(col, names.to_numpy(zero_copy_only=False).astype(str), values, inflation, prune, keep)
+            yield pa.RecordBatch.from_arrays([b.column("col").take(pa.array(col[ok])), names.filter(pa.array(ok)), pa.array(v), pa.array(chaos)], names=["col", "row", "v", "chaos"])
 
     lists = rows.groupBy("col").agg(F.collect_list("row").alias("rows"), F.collect_list("v").alias("vals"))
     return lists.mapInArrow(run, "col string, row string, v double, chaos double")
 
 
-def markov_clusters(cells: DataFrame, links: DataFrame, stages: Stages, *, inflation: float = INFLATION, prune: float = PRUNE, keep: int = KEEP, rounds: int = ROUNDS) -> DataFrame:
-    """cell, cluster, flow: Markov clustering of the weighted cell graph.
+def _settle(col: np.ndarray, row: np.ndarray, v: np.ndarray, n: int, inflation: float, prune: float, keep: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cluster and flow of each of ``n`` nodes: squaring, inflation and pruning of a flow matrix until it settles.
+
+    The strongest row of a column is its attractor; attractors of one cluster may point at each other: the smallest names it.
+    """
+    order = np.lexsort((row, col))
+    col, row, v = col[order], row[order], v[order]
+    ok, v, _ = _pruned(col, row, v, 1.0, prune, None)
+    col, row = col[ok], row[ok]
+    for _ in range(rounds):
+        size = np.bincount(col, minlength=n)
+        start = np.cumsum(size) - size
+        cost = np.cumsum(size[row])
+        parts, at = [], 0
+        while at < len(col):
+            to = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + PRODUCTS, "right")))
+            if to < len(col):  # whole columns
+                to = max(int(start[col[to]]), int(start[col[at]] + size[col[at]]))
+            k = size[row[at:to]]
+            source = np.repeat(start[row[at:to]], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            key, where = np.unique(np.repeat(col[at:to], k) * n + row[source], return_inverse=True)
+            c, r = key // n, key % n
+            w = np.bincount(where, np.repeat(v[at:to], k) * v[source])
+            first = int(c[0])
+            ok, w, chaos = _pruned(c - first, r, w, inflation, prune, keep)
+            parts.append((c[ok], r[ok], w, chaos))
+            at = to
+        col, row, v, chaos = (np.concatenate(x) for x in zip(*parts))
+        if chaos.max() <= SETTLED:
+            break
+    else:
+        raise RuntimeError(f"the flow has not settled after {rounds} rounds")
+    order = np.lexsort((row, np.round(-v, 9), col))
+    lead = order[np.flatnonzero(np.r_[True, col[order][1:] != col[order][:-1]])]
+    end, low = row[lead], np.minimum(np.arange(n), row[lead])
+    for _ in range(max(1, int(n).bit_length())):
+        low, end = np.minimum(low, low[end]), end[end]
+    return low[end], v[lead]
+
+
+def _unite(a: np.ndarray, b: np.ndarray, s: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links between clusters (a < b) with the summed similarity of the links they hold."""
+    x, y = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+    apart = x != y
+    if not apart.any():
+        return x[:0], y[:0], s[:0]
+    key, where = np.unique(np.stack([x[apart], y[apart]], 1), axis=0, return_inverse=True)
+    return key[:, 0], key[:, 1], np.bincount(where.ravel(), s[apart])
+
+
+def _local_levels(batches: Iterator[pa.RecordBatch], weighted: bool) -> Iterator[pa.RecordBatch]:
+    """node, cluster, flow, part for the nodes of all links (a, b, s, m, n), which fit one task."""
+    held = pa.Table.from_batches(list(batches))
+    if not held.num_rows:
+        return
+    names, number = np.unique(np.concatenate([held["a"].to_numpy(zero_copy_only=False).astype(str), held["b"].to_numpy(zero_copy_only=False).astype(str)]), return_inverse=True)
+    a, b = number[: held.num_rows], number[held.num_rows :]
+    s, mass = held["s"].to_numpy(), np.ones(len(names))
+    if weighted:
+        mass[a], mass[b] = held["m"].to_numpy(), held["n"].to_numpy()
+    own = np.arange(len(names))
+    part, cluster, flow, inflation = own.copy(), None, None, INFLATION
+    while len(a):
+        nodes = np.unique(np.concatenate([a, b]))
+        x, y = np.searchsorted(nodes, a), np.searchsorted(nodes, b)
+        if cluster is None and weighted:
+            loop = np.sqrt(mass[nodes])
+            into_a, into_b = s * np.sqrt(mass[a]), s * np.sqrt(mass[b])
+        else:  # a contracted graph: staying weighs as much as the strongest way out
+            loop, into_a, into_b = np.zeros(len(nodes)), s, s
+            np.maximum.at(loop, x, s)
+            np.maximum.at(loop, y, s)
+        every = np.arange(len(nodes))
+        low, f = _settle(np.concatenate([x, y, every]), np.concatenate([y, x, every]), np.concatenate([into_b, into_a, loop]), len(nodes), inflation, PRUNE, KEEP, ROUNDS)
+        label = own.copy()
+        label[nodes] = nodes[low]
+        if cluster is None:
+            cluster, flow = label.copy(), np.ones(len(names))
+            flow[nodes] = f
+        elif len(np.unique(low)) == len(nodes):
+            if inflation < 1.01:
+                raise RuntimeError("linked clusters do not merge")
+            inflation = 1 + (inflation - 1) / 2  # weaker inflation lets flow reach further
+        part = label[part]
+        a, b, s = _unite(a, b, s, label)
+    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[cluster]), pa.array(flow), pa.array(names[part])], names=["node", "cluster", "flow", "part"])
+
+
+def _distributed_flow(links: DataFrame, weighted: bool, inflation: float, stages: Stages) -> DataFrame:
+    """node, cluster, flow by squaring with joins. Expansion is one sparse join on the middle index whose products are summed
+    map-side before the shuffle; pruning bounds a column, so a round costs at most KEEP * KEEP products a node."""
+    into_a, into_b = (F.col("s") * F.sqrt("m"), F.col("s") * F.sqrt("n")) if weighted else (F.col("s"), F.col("s"))
+    ways = links.select(F.col("a").alias("col"), F.col("b").alias("row"), into_b.alias("v")).union(links.select("b", "a", into_a))
+    if weighted:
+        own = links.select(F.col("a").alias("col"), F.sqrt("m").alias("v")).union(links.select("b", F.sqrt("n")))
+    else:
+        own = ways.select("col", "v")
+    loops = own.groupBy("col").agg(F.max("v").alias("v")).select("col", F.col("col").alias("row"), "v")
+    flow = stages.keep(_columns(ways.union(loops), 1.0, PRUNE, None))
+    for _ in range(ROUNDS):
+        left = flow.select(F.col("col").alias("mid"), "row", F.col("v").alias("v1"))
+        right = flow.select("col", F.col("row").alias("mid"), F.col("v").alias("v2"))
+        squared = right.join(left, "mid").groupBy("col", "row").agg(F.sum(F.col("v1") * F.col("v2")).alias("v"))
+        seen = Observation()
+        new = stages.keep(_columns(squared, inflation, PRUNE, KEEP).observe(seen, F.max("chaos").alias("chaos")))
+        stages.drop(flow)
+        flow = new
+        if (seen.get["chaos"] or 0) <= SETTLED:
+            break
+    else:
+        raise RuntimeError(f"the flow has not settled after {ROUNDS} rounds")
+    best = F.max(F.struct(F.round("v", 9).alias("v"), F.col("row"))).alias("x")
+    strongest = stages.keep(flow.groupBy("col").agg(best).select(F.col("col").alias("v"), F.col("x.row").alias("to"), F.col("x.v").alias("flow")))
+    # several attractors of one cluster may point at each other: follow them to the smallest one
+    names = connected(strongest.select(F.col("v").alias("a"), F.col("to").alias("b")).filter("a <> b"), strongest.select("v"), stages)
+    return stages.keep(names.join(strongest, "v").select(F.col("v").alias("node"), F.col("label").alias("cluster"), "flow"))
+
+
+def markov_levels(cells: DataFrame, links: DataFrame, stages: Stages, *, local_links: int = LOCAL_LINKS) -> DataFrame:
+    """cell, cluster, flow, group: Markov clustering of the weighted cell graph, and what repeating it leads to.
 
     The flow matrix starts from Gaussian similarities of the cells' centres, weighted by the mass of the cell that flow
-    enters, with a self loop per cell. Expansion squares it by one sparse join on the middle index; the products are summed
-    map-side before the shuffle. Inflation and pruning bound every column by ``keep`` entries, so a round costs at most
-    keep * keep products per cell. It ends when every column has settled. The strongest row of a column is its attractor.
+    enters, with a self loop per cell. Expansion (squaring), inflation and pruning alternate until every column has settled;
+    the attractor rows define the clusters. Clusters between which links are left are contracted to nodes, linked by the sum
+    of those links' similarities, and the flow runs again, until no link is left: a ``group`` is everything that flow brings
+    together. A level that merges nothing is repeated with weaker inflation; a flow that does not settle is an error.
     """
     near = cells.select(F.col("cell").alias("a_cell"), F.struct(*AXES, "n").alias("p"))
     far = cells.select(F.col("cell").alias("b_cell"), F.struct(*AXES, "n").alias("q"))
@@ -159,28 +297,38 @@ def markov_clusters(cells: DataFrame, links: DataFrame, stages: Stages, *, infla
     for x in AXES:
         d2 = d2 + (F.col(f"p.{x}") - F.col(f"q.{x}")) * (F.col(f"p.{x}") - F.col(f"q.{x}"))
     alike = F.exp(-d2 / (2 * STEP * STEP / 4))
-    w = links.join(near, "a_cell").join(far, "b_cell").select("a_cell", "b_cell", alike.alias("s"), F.col("p.n").alias("m"), F.col("q.n").alias("n"))
-    entries = (
-        w.select(F.col("a_cell").alias("col"), F.col("b_cell").alias("row"), (F.col("s") * F.sqrt("n")).alias("v"))
-        .union(w.select(F.col("b_cell"), F.col("a_cell"), F.col("s") * F.sqrt("m")))
-        .union(cells.select(F.col("cell"), F.col("cell"), F.sqrt("n")))
+    left = stages.keep(
+        links.join(near, "a_cell").join(far, "b_cell").select(F.col("a_cell").alias("a"), F.col("b_cell").alias("b"), alike.alias("s"), F.col("p.n").alias("m"), F.col("q.n").alias("n"))
     )
-    flow = stages.keep(_columns(entries, 1.0, prune, keep))
-    for _ in range(rounds):
-        left = flow.select(F.col("col").alias("mid"), "row", F.col("v").alias("v1"))
-        right = flow.select("col", F.col("row").alias("mid"), F.col("v").alias("v2"))
-        squared = right.join(left, "mid").groupBy("col", "row").agg(F.sum(F.col("v1") * F.col("v2")).alias("v"))
-        new = stages.keep(_columns(squared, inflation, prune, keep))
-        stages.drop(flow)
-        flow = new
-        if flow.filter("chaos > 0.001").isEmpty():
+    count, inflation = left.count(), INFLATION
+    out, weighted = None, True
+    while count:
+        if count <= local_links:
+            level = left.repartition(1).mapInArrow(lambda batches, w=weighted: _local_levels(batches, w), "node string, cluster string, flow double, part string")
+        else:
+            level = _distributed_flow(left, weighted, inflation, stages).withColumn("part", F.col("cluster"))
+        level = stages.keep(level)
+        if out is None:
+            out = level.select(F.col("node").alias("cell"), "cluster", "flow", F.col("part").alias("group"))
+        else:
+            out = out.join(level.select(F.col("node").alias("group"), "part"), "group", "left").select("cell", "cluster", "flow", F.coalesce("part", "group").alias("group"))
+        if count <= local_links:
             break
-    strongest = flow.groupBy("col").agg(F.max(F.struct(F.round("v", 9).alias("v"), F.col("row"))).alias("x")).select(F.col("col").alias("cell"), F.col("x.row").alias("cluster"), F.col("x.v").alias("flow"))
-    strongest = stages.keep(strongest)
-    # Several attractors of one cluster may point at each other: follow them to the smallest one.
-    return connected(strongest.select(F.col("cell").alias("a"), F.col("cluster").alias("b")).filter("a <> b"), strongest.select(F.col("cell").alias("v")), stages).join(
-        strongest.withColumnRenamed("cell", "v"), "v"
-    ).select(F.col("v").alias("cell"), F.col("label").alias("cluster"), "flow")
+        of = level.select("node", "part")
+        between = (
+            left.join(of.select(F.col("node").alias("a"), F.col("part").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("part").alias("y")), "b").filter("x <> y")
+            .groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("s").alias("s"), F.lit(1.0).alias("m"), F.lit(1.0).alias("n"))
+        )
+        left, before = stages.keep(between), count
+        count, weighted = left.count(), False
+        if count == before:
+            if inflation < 1.01:
+                raise RuntimeError("linked clusters do not merge")
+            inflation = 1 + (inflation - 1) / 2
+    alone = cells.select("cell", F.col("cell").alias("own"))
+    if out is None:
+        return alone.select("cell", F.col("own").alias("cluster"), F.lit(1.0).alias("flow"), F.col("own").alias("group"))
+    return alone.join(out, "cell", "left").select("cell", F.coalesce("cluster", "own").alias("cluster"), F.coalesce("flow", F.lit(1.0)).alias("flow"), F.coalesce("group", "own").alias("group"))
 
 
 def connected(edges: DataFrame, vertices: DataFrame, stages: Stages) -> DataFrame:
@@ -204,20 +352,19 @@ def connected(edges: DataFrame, vertices: DataFrame, stages: Stages) -> DataFram
 
 
 class Clusters:
-    """``members``: unit_id, x, y, z, cell, cluster, flow, group (cluster of clusters that touch)."""
+    """``members``: unit_id, x, y, z, cell, cluster, flow, group (what the clusters flow together to)."""
 
     def __init__(self, members: DataFrame):
         self.members = members
 
 
 def cluster_units(units: DataFrame, *, step: float = STEP) -> Clusters:
-    """Markov clusters of the units with coordinates, and the groups that touching clusters form.
+    """Markov clusters of the units with coordinates, and the groups that they flow together to.
 
     Points of one grid cell (side step / sqrt 3) are surely within a step of each other and become one weighted node, so
     the graph grows with occupied space, not with rows: a cell with a third of all rows is one node. Cells that hold two
-    points within a step are linked exactly (see ``_linked_cells``). Markov clustering cuts the graph into clusters
-    (``markov_clusters``). Flow never leaves a connected part, so every part is a union of clusters; the exact check after
-    it joins clusters between which a link remains.
+    points within a step are linked exactly (see ``_linked_cells``). Markov clustering cuts the graph into clusters and,
+    repeated on the contracted graph, into groups between which no link is left (``markov_levels``).
 
     Per id the latest row counts; units with a null, NaN or infinite coordinate, or one beyond 1e12, take no part; equal
     coordinates are fine; an empty table gives empty results; other columns are ignored.
@@ -232,18 +379,7 @@ def cluster_units(units: DataFrame, *, step: float = STEP) -> Clusters:
     points = stages.keep(at.join(cells.select("k0x", "k0y", "k0z", "cell"), ["k0x", "k0y", "k0z"]).select("unit_id", *AXES, "cell"))
     links = _linked_cells(points, cells, side, step, stages)
     centres = cells.select("cell", "n", *[F.col(f"mean_{a}").alias(a) for a in AXES])
-    flow = stages.keep(markov_clusters(centres, links, stages))
-    of = flow.select("cell", "cluster")
-    between = (
-        links.join(of.select(F.col("cell").alias("a_cell"), F.col("cluster").alias("a")), "a_cell")
-        .join(of.select(F.col("cell").alias("b_cell"), F.col("cluster").alias("b")), "b_cell")
-        .filter("a <> b")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
-    groups = connected(stages.keep(between), of.select(F.col("cluster").alias("v")).distinct(), stages)
-    joined = flow.join(groups.select(F.col("v").alias("cluster"), F.col("label").alias("group")), "cluster")
-    return Clusters(points.join(joined, "cell").select("unit_id", *AXES, "cell", "cluster", "flow", "group"))
+    return Clusters(points.join(markov_levels(centres, links, stages), "cell").select("unit_id", *AXES, "cell", "cluster", "flow", "group"))
 
 
 def found(units: DataFrame, *, step: float = STEP, least: int = LEAST) -> DataFrame:
