@@ -79,6 +79,54 @@ def _judged(pairs: DataFrame, step: float) -> DataFrame:
     )
 
 
+_BOX = "struct<" + ",".join(f"{c}:double" for c in _LOW + _HIGH + _REP) + ">"
+_PAIRS = f"a_cell string, b_cell string, a_box string, b_box string, a {_BOX}, b {_BOX}, link boolean"
+
+
+def _parts_kernel(step: float):
+    """Judges all parts of one box with all of another: a row with ``link`` if any two parts are surely linked, else a row
+    for every two parts that their bounds leave open. The same comparisons as ``_judged``, on arrays."""
+    slack = step * step * 1e-9
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sides = []
+            for c in ("a", "b"):
+                lists = batch.column(c)
+                size = np.diff(lists.offsets.to_numpy())
+                subs, boxes = lists.flatten().flatten()
+                fields = [np.stack([boxes.field(f).to_numpy() for f in names], 1) for names in (_LOW, _HIGH, _REP)]
+                sides.append((size, np.cumsum(size) - size, subs, boxes, *fields))
+            (na, sa, suba, boxa, loa, hia, ra), (nb, sb, subb, boxb, lob, hib, rb) = sides
+            products = np.cumsum(na.astype(np.int64) * nb)
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(products, (products[at - 1] if at else 0) + PRODUCTS // 4, "right")))
+                k = (na[at:to] * nb[at:to]).astype(np.int64)
+                pair = np.repeat(np.arange(at, to), k)
+                q = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+                i, j = sa[pair] + q // nb[pair], sb[pair] + q % nb[pair]
+                at = to
+                near = (np.maximum(np.maximum(loa[i] - hib[j], lob[j] - hia[i]), 0) ** 2).sum(1)
+                far = (np.maximum(hia[i] - lob[j], hib[j] - loa[i]) ** 2).sum(1)
+                d = ra[i] - rb[j]
+                real = np.sqrt(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2])
+                single = (loa[i] == hia[i]).all(1) & (lob[j] == hib[j]).all(1)
+                sure = (real <= step) | ((near <= step * step + slack) & (far < step * step - slack))
+                linked = np.unique(pair[sure])
+                open_ = np.flatnonzero(~sure & (near <= step * step + slack) & ~single & ~np.isin(pair, linked))
+                rows = pa.array(np.concatenate([linked, pair[open_]]))
+                x, y = pa.array([*[None] * len(linked), *i[open_].tolist()], pa.int64()), pa.array([*[None] * len(linked), *j[open_].tolist()], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("a_cell").take(rows), batch.column("b_cell").take(rows), suba.take(x), subb.take(y), boxa.take(x), boxb.take(y), pa.array([True] * len(linked) + [None] * len(open_), pa.bool_())],
+                    names=["a_cell", "b_cell", "a_box", "b_box", "a", "b", "link"],
+                )
+
+    return run
+
+
 def _linked_cells(points: DataFrame, cells: DataFrame, side: float, step: float, stages: Stages) -> DataFrame:
     """Pairs (a_cell < b_cell) of occupied cells that hold two points within one step.
 
@@ -108,13 +156,14 @@ def _linked_cells(points: DataFrame, cells: DataFrame, side: float, step: float,
         subs = stages.keep(inside.groupBy("box", "sub").agg(*_box_columns()).select("box", "sub", F.struct(*_LOW, *_HIGH, *_REP).alias("s")))
         pair = ["a_cell", "b_cell", "a_box", "b_box"]
         slack = step * step * (1 + 1e-9)
-        # of each box only the parts within a step of the other box can matter; the parts of both that are left meet then
-        facing = open_.join(subs.select(F.col("box").alias("a_box"), F.col("sub").alias("a_sub"), F.col("s").alias("sa")), "a_box")
-        facing = facing.filter(_gap2("sa", "b")[0] <= slack).select(*pair, "a_sub", "sa", F.col("a").alias("whole"))
-        facing = facing.join(subs.select(F.col("box").alias("b_box"), F.col("sub").alias("b_sub"), F.col("s").alias("sb")), "b_box").filter(_gap2("sb", "whole")[0] <= slack)
-        judged = _judged(facing.select("a_cell", "b_cell", "a_sub", "b_sub", F.col("sa").alias("a"), F.col("sb").alias("b")), step).filter(F.col("link").isNull() | F.col("link"))
-        # a pair that is linked anywhere is settled: its open parts are dropped in the same pass
-        judged = stages.keep(judged.select("a_cell", "b_cell", F.col("a_sub").alias("a_box"), F.col("b_sub").alias("b_box"), "a", "b", "link"))
+
+        # of each box only the parts within a step of the other box can matter: at most REFINE ** 3 a side
+        def facing(box: str, other: str) -> DataFrame:
+            parts = open_.join(subs.select(F.col("box").alias(f"{box}_box"), "sub", "s"), f"{box}_box").filter(_gap2("s", other)[0] <= slack)
+            return parts.groupBy(*pair).agg(F.collect_list(F.struct("sub", "s")).alias(box))
+
+        judged = facing("a", "b").join(facing("b", "a"), pair).select("a_cell", "b_cell", "a", "b").mapInArrow(_parts_kernel(step), _PAIRS)
+        judged = stages.keep(judged)
         yes = judged.filter("link").select("a_cell", "b_cell").distinct()
         found.append(yes)
         open_ = stages.keep(judged.filter("link is null").drop("link").join(yes, ["a_cell", "b_cell"], "left_anti"))
