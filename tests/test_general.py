@@ -54,7 +54,7 @@ def test_imputation_recovers_a_smooth_series():
     gap = np.zeros(200, bool)
     gap[np.random.default_rng(1).choice(np.arange(1, 199), 60, replace=False)] = True
     known = np.where(gap, 0.0, x)
-    out = regular_grid.impute(known.copy(), gap, np.array([0]), np.array([200]), 12, 3, 1e-4, 200)
+    out = regular_grid.impute(known.copy(), gap, np.array([0]), np.array([200]), 12, 3, 1e-4, 200)[0]
     linear = np.interp(np.arange(200), np.flatnonzero(~gap), x[~gap])
     assert (out[~gap] == x[~gap]).all()
     assert np.abs(out - x)[gap].mean() < 0.6 * np.abs(linear - x)[gap].mean()
@@ -66,9 +66,11 @@ def test_imputation_does_not_depend_on_company():
     gaps = [np.r_[False, rng.random(len(s) - 2) < 0.4, False] for s in series]
     n = np.array([len(s) for s in series])
     starts = np.cumsum(n) - n
-    both = regular_grid.impute(np.concatenate(series), np.concatenate(gaps), starts, n, 12, 2, 1e-3, 40)
+    both, settled = regular_grid.impute(np.concatenate(series), np.concatenate(gaps), starts, n, 12, 2, 1e-3, 1000)
+    assert settled.all()
+    assert not regular_grid.impute(np.concatenate(series), np.concatenate(gaps), starts, n, 12, 2, 1e-3, 1)[1].all()
     for s, g, a, k in zip(series, gaps, starts, n):
-        alone = regular_grid.impute(s.copy(), g, np.array([0]), np.array([k]), 12, 2, 1e-3, 40)
+        alone = regular_grid.impute(s.copy(), g, np.array([0]), np.array([k]), 12, 2, 1e-3, 1000)[0]
         np.testing.assert_allclose(both[a : a + k], alone)
 
 

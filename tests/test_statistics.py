@@ -11,6 +11,24 @@ from threadlake.functions import metrics
 from threadlake.operators import order_statistics, partitions, reach, sessions, significance
 
 
+def effect_of(a, b):
+    """P(B > A) + P(B = A) / 2 and its standard error from all pairs."""
+    above = (np.asarray(b)[None] > np.asarray(a)[:, None]) + (np.asarray(b)[None] == np.asarray(a)[:, None]) / 2
+    va, vb = above.mean(1).var(ddof=1) / len(a), above.mean(0).var(ddof=1) / len(b)
+    return above.mean(), math.sqrt(va + vb)
+
+
+def test_a_value_that_half_of_all_rows_share_is_one_row(spark):
+    df = spark.range(40_000).selectExpr("'k' as k", "if(id % 2 = 0, 0.0, cast(id as double)) as v")
+    r = order_statistics.value_ranks(df, ["k"], "v")
+    assert r.count() == 20_001 and r.agg(F.max("_c"), F.max(F.col("_before") + F.col("_c")), F.max("_n")).first()[:] == (20_000, 40_000, 40_000)
+    per_task = order_statistics.ranked(df, ["k"], [F.col("v")])
+    assert per_task.agg(F.count_distinct("_rank")).first()[0] == 40_000
+    groups = spark.createDataFrame([("k",), ("empty",), (None,)], "k string")
+    out = {x.k: x for x in order_statistics.distribution(df, ["k"], "v", groups=groups).collect()}
+    assert (out["empty"].n, out["empty"].median, out["empty"].insufficient_data) == (0, 0.0, True) == (out[None].n, out[None].mean, out[None].insufficient_data) and out["k"].n == 40_000
+
+
 def test_distribution_matches_numpy(spark):
     rng = np.random.default_rng(4)
     data = [("a", float(x)) for x in rng.integers(0, 9, 501)] + [("b", 1.5)] + [("c", None)] + [(None, 2.0), (None, 4.0)]
@@ -55,10 +73,8 @@ def test_permutation_test_against_enumeration():
     t = []
     for s in itertools.combinations(range(8), 4):
         rest = [i for i in range(8) if i not in s]
-        e, se, _, _ = significance.relative_effects(pool[list(s)][None], pool[rest][None])
-        t.append(significance.studentized(e, se)[0])
-    e, se, _, _ = significance.relative_effects(a[None], b[None])
-    seen = significance.studentized(e, se)[0]
+        t.append(significance.studentized(*map(np.array, effect_of(pool[list(s)], pool[rest]))))
+    seen = significance.studentized(*map(np.array, effect_of(a, b)))
     exact = min(1, 2 * min(np.mean(np.array(t) >= seen - 1e-12), np.mean(np.array(t) <= seen + 1e-12)))
     got = significance.permutation_test(a, b, 20_000, seed=1)
     assert got["p"] == pytest.approx(exact, abs=0.02)
@@ -167,7 +183,7 @@ def test_placements_match_relative_effects():
         for at, e, s in zip(drawn, effect, se):
             few = np.isin(np.arange(na + nb), at)
             x, y = (pooled[~few], pooled[few]) if places.swapped else (pooled[few], pooled[~few])
-            assert (e, s) == pytest.approx(tuple(float(v[0]) for v in significance.relative_effects(x[None], y[None])[:2]), abs=1e-12)
+            assert (e, s) == pytest.approx(effect_of(x, y), abs=1e-12)
     seen = significance.Placements(np.arange(2.0), np.arange(2.0, 20)).draw(38_000, rng)
     counts = np.bincount(seen[:, 0] * 20 + seen[:, 1], minlength=400)
     assert (counts > 0).sum() == 190 and counts[counts > 0].min() > 120 and counts.max() < 290

@@ -17,12 +17,12 @@ UNTIL = "2026-07-01 00:00:00"
 CHUNK = 1_500_000
 
 
-def _impute_chunk(x: np.ndarray, gap: np.ndarray, n: np.ndarray, window: int, rank: int, tol: float, rounds: int) -> None:
+def _impute_chunk(x: np.ndarray, gap: np.ndarray, n: np.ndarray, window: int, rank: int, tol: float, rounds: int) -> np.ndarray:
     """Fills ``x`` where ``gap`` in place. Rows are series of true lengths ``n``, zero-padded to one width.
 
     Each round embeds every series as a Hankel trajectory matrix, keeps the leading ``rank`` singular vectors (from the
     window x window Gram matrix), averages the anti-diagonals and puts the result into the gaps, until no gap of the
-    series moves by more than ``tol`` of its spread.
+    series moves by more than ``tol`` of its spread. Returns the series that still move after ``rounds``.
     """
     spread = np.maximum(x.max(axis=1) - np.where(np.arange(x.shape[1]) < n[:, None], x, np.inf).min(axis=1), 1e-9)
     live = np.arange(len(x))
@@ -46,10 +46,13 @@ def _impute_chunk(x: np.ndarray, gap: np.ndarray, n: np.ndarray, window: int, ra
         live = live[moved > tol]
         if not len(live):
             break
+    return live
 
 
-def impute(values: np.ndarray, gap: np.ndarray, starts: np.ndarray, n: np.ndarray, max_window: int, rank: int, tol: float, rounds: int) -> np.ndarray:
-    """Fills the gaps of many series laid end to end. A series' first and last values are never gaps."""
+def impute(values: np.ndarray, gap: np.ndarray, starts: np.ndarray, n: np.ndarray, max_window: int, rank: int, tol: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fills the gaps of many series laid end to end; also, per series, whether its gaps came to rest within ``rounds``. A series'
+    first and last values are never gaps."""
+    settled = np.ones(len(n), bool)
     at = np.arange(len(values))
     known = ~gap
     values = np.interp(at, at[known], values[known]) if gap.any() else values  # never across series: their ends are known
@@ -67,10 +70,10 @@ def impute(values: np.ndarray, gap: np.ndarray, starts: np.ndarray, n: np.ndarra
         inside = wide < n[part][:, None]
         index = np.where(inside, starts[part][:, None] + wide, 0)
         x, g = np.where(inside, values[index], 0.0), gap[index] & inside
-        _impute_chunk(x, g, n[part], int(w), int(min(rank, w - 1)), tol, rounds)
+        settled[part[_impute_chunk(x, g, n[part], int(w), int(min(rank, w - 1)), tol, rounds)]] = False
         values[index[g]] = x[g]
         i = j
-    return values
+    return values, settled
 
 
 def _kernel(max_window: int, rank: int, tol: float, rounds: int):
@@ -90,24 +93,24 @@ def _kernel(max_window: int, rank: int, tol: float, rounds: int):
             values, gap = np.zeros(stop[-1]), np.ones(stop[-1], bool)
             where = starts[post] + flat - first[post]
             values[where], gap[where] = views, False
-            values = impute(values, gap, starts, n, max_window, rank, tol, rounds)
+            values, settled = impute(values, gap, starts, n, max_window, rank, tol, rounds)
             offsets = pa.array(np.concatenate([[0], stop]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [b.column("post_id"), pa.array(first), pa.ListArray.from_arrays(offsets, pa.array(values)), pa.ListArray.from_arrays(offsets, pa.array(gap))],
-                names=["post_id", "first_slot", "grid", "gaps"],
+                [b.column("post_id"), pa.array(first), pa.ListArray.from_arrays(offsets, pa.array(values)), pa.ListArray.from_arrays(offsets, pa.array(gap)), pa.array(settled)],
+                names=["post_id", "first_slot", "grid", "gaps", "settled"],
             )
 
     return run
 
 
 def regular_grid(
-    readings: DataFrame, posts: DataFrame, *, slot_seconds: int = SLOT_SECONDS, until: str = UNTIL, max_window: int = 12, rank: int = 2, tol: float = 1e-3, rounds: int = 40
+    readings: DataFrame, posts: DataFrame, *, slot_seconds: int = SLOT_SECONDS, until: str = UNTIL, max_window: int = 12, rank: int = 2, tol: float = 1e-3, rounds: int = 1000
 ) -> DataFrame:
     """One row per post and slot, from the post's first to its last slot with a valid reading.
 
-    Result: ``post_id string, slot_no long, slot_start timestamp, views double, filled boolean``. A slot's value is its
+    Result: ``post_id string, slot_no long, slot_start timestamp, views double, filled boolean, settled boolean``. A slot's value is its
     last valid reading (the greatest views where several bear that time). Slots without one are marked ``filled`` and get
-    the singular-spectrum estimate.
+    the singular-spectrum estimate; ``settled`` is false on estimates that still moved after ``rounds`` rounds.
 
     A reading is valid if its post is in ``posts``, ``fetched_at`` is not null, not before ``posted_at`` (a post without
     ``posted_at`` has no lower bound) and before ``until``, and ``views`` is over 0. Readings with a null in post, time or
@@ -133,8 +136,8 @@ def regular_grid(
         .groupBy("post_id")
         .agg(F.collect_list("slot").alias("slots"), F.collect_list("last.views").alias("readings"))
     )
-    filled = series.mapInArrow(_kernel(max_window, rank, tol, rounds), "post_id string, first_slot long, grid array<double>, gaps array<boolean>")
-    cells = filled.select("post_id", "first_slot", F.posexplode(F.arrays_zip("grid", "gaps")).alias("k", "cell"))
+    filled = series.mapInArrow(_kernel(max_window, rank, tol, rounds), "post_id string, first_slot long, grid array<double>, gaps array<boolean>, settled boolean")
+    cells = filled.select("post_id", "first_slot", "settled", F.posexplode(F.arrays_zip("grid", "gaps")).alias("k", "cell"))
     slot_no = F.col("first_slot") + F.col("k")
     return cells.select(
         "post_id",
@@ -142,6 +145,7 @@ def regular_grid(
         F.timestamp_seconds(slot_no * slot_seconds).alias("slot_start"),
         F.col("cell.grid").alias("views"),
         F.col("cell.gaps").alias("filled"),
+        (F.col("settled") | ~F.col("cell.gaps")).alias("settled"),
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from threadlake.functions import text as T
 from threadlake.operators.order_statistics import ranked
 from threadlake.operators.vectors import dot, unit
+from threadlake.plans.lineage import Stages
 
 #: Fixed values of the methods.
 K1, B = 1.2, 0.75
@@ -21,6 +22,8 @@ ALPHA = 0.5
 TOP_N, TOP_K = 20, 10
 DUPLICATE, LAMBDA = 0.95, 0.5
 KEEP_GRADE = 2
+#: Bytes of query vectors that one block broadcasts.
+BLOCK_BYTES = 32_000_000
 
 
 def bm25(passages: DataFrame, queries: DataFrame, *, k1: float = K1, b: float = B, mode: str = "auto") -> DataFrame:
@@ -110,15 +113,25 @@ def fuse_distribution(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.select("query_id", "passage_id", F.round(scaled("sa") + scaled("sb"), DECIMALS).alias("score"))
 
 
-def dense(passages: DataFrame, queries: DataFrame, k: int = TOP_N) -> DataFrame:
-    """The k best passages (and their ties) per query by cosine of vectors (passage_id, vector) and (query_id, vector).
+def dense_scores(passages: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, passage_id, score: the cosine of every passage vector (passage_id, vector) with each of a stated set of queries
+    (query_id, vector). Queries go out in blocks of at most ``BLOCK_BYTES``, whatever their number."""
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim")).first()
+    blocks = max(1, -(-(size["n"] or 0) * (size["dim"] or 0) * 8 // BLOCK_BYTES))
+    own = passages.select("passage_id", unit(F.col("vector")).alias("pv"))
+    asked = queries.select("query_id", unit(F.col("vector")).alias("qv"))
+    out = None
+    for k in range(blocks):
+        block = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+        part = own.crossJoin(F.broadcast(block)).select("query_id", "passage_id", F.round(dot(F.col("pv"), F.col("qv")), DECIMALS).alias("score"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
-    A stated query set against all rows: each task keeps its best k per query and part before anything is shuffled.
-    """
-    q = queries.select("query_id", unit(F.col("vector")).alias("qv"))
-    pairs = passages.select("passage_id", unit(F.col("vector")).alias("pv")).join(q)
-    scored = pairs.select("query_id", "passage_id", F.round(dot(F.col("pv"), F.col("qv")), DECIMALS).alias("score"))
-    return top_ties(scored, k)
+
+def dense(passages: DataFrame, queries: DataFrame, k: int = TOP_N) -> DataFrame:
+    """The k best passages (and their ties) per query by cosine; each task keeps its best k per query and part before anything
+    is shuffled."""
+    return top_ties(dense_scores(passages, queries), k)
 
 
 def rerank(rows: DataFrame, scores: DataFrame, n: int = TOP_N) -> DataFrame:
@@ -151,45 +164,91 @@ def _vectors(pdf: pd.DataFrame) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
 
 
-def near_duplicates(rows: DataFrame, vectors: DataFrame, threshold: float = DUPLICATE) -> DataFrame:
-    """Drops a row whose cosine with an earlier kept row reaches the threshold; renumbered. Rows are a list already cut to its top."""
+_RANGES = "query_id string, passage_id long, score double, rank int, tied_from int, tied_to int"
+
+
+def _with_vectors(rows: DataFrame, vectors: DataFrame) -> DataFrame:
+    ranks = [F.col(c).cast("int").alias(c) for c in ("rank", "tied_from", "tied_to")]
+    return rows.join(vectors, "passage_id").select("query_id", "passage_id", "score", *ranks, "vector")
+
+
+def near_duplicates(rows: DataFrame, vectors: DataFrame, threshold: float = DUPLICATE, wanted: int | None = None) -> DataFrame:
+    """Drops a row whose cosine with an earlier kept row reaches the threshold; renumbered.
+
+    ``wanted`` ends a query's list once so many are kept (a row is judged by earlier ones alone, so the first kept rows do not
+    depend on where the list ends). The rows of a query meet in one task: give lists cut to a top, or use ``diverse_top``.
+    """
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank")
         v, kept = _vectors(pdf), []
         for i in range(len(pdf)):
+            if wanted is not None and len(kept) == wanted:
+                break
             if not kept or (v[kept] @ v[i]).max() < threshold:
                 kept.append(i)
         return pdf.iloc[kept].drop(columns="vector")
 
-    j = rows.join(vectors, "passage_id").select("query_id", "passage_id", "score", F.col("rank").cast("int").alias("rank"), F.col("tied_from").cast("int").alias("tied_from"), F.col("tied_to").cast("int").alias("tied_to"), "vector")
-    kept = j.groupBy("query_id").applyInPandas(run, j.drop("vector").schema)
-    return renumber(kept)
+    return renumber(_with_vectors(rows, vectors).groupBy("query_id").applyInPandas(run, _RANGES))
+
+
+def diverse_top(passages: DataFrame, queries: DataFrame, vectors: DataFrame, wanted: int = TOP_N, threshold: float = DUPLICATE) -> DataFrame:
+    """The first ``wanted`` rows of every query that repeat no row before them, from the whole list.
+
+    Lists start at twice the wanted length; a query that keeps fewer is asked again with a list twice as long, until it is
+    satisfied or its list was the whole table, so copies never crowd out what stands behind them.
+    """
+    stages = Stages(passages.sparkSession, "diverse")
+    total, length, todo, out = passages.count(), 2 * wanted, queries, None
+    while True:
+        kept = stages.keep(near_duplicates(dense(passages, todo, length), vectors, threshold, wanted))
+        short = [] if length >= total else [r["query_id"] for r in todo.select("query_id").join(kept.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").filter(F.coalesce("n", F.lit(0)) < wanted).select("query_id").collect()]
+        done = kept.filter(~F.col("query_id").isin(short)) if short else kept
+        out = done if out is None else out.unionByName(done)
+        if not short:
+            return out
+        todo, length = queries.filter(F.col("query_id").isin(short)), 2 * length
+
+
+class _Marginal:
+    """Marginal relevance of one query's rows: how a row trades its scaled score against what is picked already."""
+
+    def __init__(self, score: np.ndarray, vectors: np.ndarray, lam: float):
+        low, spread = (score.min(), np.ptp(score)) if len(score) else (0.0, 0.0)
+        self.gain = lam * ((score - low) / spread if spread else 0 * score)
+        self.likeness, self.share = vectors @ vectors.T, 1 - lam
+        self.nearest: np.ndarray | None = None  # greatest likeness with a picked row
+
+    def values(self) -> np.ndarray:
+        return np.round(self.gain if self.nearest is None else self.gain - self.share * self.nearest, DECIMALS)
+
+    def take(self, row: int) -> None:
+        like = self.likeness[row]
+        self.nearest = like.copy() if self.nearest is None else np.maximum(self.nearest, like)
+        self.gain[row] = -np.inf
 
 
 def mmr(rows: DataFrame, vectors: DataFrame, lam: float = LAMBDA) -> DataFrame:
-    """Maximal marginal relevance: lam * scaled score - (1 - lam) * greatest cosine with a picked row, greedily; the number of others
-    equal at the pick is ``tied_at_pick``. Rows are a list already cut to its top."""
+    """Maximal marginal relevance (Carbonell and Goldstein 1998): each place goes to the row of the greatest
+    lam * scaled score - (1 - lam) * greatest cosine with a placed row; ``tied_at_pick`` counts the others equal to it then (null
+    for a single row). Rows are a list already cut to its top: its table of likenesses is held at once."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        v, s = _vectors(pdf), pdf["score"].to_numpy(float)
-        if len(pdf) <= 1:
-            return pdf.assign(tied_at_pick=None).drop(columns="vector")
-        spread = s.max() - s.min()
-        rel = (s - s.min()) / spread if spread > 0 else np.zeros(len(s))
-        penalty, left, out = np.zeros(len(s)), list(range(len(s))), []
-        while left:
-            value = np.round(lam * rel[left] - (1 - lam) * penalty[left], DECIMALS)
-            best = int(value.argmax())
-            pick = left.pop(best)
-            out.append((pick, value[best], int((value == value[best]).sum()) - 1))
-            c = v[left] @ v[pick] if left else np.zeros(0)
-            penalty[left] = c if len(out) == 1 else np.maximum(penalty[left], c)
-        order = [o[0] for o in out]
-        n = np.arange(1, len(out) + 1)
-        return pdf.iloc[order].assign(score=[o[1] for o in out], rank=n, tied_from=n, tied_to=n, tied_at_pick=[o[2] for o in out]).drop(columns="vector")
-
-    j = rows.join(vectors, "passage_id").select("query_id", "passage_id", "score", F.col("rank").cast("int").alias("rank"), F.col("tied_from").cast("int").alias("tied_from"), F.col("tied_to").cast("int").alias("tied_to"), "vector")
-    return j.groupBy("query_id").applyInPandas(run, "query_id string, passage_id long, score double, rank int, tied_from int, tied_to int, tied_at_pick int")
+        pdf = pdf.sort_values("rank", ignore_index=True)
+        state = _Marginal(pdf["score"].to_numpy(float).copy(), _vectors(pdf), lam)
+        places = []
+        for _ in range(len(pdf)):
+            now = state.values()
+            row = int(np.argmax(now))
+            places.append({"row": row, "score": now[row], "tied_at_pick": int(np.count_nonzero(now == now[row])) - 1})
+            state.take(row)
+        order = pd.DataFrame(places)
+        place = np.arange(1, len(order) + 1)
+        out = pdf.loc[order["row"], ["query_id", "passage_id"]].reset_index(drop=True)
+        alone = len(order) == 1  # keeps its score: there is nothing to trade against
+        return out.assign(score=pdf["score"] if alone else order["score"], rank=place, tied_from=place, tied_to=place, tied_at_pick=None if alone else order["tied_at_pick"])
+
+    return _with_vectors(rows, vectors).groupBy("query_id").applyInPandas(run, _RANGES + ", tied_at_pick int")
 
 
 def removed_at(steps: list[tuple[str, DataFrame]]) -> DataFrame:

@@ -133,12 +133,11 @@ def media_counts(spark, d):
 
 def rank_among_others(spark, d):
     """Per root post: posts with a lower engagement, other posts, floor percent below."""
-    from threadlake.operators.order_statistics import ranked
+    from threadlake.operators.order_statistics import value_ranks
 
     m = base.measured_roots(spark, d).filter(F.col("views") > 0).select("id", _r(metrics.engagement_rate()).alias("value"))
-    rows = ranked(m, [], [F.col("value")])
-    below = rows.groupBy("value").agg(F.min("_rank").alias("below"))
-    return rows.join(below, "value").select("id", "below", (F.col("_n") - 1).alias("others"), F.when(F.col("_n") > 1, F.floor(100 * F.col("below") / (F.col("_n") - 1))).cast("long").alias("percent_below"))
+    ranks = value_ranks(m, [], "value").withColumnRenamed("_before", "below")
+    return m.join(ranks, "value").select("id", "below", (F.col("_n") - 1).alias("others"), F.when(F.col("_n") > 1, F.floor(100 * F.col("below") / (F.col("_n") - 1))).cast("long").alias("percent_below"))
 
 
 def scaled_coordinates(spark, d):

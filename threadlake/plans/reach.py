@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlake.operators import reach as op
-from threadlake.operators.order_statistics import ranked
+from threadlake.operators.order_statistics import value_ranks
 from threadlake.operators.sessions import gap_batches
 from threadlake.plans import base
 from threadlake.plans.base import WITH
@@ -120,8 +120,7 @@ def age_reach_spearman(spark, d):
     m = _measured(spark, d).select("id", F.col("views").cast("double").alias("views"), F.round("age_days", 6).alias("age"))
 
     def mid(c):
-        ties = ranked(m.select(c), [], [F.col(c)]).groupBy(c).agg(((F.min("_rank") + F.max("_rank")) / 2).alias(f"r_{c}"))
-        return ties.withColumnRenamed(c, f"_{c}")
+        return value_ranks(m.select(c), [], c).select(F.col(c).alias(f"_{c}"), (F.col("_before") + (F.col("_c") - 1) / 2).alias(f"r_{c}"))
 
     both = m.join(mid("views"), F.col("views") == F.col("_views")).join(mid("age"), F.col("age") == F.col("_age"))
     return both.agg(F.round(F.corr("r_views", "r_age"), 6).alias("rho"), F.count("*").alias("n"))

@@ -34,8 +34,11 @@ def bm25_matches(spark, d):
     return _scores(spark, d).groupBy("query_id").agg(F.count("*").alias("matches"), F.round(F.sum("score"), 3).alias("total"))
 
 
-def _fused(spark, d, how):
-    a, b = _scores(spark, d, "accented"), _scores(spark, d, "folded")
+def _both(spark, d):
+    return _scores(spark, d, "accented"), _scores(spark, d, "folded")
+
+
+def _fused(a, b, how):
     if how == "rrf":
         return op.rrf(op.rank_range(a).unionByName(op.rank_range(b)))
     return op.fuse_weighted(a, b) if how == "weighted" else op.fuse_distribution(a, b)
@@ -43,15 +46,15 @@ def _fused(spark, d, how):
 
 def rrf_top(spark, d):
     """Accented and folded index fused by reciprocal ranks."""
-    return op.top_ties(_fused(spark, d, "rrf"))
+    return op.top_ties(_fused(*_both(spark, d), "rrf"))
 
 
 def weighted_top(spark, d):
-    return op.top_ties(_fused(spark, d, "weighted"))
+    return op.top_ties(_fused(*_both(spark, d), "weighted"))
 
 
 def distribution_top(spark, d):
-    return op.top_ties(_fused(spark, d, "distribution"))
+    return op.top_ties(_fused(*_both(spark, d), "distribution"))
 
 
 def _vectors(spark, d):
@@ -80,23 +83,22 @@ def reranked(spark, d):
 
 
 def diverse(spark, d):
-    """Near-duplicates dropped, then maximal marginal relevance."""
+    """The first twenty vectors of every centroid's whole list that repeat none before them, by maximal marginal relevance."""
     v = _vectors(spark, d).select("passage_id", "vector")
-    return op.mmr(op.near_duplicates(_dense(spark, d), v), v)
+    return op.mmr(op.diverse_top(v, _centres(spark, d), v), v)
 
 
 def gold_ranks(spark, d):
-    """Where the vectors of each label first stand in its own dense list."""
+    """Where the vectors of each label first stand in its own list of all vectors."""
     gold = _vectors(spark, d).select(F.col("label").cast("string").alias("query_id"), F.col("label").alias("unit"), "passage_id")
-    return op.gold_range(_dense(spark, d), gold)
+    return op.gold_range(op.rank_range(op.dense_scores(_vectors(spark, d), _centres(spark, d))), gold)
 
 
 def ab_verdicts(spark, d):
-    """Fused by ranks against fused by weights; the gold of a topic's question is the first document of its accented list."""
-    acc = op.top_ties(_scores(spark, d, "accented"), 1)
-    gold = acc.filter("rank = 1").select("query_id", F.lit(0).alias("unit"), "passage_id")
-    sides = [op.gold_answer(op.gold_range(op.top_ties(_fused(spark, d, how), 50), gold)) for how in ("rrf", "weighted")]
-    return op.ab_verdict(*sides)
+    """Fused by ranks against fused by weights, whole lists; the gold of a question is the first document of its accented list."""
+    a, b = _both(spark, d)
+    gold = op.top_ties(a, 1).filter("rank = 1").select("query_id", F.lit(0).alias("unit"), "passage_id")
+    return op.ab_verdict(*[op.gold_answer(op.gold_range(op.rank_range(_fused(a, b, how)), gold)) for how in ("rrf", "weighted")])
 
 
 def passage_hashes(spark, d):
@@ -173,7 +175,7 @@ def oracle_sql() -> dict[str, str]:
         "weighted_top": _BM + _top(weighted),
         "distribution_top": _BM + _top(dist),
         "dense_top": _DN + dense,
-        "gold_ranks": _DN + dense.replace(" SELECT query_id, passage_id, score, rank::INT", ", tp AS (SELECT query_id, passage_id, score, rank::INT", 1) + "), h AS (SELECT tp.query_id, e.label AS unit, tied_from, tied_to, count(*) AS h FROM tp JOIN e ON e.vec_id = tp.passage_id AND e.label::VARCHAR = tp.query_id GROUP BY ALL), f AS (SELECT query_id, unit, arg_min(struct_pack(a := tied_from, b := tied_to, h := h), tied_from) AS x FROM h GROUP BY 1, 2) SELECT c.query_id, c.label AS unit, x.a AS rank_from, x.b - x.h + 1 AS rank_to FROM c LEFT JOIN f ON f.query_id = c.query_id AND f.unit = c.label",
+        "gold_ranks": _DN + _top("SELECT * FROM dr", 10**9).replace(" SELECT query_id, passage_id, score, rank::INT", ", tp AS (SELECT query_id, passage_id, score, rank::INT", 1).replace("tied_from::INT AS tied_from", "tied_from") + "), h AS (SELECT tp.query_id, e.label AS unit, tied_from, tied_to, count(*) AS h FROM tp JOIN e ON e.vec_id = tp.passage_id AND e.label::VARCHAR = tp.query_id GROUP BY ALL), f AS (SELECT query_id, unit, arg_min(struct_pack(a := tied_from, b := tied_to, h := h), tied_from) AS x FROM h GROUP BY 1, 2) SELECT c.query_id, c.label AS unit, x.a AS rank_from, x.b - x.h + 1 AS rank_to FROM c LEFT JOIN f ON f.query_id = c.query_id AND f.unit = c.label",
         "reranked": _DN + dense.replace(" SELECT query_id, passage_id, score, rank::INT", ", tp AS (SELECT query_id, passage_id, score, rank::INT", 1) + "), hd AS (SELECT tp.query_id, tp.passage_id, round(list_dot_product(e.v0, c.c), 6) AS score FROM tp JOIN e ON e.vec_id = tp.passage_id JOIN c ON c.query_id = tp.query_id WHERE tied_from <= 10) SELECT query_id, passage_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank, rank() OVER (PARTITION BY query_id ORDER BY score DESC) AS tied_from, rank() OVER (PARTITION BY query_id ORDER BY score DESC) + count(*) OVER (PARTITION BY query_id, score) - 1 AS tied_to, false AS not_reranked FROM hd UNION ALL SELECT query_id, passage_id, score, rank, tied_from, tied_to, true FROM tp WHERE tied_from > 10",
         "passage_hashes": "SELECT sha256(text) AS hash, min(doc_id) AS passage_id FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1",
         "questions_with_tokens": _BM + "SELECT query_id, array_to_string(t, ' ') AS tokens, t <> f AS accented FROM qq",
