@@ -180,8 +180,9 @@ def test_subjects_on_held_out_documents(spark):
     assert subjects.found(d.limit(0), lab, sub).count() == subjects.found(d, lab.limit(0), sub).count() == subjects.found(d, lab, sub.limit(0)).count() == 0
 
 
-def test_split_query_equals_sql(spark, data):
-    compare(splitting.queries()["p1_found"](spark, data), splitting.oracle_sql()["p1_found"], data)
+@pytest.mark.parametrize("name", ["p1_found", "p1_spans"])
+def test_split_query_equals_sql(spark, data, name):
+    compare(splitting.queries()[name](spark, data), splitting.oracle_sql()[name], data)
 
 
 @pytest.mark.parametrize("name", ["p3_found", "p3_languages", "p8_found", "p9_found", "p9_composition", "p1_pieces", "p4_clusters", "p6_percentiles"])
