@@ -114,7 +114,7 @@ def test_stored_spans_count_where_the_list_is_broken_and_only_if_true(spark):
     wrong = [("1", at[1] + 3, at[1] + 3 + len(two), "8"), ("1", None, 5, "8"), ("1", 4, 2, "7"), ("1", 0, len(text) + 50, "7"), (None, 0, 5, "7"), ("1", at[2], at[2] + len(three), "no such post")]
     s = spark.createDataFrame([(a, d, b, c, "x") for a, b, c, d in right * 2 + wrong], SPAN)
     out = {r.unit_id: r for r in splitting.split_units(u, p, s).collect()}
-    assert out["1"].cut_level == "post" and out["1"].pieces[0].piece_end == at[1] + len(two)
+    assert out["1"].cut_level == "post" and out["1"].pieces[0].piece_end == at[1] - 1
     assert out["2"].cut_level != "post"
     assert {r.unit_id: r.cut_level for r in splitting.split_units(u, p, s.limit(0)).collect()}["1"] != "post"
 
