@@ -21,9 +21,9 @@ BUCKETS, WIDTH = 1 << 16, 16
 SAMPLE = 20_000
 #: Rounds of fitting whole documents, then sentences with the labels their document allows. A round sums the gradients of
 #: about ``BATCH`` documents over all partitions; the parts of a larger sample take turns.
-DOCUMENT_ROUNDS, SENTENCE_ROUNDS, BATCH = 10, 26, 4000
+DOCUMENT_ROUNDS, SENTENCE_ROUNDS, BATCH = 8, 20, 4000
 #: First step length; it falls to a fifth. Decay of the running means of the gradient and its square.
-RATE, MEAN, SQUARE = 0.2, 0.9, 0.98
+RATE, MEAN, SQUARE = 0.25, 0.9, 0.98
 #: Gradients a round brings to the driver at most (a partition each, 4.5 MB at most).
 SHARDS = 12
 #: Share of a text's rows that a training step sees: no single word may carry a label.
@@ -275,7 +275,7 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame, *, sample:
             turn = train if parts == 1 else train.filter(F.pmod(F.shiftright("h", 8), F.lit(parts)) == k % parts)
             found = turn.coalesce(SHARDS).mapInPandas(_gradients(shared, phase, k), "a binary, b binary, c binary, d binary, e binary").collect()
             descent.step(found, RATE * (1 - 0.8 * k / len(plan)))
-            shared.unpersist()
+            shared.destroy()
     return model
 
 
