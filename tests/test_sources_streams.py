@@ -1,10 +1,12 @@
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tests.conftest import rows
+from threadlake.plans import lineage
 from threadlake.plans.lineage import Stages
 from threadlake.sources import api, formats, sinks
 from threadlake.sources.tables import latest_units, merged_posts
@@ -89,6 +91,47 @@ def test_publish(spark, tmp_path):
         sinks.published(spark, base, d)
 
 
+def test_a_crash_between_data_and_pointer_loses_nothing(spark, tmp_path, monkeypatch):
+    t = sinks.KeyedTable(spark, f"file://{tmp_path}/k", ["id"], "at", parts=4)
+    row = lambda *r: spark.createDataFrame(list(r), "id int, at int, v string")
+    assert t.apply(row((1, 1, "a"), (2, 1, "b"), (3, 1, "c")), 0)
+
+    def crash(*_):
+        raise OSError("gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "_point", crash)
+        with pytest.raises(OSError):
+            t.apply(row((1, 2, "new"), (4, 1, "d")), 1)
+        assert rows(t.read()) == [(1, 1, "a"), (2, 1, "b"), (3, 1, "c")]
+    assert t.apply(row((1, 2, "new"), (4, 1, "d")), 1)  # replayed after the crash
+    wanted = [(1, 2, "new"), (2, 1, "b"), (3, 1, "c"), (4, 1, "d")]
+    assert rows(t.read()) == wanted and not t.apply(row((1, 9, "again")), 1) and rows(t.read()) == wanted
+    t.vacuum()
+    assert rows(t.read()) == wanted
+
+
+def test_a_crash_while_publishing_keeps_the_last_version(spark, tmp_path, monkeypatch):
+    base = f"file://{tmp_path}/p"
+    sinks.publish(spark.range(3), base)
+    held = sinks.published(spark, base)
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "_write_small", lambda *_: (_ for _ in ()).throw(OSError("gone")))
+        with pytest.raises(OSError):
+            sinks.publish(spark.range(9), base)
+    assert sinks.published(spark, base).count() == 3
+    sinks.publish(spark.range(7), base)
+    assert held.count() == 3 and sinks.published(spark, base).count() == 7
+
+
+def test_refetch_window(spark):
+    day = lambda d: dt.datetime(2026, 1, d)
+    old = spark.createDataFrame([(day(1), 5, 1), (day(9), 7, 1), (day(10), 8, 1)], "date timestamp, views int, at int")
+    new = spark.createDataFrame([(day(9), 9, 2), (day(12), 1, 2), (day(1), 99, 2)], "date timestamp, views int, at int")
+    assert rows(st.refetch_window(old, new, "date", ["date"], "at")) == [(day(1), 5, 1), (day(9), 9, 2), (day(12), 1, 2)]
+    assert rows(st.refetch_window(old, new.limit(0), "date", ["date"], "at")) == rows(old)
+
+
 def fetch(account, cursor, limit):
     if limit > 2:
         raise api.ServerError
@@ -119,6 +162,13 @@ def test_stages(spark):
     a = s.keep(spark.range(4))
     assert a.count() == 4
     s.drop(a)
+    with Stages(spark, "gone") as t:
+        b = t.keep(spark.range(2))
+        path = t.base.removeprefix("file://").removeprefix("file:")
+        assert b.count() == 2 and os.path.isdir(path)
+    assert not os.path.exists(path)
+    lineage.release()
+    assert not os.path.exists(s.base.removeprefix("file://").removeprefix("file:"))
 
 
 def test_streams_equal_batch(spark, tmp_path):
@@ -131,7 +181,7 @@ def test_streams_equal_batch(spark, tmp_path):
         st.append_readings(st.stream(spark, src, batch.schema, 1), f"{out}/log", f"{out}/c1")
     assert rows(spark.read.parquet(f"{out}/log")) == rows(batch.distinct())
     st.run_available(st.latest_state(st.stream(spark, src, batch.schema, 1)).writeStream.outputMode("update").foreachBatch(st.upsert_sink(f"{out}/t", ["post_id"], "fetched_at")), f"{out}/c2")
-    assert rows(spark.read.parquet(f"{out}/t/current")) == rows(st.latest_state(batch))
+    assert rows(sinks.KeyedTable(spark, f"{out}/t", ["post_id"], "fetched_at").read()) == rows(st.latest_state(batch))
     for make, name in ((lambda s: st.hourly_totals(s, "fetched_at", "post_id"), "h"), (lambda s: st.sessions(s, "fetched_at", "post_id", "30 minutes"), "s")):
         st.run_available(make(st.stream(spark, src, batch.schema, 1)).writeStream.format("parquet").option("path", f"{out}/{name}").outputMode("append"), f"{out}/c{name}")
         assert {tuple(r) for r in spark.read.parquet(f"{out}/{name}").collect()} <= {tuple(r) for r in make(batch).collect()}

@@ -23,7 +23,7 @@ def stream_latest(spark, d):
     out = st.work_folder(spark, "stream-latest")
     sink = st.upsert_sink(f"{out}/table", ["post_id"], "fetched_at")
     st.run_available(st.latest_state(valid.select("post_id", "fetched_at", *COUNTERS)).writeStream.outputMode("update").foreachBatch(sink), f"{out}/checkpoint")
-    return spark.read.parquet(f"{out}/table/current").select("post_id", "fetched_at", "views")
+    return sinks.KeyedTable(spark, f"{out}/table", ["post_id"], "fetched_at").read().select("post_id", "fetched_at", "views")
 
 
 def stream_hourly(spark, d):

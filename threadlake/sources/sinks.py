@@ -53,27 +53,105 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def _write_small(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that appears whole: written under a name readers ignore, then renamed to one that is not yet taken."""
+    tmp, fs = _fs(spark, f"{path}.tmp-{uuid.uuid4().hex}")
+    stream = fs.create(tmp, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    if not fs.rename(tmp, _fs(spark, path)[0]):
+        raise OSError(f"{path} is already there")
+
+
+def _read_small(spark: SparkSession, path: str) -> str:
+    p, fs = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def _states(spark: SparkSession, base: str) -> list[int]:
+    """Numbers of the pointers that were published, in order."""
+    p, fs = _fs(spark, f"{base}/states")
+    if not fs.exists(p):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(p)]
+    return sorted(int(n) for n in names if n.isdigit())
+
+
+def _point(spark: SparkSession, base: str, state: dict) -> None:
+    numbers = _states(spark, base)
+    _fs(spark, base)[1].mkdirs(_fs(spark, f"{base}/states")[0])
+    _write_small(spark, f"{base}/states/{(numbers[-1] if numbers else 0) + 1:012d}", json.dumps(state))
+
+
 def publish(rows: DataFrame, base: str) -> str:
-    """Writes a new version beside the old ones and then moves a small pointer file onto it; readers see either version whole."""
+    """Writes a new version beside the old ones, then a numbered pointer to it; the greatest number counts.
+
+    Nothing that a reader may hold is deleted or moved, so readers see either version whole, and a failure at any point
+    leaves the last published version in place.
+    """
     spark = rows.sparkSession
     version = f"{base}/versions/{uuid.uuid4().hex}"
     rows.write.parquet(version)
-    state = {"version": version, "digest": content_digest(spark.read.parquet(version))}
-    spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/state.next")
-    old, fs = _fs(spark, f"{base}/state")
-    fs.delete(old, True)
-    fs.rename(_fs(spark, f"{base}/state.next")[0], old)
+    _point(spark, base, {"version": version, "digest": content_digest(spark.read.parquet(version))})
     return version
 
 
 def published(spark: SparkSession, base: str, digest: str | None = None) -> DataFrame:
     """The published version; with ``digest`` an error if results were made from another one."""
-    state = json.loads(spark.read.text(f"{base}/state").first()["value"])
+    state = json.loads(_read_small(spark, f"{base}/states/{_states(spark, base)[-1]:012d}"))
     if digest is not None and digest != state["digest"]:
         raise ValueError("the published table is not the one these results were made from")
     return spark.read.parquet(state["version"])
 
 
+class KeyedTable:
+    """A keyed table in parts by key hash, changed batch by batch. A batch writes new files of the parts it touches and then one
+    numbered pointer that lists every part's folder and the batch: a crash before the pointer changes nothing, and a batch that
+    a pointer already names is skipped when it is replayed."""
+
+    def __init__(self, spark: SparkSession, base: str, keys: list[str], newest: str, parts: int = 32):
+        self.spark, self.base, self.keys, self.newest, self.parts = spark, base, keys, newest, parts
+
+    def _state(self) -> dict:
+        numbers = _states(self.spark, self.base)
+        return json.loads(_read_small(self.spark, f"{self.base}/states/{numbers[-1]:012d}")) if numbers else {"parts": {}, "batch": None}
+
+    def apply(self, batch: DataFrame, number: int) -> bool:
+        """Merges a batch; False if it was merged before."""
+        state = self._state()
+        if state["batch"] is not None and number <= state["batch"]:
+            return False
+        part = F.pmod(F.xxhash64(*self.keys), F.lit(self.parts)).cast("int")
+        own = upsert(batch.limit(0), batch, self.keys, self.newest).withColumn("_part", part)
+        touched = [r["_part"] for r in own.select("_part").distinct().collect()]  # at most ``parts`` numbers
+        held = [state["parts"][str(k)] for k in touched if str(k) in state["parts"]]
+        merged = own
+        if held:
+            merged = upsert(self.spark.read.parquet(*held), own.drop("_part"), self.keys, self.newest).withColumn("_part", part)
+        folder = f"{self.base}/data/{uuid.uuid4().hex}"
+        merged.repartition(F.col("_part")).write.partitionBy("_part").parquet(folder)
+        self._publish({"parts": state["parts"] | {str(k): f"{folder}/_part={k}" for k in touched}, "batch": number})
+        return True
+
+    def _publish(self, state: dict) -> None:
+        _point(self.spark, self.base, state)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(*self._state()["parts"].values())
+
+    def vacuum(self) -> None:
+        """Deletes folders that the last pointer does not name, for when no reader holds an older one."""
+        used = {p.rsplit("/", 1)[0] for p in self._state()["parts"].values()}
+        p, fs = _fs(self.spark, f"{self.base}/data")
+        for f in fs.listStatus(p):
+            if not any(u.endswith(f.getPath().getName()) for u in used):
+                fs.delete(f.getPath(), True)
+
+
 def missing_by_hash(texts: DataFrame, done: DataFrame) -> DataFrame:
     """Texts (id, text) without a stored vector (text_hash): one per hash, the first id."""
     h = texts.select(F.sha2("text", 256).alias("text_hash"), "id", "text").groupBy("text_hash").agg(F.min(F.struct("id", "text")).alias("x"))

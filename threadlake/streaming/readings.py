@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlake.plans.lineage import shared_folder
-from threadlake.sources.sinks import upsert
+from threadlake.sources.sinks import KeyedTable, upsert
 
 #: Corrections of a daily value arrive for so long.
 LATE = "7 days"
@@ -53,24 +53,25 @@ def sessions(events: DataFrame, time: str, key: str, gap: str) -> DataFrame:
     return events.withWatermark(time, gap).groupBy(F.session_window(time, gap), key).agg(F.count("*").alias("n")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def upsert_sink(path: str, keys: list[str], newest: str):
-    """For ``foreachBatch``: merges a micro-batch into a keyed table kept as alternating versions; replaying a batch changes nothing."""
+def upsert_sink(path: str, keys: list[str], newest: str, parts: int = 32):
+    """For ``foreachBatch``: merges a micro-batch into a ``KeyedTable``. Only the parts that the batch touches are rewritten;
+    a batch that is delivered again, after a crash at any point, changes nothing that it has changed before."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        now, nxt = f"{path}/current", f"{path}/next"
-        own = upsert(batch.limit(0), batch, keys, newest)
-        merged = upsert(spark.read.parquet(now), own, keys, newest) if fs.exists(jvm.org.apache.hadoop.fs.Path(now)) else own
-        merged.write.mode("overwrite").parquet(nxt)
-        fs.delete(jvm.org.apache.hadoop.fs.Path(now), True)
-        fs.rename(jvm.org.apache.hadoop.fs.Path(nxt), jvm.org.apache.hadoop.fs.Path(now))
+        KeyedTable(batch.sparkSession, path, keys, newest, parts).apply(batch, epoch)
 
     return write
 
 
+def refetch_window(stored: DataFrame, fresh: DataFrame, time: str, keys: list[str], newest: str, days: int = 7) -> DataFrame:
+    """The stored rows with those of the last ``days`` taken from a new fetch: late corrections replace what they correct, a row
+    that the source no longer gives inside the window goes, and older rows stay as they are."""
+    since = fresh.agg((F.max(time) - F.expr(f"INTERVAL {days} DAYS")).alias("_since"))
+    both = stored.crossJoin(F.broadcast(since)).filter(F.col("_since").isNull() | (F.col(time) < F.col("_since"))).drop("_since")
+    window = fresh.crossJoin(F.broadcast(since)).filter(F.col(time) >= F.col("_since")).drop("_since")
+    return upsert(both, window, keys, newest)
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     import uuid
 
