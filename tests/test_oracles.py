@@ -4,7 +4,7 @@ import pytest
 
 from tests.oracle import compare
 
-PLANS = ("general", "overview", "reach", "threads", "comparisons", "identity", "texts", "retrieval", "streams")
+PLANS = ("general", "overview", "reach", "threads", "comparisons", "identity", "texts", "retrieval", "streams", "summary")
 MODULES = [importlib.import_module(f"threadlake.plans.{m}") for m in PLANS]
 CASES = [(m, k) for m in MODULES for k in m.oracle_sql()]
 

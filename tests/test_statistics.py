@@ -164,13 +164,37 @@ def test_core_streak_history(spark):
     assert rows(partitions.partition_history(parts, comp)) == [("g", "m", 1, 0, 1, 1, "d2")]
 
 
-def test_ami():
-    import pandas as pd
-
-    same = pd.DataFrame({"la": [0, 1], "lb": [1, 0], "n": [5, 5]})
-    assert partitions.adjusted_mutual_information(same) == pytest.approx(1.0)
-    free = pd.DataFrame({"la": [0, 0, 1, 1], "lb": [0, 1, 0, 1], "n": [25, 25, 25, 25]})
-    assert abs(partitions.adjusted_mutual_information(free)) < 0.02
+def test_ami(spark):
+    def ami(data):
+        return [r.ami for r in partitions.adjusted_mutual_information(spark.createDataFrame(data, "la int, lb int, n long")).collect()]
+
+    assert ami([(0, 1, 5), (1, 0, 5)]) == [pytest.approx(1.0)] and ami([(3, 4, 9)]) == [1.0] and ami([]) == []
+    assert abs(ami([(0, 0, 25), (0, 1, 25), (1, 0, 25), (1, 1, 25)])[0]) < 0.02
+    k = np.array([0, 1, 7, 15, 16, 17, 300, 10**6])
+    np.testing.assert_allclose(partitions._log_factorial(k), [math.lgamma(x + 1) for x in k], rtol=1e-14, atol=1e-13)
+
+
+def test_normal_tail(spark):
+    z = [0.0, 1e-9, -0.5, 1.96, 2.0, 2.5, -4.0, 6.5, 8.0, 12.0]
+    out = spark.createDataFrame([(v,) for v in [*z, None]], "z double").select(metrics.normal_tail(F.col("z")).alias("p")).collect()
+    np.testing.assert_allclose([r.p for r in out[:-1]], [math.erfc(abs(v) / math.sqrt(2)) for v in z], atol=4e-15)
+    assert out[-1].p is None
+
+
+def test_anchors_and_plans(spark):
+    cur = [(u, 0) for u in "abc"] + [("d", -1), ("x", 1), ("y", 1), ("z", 1)]
+    current = spark.createDataFrame(cur, "unit_id string, label int")
+    members = spark.createDataFrame([(f"t{k}", u) for u, k in cur if k >= 0], "topic string, unit_id string")
+    anchors = spark.createDataFrame([("t0", u) for u in "abd"] + [("t1", u) for u in "xabc"], "topic string, unit_id string")
+    assert {r.topic: (r.overlap, r.n_cluster, r.n_anchor, r.holds) for r in partitions.anchor_holds(anchors, members, current).collect()} == {"t0": (2, 3, 2, True), "t1": (1, 3, 4, False)}
+    near = spark.createDataFrame([("t1", 0.9)], "topic string, cosine double")
+    assert all(r.holds for r in partitions.anchor_holds(anchors, members, current, near, 0.8).collect())
+    m = spark.createDataFrame([(0, "kept", "t0"), (1, "split", None), (2, "kept", "t1"), (3, "new", None), (4, "kept", "t2")], "cluster int, event string, topic string")
+    st = spark.createDataFrame([("t0", True), ("t1", True), ("t2", False)], "topic string, current boolean")
+    plan = partitions.topic_plan(m, 7, st, spark.createDataFrame([(2,)], "cluster int"))
+    assert {r.cluster: (r.topic_id, r.reason) for r in plan.collect()} == {0: ("t0", None), 1: ("topic_7", "split"), 2: ("t1", "drift"), 3: ("topic_8", "new"), 4: ("t2", "config_change")}
+    events = {r.topic_id: r.event for r in partitions.topic_events(plan, spark.createDataFrame([("t0",), ("gone",)], "topic_id string")).collect()}
+    assert events == {"t0": "kept", "topic_7": "split", "t1": "relabeled", "topic_8": "new", "t2": "relabeled", "gone": "retired"}
 
 
 def test_placements_match_relative_effects():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,21 +20,22 @@ def interactions(p: str = "") -> Column:
     return sum((F.coalesce(F.col(p + c), F.lit(0)) for c in ("replies", "reposts", "quotes")), F.coalesce(F.col(p + "likes"), F.lit(0)))
 
 
-def _rate(part: Column, views: Column) -> Column:
-    return F.when(views > 0, 100.0 * part / views)
+def _rate(part: Column, views: Column, unmeasured: float | None) -> Column:
+    return F.when(views > 0, 100.0 * part / views).otherwise(F.lit(unmeasured).cast("double"))
 
 
-def engagement_rate(p: str = "") -> Column:
-    """Percent of views; null where views are 0 or missing, which means no measurement."""
-    return _rate(interactions(p), F.col(p + "views"))
+def engagement_rate(p: str = "", unmeasured: float | None = None) -> Column:
+    """Percent of views. Views of 0 or none mean no measurement: null for statistics, or the value given for ``unmeasured`` (0 where
+    a rate is shown as a number)."""
+    return _rate(interactions(p), F.col(p + "views"), unmeasured)
 
 
-def share_rate(p: str = "") -> Column:
-    return _rate(F.coalesce(F.col(p + "reposts"), F.lit(0)) + F.coalesce(F.col(p + "quotes"), F.lit(0)), F.col(p + "views"))
+def share_rate(p: str = "", unmeasured: float | None = None) -> Column:
+    return _rate(F.coalesce(F.col(p + "reposts"), F.lit(0)) + F.coalesce(F.col(p + "quotes"), F.lit(0)), F.col(p + "views"), unmeasured)
 
 
-def conversation_rate(p: str = "") -> Column:
-    return _rate(F.coalesce(F.col(p + "replies"), F.lit(0)), F.col(p + "views"))
+def conversation_rate(p: str = "", unmeasured: float | None = None) -> Column:
+    return _rate(F.coalesce(F.col(p + "replies"), F.lit(0)), F.col(p + "views"), unmeasured)
 
 
 RATES = {"engagement": engagement_rate, "share_rate": share_rate, "conversation": conversation_rate}
@@ -109,3 +112,31 @@ def token_bound(text: Column) -> Column:
 
 def cost(input_tokens: Column, output_tokens: Column, per_million_in: float, per_million_out: float, batch_discount: float = 1.0) -> Column:
     return (input_tokens * per_million_in + output_tokens * per_million_out) / 1e6 * batch_discount
+
+
+def normal_tail(z: Column) -> Column:
+    """Two-sided tail of the standard normal distribution, to about 1e-15 absolutely.
+
+    With x = |z| / sqrt 2 it is 1 - erf x, and erf x = 2 / sqrt pi * exp(-x^2) * sum of x (2 x^2)^n / (2n + 1)!!, whose terms are all
+    positive; beyond x = 6 the tail is under 1e-16.
+    """
+    x = F.least(F.abs(z) / math.sqrt(2.0), F.lit(6.0))
+    start = F.struct((x * F.exp(-x * x)).alias("term"), (x * F.exp(-x * x)).alias("sum"))
+
+    def step(s, n):
+        term = s["term"] * (2 * x * x) / (2 * n + 1)
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(140)), start, step)["sum"]
+    return F.greatest(F.lit(1.0) - 2 / math.sqrt(math.pi) * total, F.lit(0.0))
+
+
+def held(direction: str, alive: Column, verdict_: Column, delta: Column) -> Column:
+    """Whether a conclusion was found again: its topic lives, the verdict is the same, and the effect has strictly its sign."""
+    sign = delta > 0 if direction == "higher" else delta < 0
+    return F.coalesce(alive & (verdict_ == direction) & sign, F.lit(False))
+
+
+def passes(reference: Column, direction: Column, kept: Column, total: Column, percent: int = 75) -> Column:
+    """A reference verdict of this direction that at least ``percent`` of all repetitions kept (whole numbers, no rounding)."""
+    return F.coalesce((reference == direction) & (kept * 100 >= total * percent), F.lit(False))

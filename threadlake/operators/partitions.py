@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadlake.plans.lineage import Stages
+
 NOISE = -1
 
 
@@ -30,6 +30,11 @@ def adjusted_rand(runs: DataFrame) -> DataFrame:
     a = runs.join(F.broadcast(order.filter("next is not null")), "run_id").select(F.col("run_id").alias("run_a"), F.col("next").alias("run_b"), "unit_id", F.col("label").alias("la"))
     b = runs.select(F.col("run_id").alias("run_b"), "unit_id", F.col("label").alias("lb"))
     cells = a.join(b, ["run_b", "unit_id"]).groupBy("run_a", "run_b", "la", "lb").agg(F.count("*").alias("n"))
+    return rand_of_cells(cells)
+
+
+def rand_of_cells(cells: DataFrame) -> DataFrame:
+    """run_a, run_b, n, ari of contingency tables (run_a, run_b, la, lb, n)."""
     keys = ["run_a", "run_b"]
     total = cells.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(_pairs(F.col("n"))).alias("s"))
     for side in ("la", "lb"):
@@ -41,28 +46,49 @@ def adjusted_rand(runs: DataFrame) -> DataFrame:
     return total.select(*keys, "n", ari.alias("ari"))
 
 
-def adjusted_mutual_information(cells: pd.DataFrame) -> float:
-    """AMI with the arithmetic normaliser from a contingency table (la, lb, n): a table of clusters, not of units."""
-    table = cells.pivot_table(index="la", columns="lb", values="n", aggfunc="sum", fill_value=0).to_numpy(float)
-    n, rows, cols = table.sum(), table.sum(1), table.sum(0)
-    if len(rows) == len(cols) == 1 or (len(rows) == len(cols) == n):
-        return 1.0
+def _log_factorial(k: np.ndarray) -> np.ndarray:
+    """ln k! by Stirling's series from 16 on, from a table below."""
+    small = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 16)))])
+    x = np.maximum(k, 16).astype(float)
+    series = (x + 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+    return np.where(k < 16, small[np.minimum(k, 15)], series)
+
+
+def _expected_share(a: int, b: int, n: int, step: int = 1_000_000) -> float:
+    """What a pair of clusters of a and b of n units adds to the mutual information expected by chance (hypergeometric)."""
+    total, first, last = 0.0, max(1, a + b - n), min(a, b)
+    fixed = float(np.sum(_log_factorial(np.array([a, b, n - a, n - b]))) - _log_factorial(np.array([n]))[0])
+    for low in range(first, last + 1, step):
+        k = np.arange(low, min(low + step, last + 1))
+        log_p = fixed - _log_factorial(k) - _log_factorial(a - k) - _log_factorial(b - k) - _log_factorial(n - a - b + k)
+        total += float((k / n * np.log(n * k / (a * b)) * np.exp(log_p)).sum())
+    return total
+
 
-    def entropy(x):
-        p = x[x > 0] / n
-        return float(-(p * np.log(p)).sum())
+def adjusted_mutual_information(cells: DataFrame) -> DataFrame:
+    """One row ``ami``: mutual information of a contingency table (la, lb, n) over that expected by chance, with the arithmetic
+    mean of the entropies as norm; no row for an empty table, 1 for two trivial partitions.
 
-    i, j = np.nonzero(table)
-    mi = float((table[i, j] / n * np.log(n * table[i, j] / (rows[i] * cols[j]))).sum())
-    log_fact = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, int(n) + 1)))])
-    expected = 0.0
-    for a in rows.astype(int):
-        for b in cols.astype(int):
-            k = np.arange(max(1, a + b - int(n)), min(a, b) + 1)
-            log_p = log_fact[a] + log_fact[b] + log_fact[int(n) - a] + log_fact[int(n) - b] - log_fact[int(n)] - log_fact[k] - log_fact[a - k] - log_fact[b - k] - log_fact[int(n) - a - b + k]
-            expected += float((k / n * np.log(n * k / (a * b)) * np.exp(log_p)).sum())
-    norm = (entropy(rows) + entropy(cols)) / 2
-    return 1.0 if math.isclose(norm, expected) else (mi - expected) / (norm - expected)
+    Sums over clusters run in Spark; the expectation is taken per pair of distinct cluster sizes, spread over tasks.
+    """
+    rows, cols = cells.groupBy("la").agg(F.sum("n").alias("a")), cells.groupBy("lb").agg(F.sum("n").alias("b"))
+    size = cells.agg(F.sum("n").cast("long").alias("t"), F.countDistinct("la").alias("r"), F.countDistinct("lb").alias("c"))
+    one = F.broadcast(size)  # one row
+    plain = F.col("n") / F.col("t") * F.log(F.col("t") * F.col("n") / (F.col("a") * F.col("b")))
+    mi = cells.join(rows, "la").join(cols, "lb").crossJoin(one).agg(F.sum(plain).alias("mi"))
+    entropy = [t.crossJoin(one).agg((-F.sum(F.col(c) / F.col("t") * F.log(F.col(c) / F.col("t")))).alias(f"h_{c}")) for t, c in ((rows, "a"), (cols, "b"))]
+    pairs = rows.groupBy("a").agg(F.count("*").alias("ka")).crossJoin(F.broadcast(cols.groupBy("b").agg(F.count("*").alias("kb")))).crossJoin(one)
+
+    def expect(frames):
+        for pdf in frames:
+            yield pd.DataFrame({"e": [ka * kb * _expected_share(int(a), int(b), int(n)) for a, b, ka, kb, n in zip(pdf["a"], pdf["b"], pdf["ka"], pdf["kb"], pdf["t"])]}, dtype=float)
+
+    spread = pairs.select("a", "b", "ka", "kb", "t").repartition(4 * cells.sparkSession.sparkContext.defaultParallelism, "a", "b")
+    e = spread.mapInPandas(expect, "e double").agg(F.sum("e").alias("e"))
+    j = size.filter("t > 0").crossJoin(mi).crossJoin(entropy[0]).crossJoin(entropy[1]).crossJoin(e)
+    trivial = ((F.col("r") == 1) & (F.col("c") == 1)) | ((F.col("r") == F.col("t")) & (F.col("c") == F.col("t")))
+    gap = (F.col("h_a") + F.col("h_b")) / 2 - F.col("e")
+    return j.select(F.when(trivial | (F.abs(gap) < 1e-12), 1.0).otherwise((F.col("mi") - F.col("e")) / gap).alias("ami"))
 
 
 def transitions(runs: DataFrame) -> DataFrame:
@@ -128,20 +154,26 @@ def match_clusters(previous: DataFrame, current: DataFrame) -> DataFrame:
 def rescue_by_content(matches: DataFrame, similarities: DataFrame, reference: float) -> DataFrame:
     """Matches in which new and split clusters may take a free old topic whose centroid is nearer than ``reference``.
 
-    ``similarities``: cluster, topic, cosine. Greedy over the pairs above the reference, best first; both sides are tables of
-    clusters. Topics that were kept or merged elsewhere are not free.
+    ``similarities``: cluster, topic, cosine. The pairs above the reference are given best first, each cluster and topic once. Topics that were kept or merged elsewhere are not free.
     """
-    m = matches.toPandas()
-    taken = set(m.loc[m.event == "kept", "topic"]) | {t for s in m.loc[m.event == "merged", "sources"] for t in s.split(",")}
-    open_ = set(m.loc[m.event.isin(["new", "split"]), "cluster"])
-    pairs = similarities.filter(F.col("cosine") > reference).orderBy(F.desc("cosine"), F.desc("cluster"), F.desc("topic")).toPandas()
-    given = {}
-    for c, t in zip(pairs.cluster, pairs.topic):
-        if c in open_ and c not in given and t not in taken:
-            given[c] = t
-            taken.add(t)
-    rows = [(int(c), "kept", given[c], given[c]) if c in given else (int(c), e, t if isinstance(t, str) else None, s) for c, e, t, s in zip(m.cluster, m.event, m.topic, m.sources)]
-    return matches.sparkSession.createDataFrame(rows, "cluster int, event string, topic string, sources string")
+    takers = matches.filter(F.col("event").isin("new", "split")).select("cluster")
+    kept = matches.filter("event = 'kept'").select("topic").union(matches.filter("event = 'merged'").select(F.explode(F.split("sources", ",")).alias("topic")))
+    free = similarities.filter(F.col("cosine") > reference).join(takers, "cluster").join(kept.distinct(), "topic", "left_anti").select("cluster", "topic", "cosine")
+    # pairs that are the best of both sides are settled together; what touches them goes, until no pair is left
+    stages = Stages(matches.sparkSession, "rescue")
+    free, given = stages.keep(free), None
+    rank = F.struct("cosine", "cluster", "topic")
+    while not free.isEmpty():
+        best = free.withColumns({"c": F.max(rank).over(Window.partitionBy("cluster")), "t": F.max(rank).over(Window.partitionBy("topic"))})
+        new = stages.keep(best.filter((F.col("c") == rank) & (F.col("t") == rank)).select("cluster", "topic"))
+        given = new if given is None else given.unionByName(new)
+        free = stages.keep(free.join(new.select("cluster"), "cluster", "left_anti").join(new.select("topic"), "topic", "left_anti"))
+    if given is None:
+        return matches.select("cluster", "event", "topic", "sources")
+    got = given.select("cluster", F.col("topic").alias("_got"))
+    return matches.join(got, "cluster", "left").select(
+        "cluster", F.when(F.col("_got").isNotNull(), "kept").otherwise(F.col("event")).alias("event"), F.coalesce("_got", "topic").alias("topic"), F.coalesce("_got", "sources").alias("sources")
+    )
 
 
 def best_jaccard(reference: DataFrame, replicate: DataFrame) -> DataFrame:
@@ -233,3 +265,43 @@ def display_direction(higher, lower, effect):
         F.when((higher == 0) & (lower == 0), None).when(lower == 0, "higher").when(higher == 0, "lower")
         .when(effect > 0, "higher").when(effect < 0, "lower").when(lower > higher, "lower").otherwise("higher")
     )
+
+
+def anchor_holds(anchors: DataFrame, members: DataFrame, current: DataFrame, similarities: DataFrame | None = None, reference: float | None = None) -> DataFrame:
+    """topic, overlap, n_cluster, n_anchor, holds: whether a topic still holds what it was named for.
+
+    ``anchors``: topic, unit_id (the units at its naming); ``members``: topic, unit_id now; ``current``: unit_id, label. It holds
+    if the shared units are more than half of the cluster and more than half of the anchor's units that are no noise now, or if
+    the centroids (``similarities``: topic, cosine) are nearer than ``reference``.
+    """
+    a = anchors.select("topic", "unit_id").distinct()
+    placed = a.join(current.filter(F.col("label") != NOISE).select("unit_id").distinct(), "unit_id", "left_semi").groupBy("topic").agg(F.count("*").alias("n_anchor"))
+    own = members.select("topic", "unit_id").distinct()
+    shared = own.join(a, ["topic", "unit_id"]).groupBy("topic").agg(F.count("*").alias("overlap"))
+    j = own.groupBy("topic").agg(F.count("*").alias("n_cluster")).join(placed, "topic", "left").join(shared, "topic", "left").fillna(0, ["n_anchor", "overlap"])
+    holds = (2 * F.col("overlap") > F.col("n_cluster")) & (2 * F.col("overlap") > F.col("n_anchor"))
+    if similarities is not None and reference is not None:
+        j = j.join(similarities.select("topic", "cosine"), "topic", "left")
+        holds = holds | F.coalesce(F.col("cosine") > reference, F.lit(False))
+    return j.select("topic", "overlap", "n_cluster", "n_anchor", holds.alias("holds"))
+
+
+def topic_plan(matches: DataFrame, first_new: int, states: DataFrame, drifted: DataFrame) -> DataFrame:
+    """cluster, topic_id, event, reason of every new cluster: kept topics keep their id, others get the next numbers by cluster.
+
+    ``states``: topic, current (its name was made with the present settings); ``drifted``: cluster. A kept topic is named again
+    (``reason``) if its settings changed or it drifted; any other event is a reason itself. One row per cluster.
+    """
+    m = matches.select("cluster", "event", "topic")
+    number = F.row_number().over(Window.partitionBy(F.col("event") == "kept").orderBy("cluster")) - 1
+    j = m.withColumn("_n", number).join(states.select("topic", F.col("current").alias("_now")), "topic", "left").join(drifted.select("cluster", F.lit(True).alias("_far")), "cluster", "left")
+    kept = F.col("event") == "kept"
+    reason = F.when(~kept, F.col("event")).when(~F.coalesce("_now", F.lit(False)), "config_change").when(F.col("_far"), "drift")
+    return j.select("cluster", F.when(kept, F.col("topic")).otherwise(F.concat(F.lit("topic_"), F.col("_n") + first_new)).alias("topic_id"), "event", reason.alias("reason"))
+
+
+def topic_events(plan: DataFrame, stored: DataFrame) -> DataFrame:
+    """topic_id, event of a run: the plan's event, ``relabeled`` for a kept topic with a reason, ``retired`` for a stored one without a cluster."""
+    event = F.when((F.col("event") == "kept") & F.col("reason").isNotNull(), "relabeled").otherwise(F.col("event"))
+    gone = stored.select("topic_id").distinct().join(plan.select("topic_id"), "topic_id", "left_anti")
+    return plan.select("topic_id", event.alias("event")).unionByName(gone.select("topic_id", F.lit("retired").alias("event")))

@@ -23,14 +23,9 @@ def topic_effects(spark, d):
     return r.select("topic_id", "metric", "n", "n_rest", F.round("delta", 6).alias("delta"), F.round("u", 3).alias("u"), F.round("z", 6).alias("z"), "insufficient_data", metrics.win_share(F.round("delta", 6)).alias("win_share"))
 
 
-def _bounded_p(z):
-    """A closed upper bound of the two-sided normal tail: min(1, exp(-0.717 |z| - 0.416 z^2))."""
-    return F.least(F.exp(-0.717 * F.abs(z) - 0.416 * z * z), F.lit(1.0))
-
-
 def holm_verdicts(spark, d):
-    """Holm over the family of all topics and rates on a bounded normal p, and the verdict of each."""
-    r = op.rank_sums(_cells(spark, d), "topic_id", "metric", "value").withColumn("p", F.round(_bounded_p(F.col("z")), 9))
+    """Holm over the family of all topics and rates on the normal Mann-Whitney p, and the verdict of each."""
+    r = op.rank_sums(_cells(spark, d), "topic_id", "metric", "value").withColumn("p", F.round(metrics.normal_tail(F.col("z")), 9))
     h = op.holm(r, "p", [])
     return h.select("topic_id", "metric", "p", F.round("p_holm", 6).alias("p_holm"), metrics.verdict(F.col("p_holm"), F.col("delta"), F.col("insufficient_data")).alias("verdict"))
 
@@ -79,6 +74,10 @@ def queries() -> dict:
     return {f.__name__: f for f in QUERIES}
 
 
+#: The normal tail of z by the same series, its terms from the gamma function.
+TAIL = "CASE WHEN z IS NULL THEN NULL WHEN z = 0 THEN 1.0::DOUBLE ELSE greatest(0, 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 140), lambda i: exp(-least(z * z / 2, 36) + (2 * i + 1) * ln(least(abs(z) / sqrt(2.0::DOUBLE), 6)) + 2 * i * ln(2.0::DOUBLE) + lgamma(i + 1) - lgamma(2 * i + 2))))) END"
+
+
 def _effects(cells: str) -> str:
     return f""",
 e AS ({cells}),
@@ -100,7 +99,7 @@ def oracle_sql() -> dict[str, str]:
     effects = _TOPIC + _effects(_CELLS)
     return {
         "topic_effects": effects + "SELECT topic_id, metric, n, n_rest, round(delta, 6) AS delta, round(u, 3)::DOUBLE AS u, round(z, 6) AS z, insufficient_data, floor(100 * (1 + round(delta, 6)) / 2 + 0.5)::BIGINT AS win_share FROM ef",
-        "holm_verdicts": effects + ", pp AS (SELECT *, round(least(exp(-0.717 * abs(z) - 0.416 * z * z), 1), 9) AS p FROM ef), hh AS (SELECT *, CASE WHEN p IS NOT NULL THEN max(least(p * (count(p) OVER () - row_number() OVER (ORDER BY p, topic_id, metric) + 1), 1)) OVER (ORDER BY p, topic_id, metric ROWS UNBOUNDED PRECEDING) END AS p_holm FROM (SELECT * FROM pp) q) SELECT topic_id, metric, p, round(p_holm, 6) AS p_holm, CASE WHEN p_holm IS NULL OR delta IS NULL THEN 'not tested' WHEN insufficient_data THEN 'too few posts' WHEN p_holm >= 0.05 THEN 'not distinguishable' WHEN delta > 0 THEN 'higher' ELSE 'lower' END AS verdict FROM hh".replace("max(least(p * (count(p) OVER () - row_number() OVER (ORDER BY p, topic_id, metric) + 1), 1)) OVER (ORDER BY p, topic_id, metric ROWS UNBOUNDED PRECEDING)", "max(step) OVER (ORDER BY p, topic_id, metric ROWS UNBOUNDED PRECEDING)").replace("FROM (SELECT * FROM pp) q)", "FROM (SELECT *, least(p * (count(p) OVER () - row_number() OVER (ORDER BY p, topic_id, metric) + 1), 1) AS step FROM pp) q)"),
+        "holm_verdicts": effects + f", pp AS (SELECT *, round({TAIL}, 9) AS p FROM ef), hh AS (SELECT *, CASE WHEN p IS NOT NULL THEN max(least(p * (count(p) OVER () - row_number() OVER (ORDER BY p, topic_id, metric) + 1), 1)) OVER (ORDER BY p, topic_id, metric ROWS UNBOUNDED PRECEDING) END AS p_holm FROM (SELECT * FROM pp) q) SELECT topic_id, metric, p, round(p_holm, 6) AS p_holm, CASE WHEN p_holm IS NULL OR delta IS NULL THEN 'not tested' WHEN insufficient_data THEN 'too few posts' WHEN p_holm >= 0.05 THEN 'not distinguishable' WHEN delta > 0 THEN 'higher' ELSE 'lower' END AS verdict FROM hh".replace("max(least(p * (count(p) OVER () - row_number() OVER (ORDER BY p, topic_id, metric) + 1), 1)) OVER (ORDER BY p, topic_id, metric ROWS UNBOUNDED PRECEDING)", "max(step) OVER (ORDER BY p, topic_id, metric ROWS UNBOUNDED PRECEDING)").replace("FROM (SELECT * FROM pp) q)", "FROM (SELECT *, least(p * (count(p) OVER () - row_number() OVER (ORDER BY p, topic_id, metric) + 1), 1) AS step FROM pp) q)"),
         "replier_comparison": _ROLES + ", an AS (SELECT DISTINCT root_ref AS id FROM p JOIN ro USING (id) WHERE own AND role <> 'continuation')" + _effects("SELECT CASE WHEN v.id IN (SELECT id FROM an) THEN 'answered' END AS topic_id, metric, round(value, 6) AS value FROM v") + "SELECT metric, n, n_rest, round(delta, 6) AS delta, round(z, 6) AS z FROM ef",
         "spread_ratio": _TOPIC + f", e AS ({_CELLS}), a AS (SELECT metric, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS w FROM e GROUP BY 1) SELECT topic_id, e.metric, CASE WHEN max(w) > 0 THEN round((quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / max(w), 6) END AS ratio FROM e JOIN a ON a.metric = e.metric WHERE topic_id IS NOT NULL GROUP BY 1, 2",
     }

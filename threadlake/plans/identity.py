@@ -105,8 +105,7 @@ def semantic_reference(spark, d):
 
 def mutual_information(spark, d):
     """Adjusted mutual information of the two newest runs, from their contingency table (one row per pair of clusters)."""
-    cells = op.contingency(*_last_two(spark, d)).toPandas()
-    return spark.createDataFrame([(round(op.adjusted_mutual_information(cells), 6),)] if len(cells) else [], "ami double")
+    return op.adjusted_mutual_information(op.contingency(*_last_two(spark, d))).select(F.round("ami", 6).alias("ami"))
 
 
 def median_shift(spark, d):
@@ -162,6 +161,11 @@ c AS (SELECT label, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "mutual_information": _RUNS + """, ce AS (SELECT a.label AS la, b.label AS lb, count(*)::DOUBLE AS n FROM a JOIN b USING (unit_id) GROUP BY 1, 2), ra AS (SELECT la, sum(n) AS a FROM ce GROUP BY 1), rb AS (SELECT lb, sum(n) AS b FROM ce GROUP BY 1), tt AS (SELECT sum(n) AS t FROM ce),
+ha AS (SELECT -sum(a / t * ln(a / t)) AS h FROM ra, tt), hb AS (SELECT -sum(b / t * ln(b / t)) AS h FROM rb, tt), mi AS (SELECT sum(n / t * ln(t * n / (a * b))) AS m FROM ce JOIN ra USING (la) JOIN rb USING (lb), tt),
+ks AS (SELECT a, b, t, unnest(generate_series(greatest(1, a + b - t)::BIGINT, least(a, b)::BIGINT))::DOUBLE AS k FROM ra, rb, tt),
+ex AS (SELECT sum(k / t * ln(t * k / (a * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(t - a + 1) + lgamma(t - b + 1) - lgamma(t + 1) - lgamma(k + 1) - lgamma(a - k + 1) - lgamma(b - k + 1) - lgamma(t - a - b + k + 1))) AS e FROM ks)
+SELECT round((m - e) / ((ha.h + hb.h) / 2 - e), 6) AS ami FROM mi, ex, ha, hb""",
         "partition_agreement": _RUNS + ", ce AS (SELECT run_a, run_b, la, lb, count(*) AS n FROM pr GROUP BY ALL), st AS (SELECT run_a, run_b, sum(n) AS n, sum(n * (n - 1) / 2.0) AS s FROM ce GROUP BY ALL), sa AS (SELECT run_a, run_b, sum(k * (k - 1) / 2.0) AS s FROM (SELECT run_a, run_b, la, sum(n) AS k FROM ce GROUP BY ALL) GROUP BY ALL), sb AS (SELECT run_a, run_b, sum(k * (k - 1) / 2.0) AS s FROM (SELECT run_a, run_b, lb, sum(n) AS k FROM ce GROUP BY ALL) GROUP BY ALL) SELECT st.run_a, st.run_b, st.n::BIGINT AS n, round((st.s - sa.s * sb.s / (st.n * (st.n - 1) / 2.0)) / ((sa.s + sb.s) / 2 - sa.s * sb.s / (st.n * (st.n - 1) / 2.0)), 6)::DOUBLE AS ari FROM st JOIN sa USING (run_a, run_b) JOIN sb USING (run_a, run_b)",
         "partition_transitions": _RUNS + ", f AS (SELECT ro.run_id AS run_a, nx AS run_b, cl.unit_id, label >= 0 AS c, NULL AS d FROM cl JOIN ro ON ro.run_id = cl.run_id WHERE nx IS NOT NULL UNION ALL SELECT ro.run_id, nx, cl.unit_id, NULL, label >= 0 FROM cl JOIN ro ON ro.nx = cl.run_id), g AS (SELECT run_a, run_b, unit_id, bool_or(c) AS c, bool_or(d) AS d FROM f GROUP BY ALL) SELECT run_a, run_b, count(*) FILTER (c AND d) AS stayed, count(*) FILTER (c AND NOT d) AS to_noise, count(*) FILTER (NOT c AND d) AS from_noise, count(*) FILTER (NOT c AND NOT d) AS stayed_noise, count(*) FILTER (c IS NULL) AS new_units FROM g GROUP BY 1, 2",
         "distinct_partitions": _RUNS + ", h AS (SELECT run_id, string_agg(unit_id || ':' || label, ',' ORDER BY unit_id) AS m FROM cl GROUP BY 1), k AS (SELECT run_id, CASE WHEN m = lag(m) OVER (ORDER BY run_id) THEN 0 ELSE 1 END AS s FROM h), q AS (SELECT run_id, (sum(s) OVER (ORDER BY run_id))::BIGINT AS partition_no FROM k) SELECT run_id, partition_no, min(run_id) OVER (PARTITION BY partition_no) AS first_run FROM q",

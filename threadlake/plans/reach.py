@@ -17,6 +17,10 @@ def _measured(spark, d) -> DataFrame:
     return m.select("id", "posted_at", "views", ((F.unix_micros("fetched_at") - F.unix_micros("posted_at")) / 8.64e10).alias("age_days"))
 
 
+#: What a post's reach can be.
+STATUSES = ("no_baseline", "maturity_unknown", "still_growing", "top_20", "above_median", "below_median")
+
+
 def _times(spark, d) -> DataFrame:
     roots = base.posts(spark, d).filter(~F.col("is_reply") & F.col("parent").isNull())
     return op.maturity_times(base.readings(spark, d), roots)
@@ -41,7 +45,10 @@ def reach_cutoffs(spark, d):
 
 
 def reach_tier_counts(spark, d):
-    return reach_tiers(spark, d).groupBy("status").agg(F.count("*").alias("posts"))
+    """Posts per status; a status that no post has counts 0."""
+    counts = reach_tiers(spark, d).groupBy("status").agg(F.count("*").alias("posts"))
+    every = spark.createDataFrame([(s,) for s in STATUSES], "status string")
+    return every.join(counts, "status", "left").select("status", F.coalesce("posts", F.lit(0)).cast("long").alias("posts"))
 
 
 def view_velocity(spark, d):
@@ -84,19 +91,21 @@ def readings_per_hour(spark, d):
 
 
 def long_gaps(spark, d):
-    """Days without any valid reading between the first and the last day, as runs: first day, length."""
-    days = base.readings(spark, d).filter(F.col("fetched_at") >= "2025-01-01").select(F.to_date("fetched_at").alias("day")).distinct()
-    # one row per calendar day: bounded by time
-    nxt = days.select("day", F.lead("day").over(Window.partitionBy(F.lit(0)).orderBy("day")).alias("next"))
-    return nxt.filter(F.datediff("next", "day") > 1).select(F.date_add("day", 1).alias("first_day"), (F.datediff("next", "day") - 1).cast("int").alias("days"))
+    """Where no reading came for eight hours or more since the channel's first post: last reading before, hours."""
+    began = base.posts(spark, d).agg(F.min("posted_at").alias("began"))
+    r = base.readings(spark, d).crossJoin(F.broadcast(began)).filter(F.col("fetched_at") >= F.col("began")).select(F.col("fetched_at").alias("ts"))
+    b = gap_batches(r, 8 * 3600).groupBy("batch").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"))
+    # one row per stretch without a long gap
+    nxt = b.select("ended", F.lead("started").over(Window.orderBy("batch")).alias("next")).filter("next is not null")
+    return nxt.select(F.col("ended").alias("last_reading"), F.round((F.unix_micros("next") - F.unix_micros("ended")) / 3.6e9, 4).alias("hours"))
 
 
 def early_points(spark, d):
-    """Root posts and how many distinct six-hour batches read them in their first 24 hours."""
+    """Root posts and how many distinct polling batches (``snapshot_batches``) read them in their first 24 hours."""
     roots = base.posts(spark, d).filter(~F.col("is_reply") & F.col("parent").isNull()).select("id", "posted_at")
-    r = base.readings(spark, d).select(F.col("post_id").alias("id"), "fetched_at")
-    age = F.unix_micros("fetched_at") - F.unix_micros("posted_at")
-    inside = roots.join(r, "id").filter((age >= 0) & (age < F.lit(86_400_000_000))).groupBy("id").agg(F.count_distinct(F.floor(F.unix_micros("fetched_at") / F.lit(21_600_000_000))).alias("k"))
+    r = gap_batches(base.readings(spark, d).select(F.col("post_id").alias("id"), F.col("fetched_at").alias("ts")), 600)
+    age = F.unix_micros("ts") - F.unix_micros("posted_at")
+    inside = roots.join(r, "id").filter((age >= 0) & (age < F.lit(86_400_000_000))).groupBy("id").agg(F.count_distinct("batch").alias("k"))
     return roots.join(inside, "id", "left").groupBy(F.coalesce("k", F.lit(0)).cast("long").alias("points")).agg(F.count("*").alias("posts"))
 
 
@@ -163,13 +172,13 @@ def oracle_sql() -> dict[str, str]:
         "maturity": _REACH + "SELECT round(days, 6) AS days, n_curves FROM mt",
         "reach_tiers": _REACH + "SELECT id, round(ratio, 6) AS ratio, status FROM z",
         "reach_cutoffs": _REACH + "SELECT round(p50_ratio, 6) AS p50_ratio, round(p80_ratio, 6) AS p80_ratio, round(p50_views, 6) AS p50_views, round(p80_views, 6) AS p80_views, n_tiered, insufficient_data FROM c",
-        "reach_tier_counts": _REACH + "SELECT status, count(*) AS posts FROM z GROUP BY status",
+        "reach_tier_counts": _REACH + "SELECT w.status, count(z.id) AS posts FROM (SELECT unnest(['no_baseline', 'maturity_unknown', 'still_growing', 'top_20', 'above_median', 'below_median']) AS status) w LEFT JOIN z ON z.status = w.status GROUP BY 1",
         "view_velocity": WITH + ", o AS (SELECT post_id, fetched_at, max(struct_pack(v := views, p := coalesce(reposts, 0), q := coalesce(quotes, 0))) AS x FROM s GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY fetched_at DESC) AS n FROM o) SELECT b.post_id, round((b.x.v - a.x.v) / ((epoch_us(b.fetched_at) - epoch_us(a.fetched_at)) / 3.6e9), 6) AS views_per_hour, round((b.x.p + b.x.q - a.x.p - a.x.q) / ((epoch_us(b.fetched_at) - epoch_us(a.fetched_at)) / 3.6e9), 6) AS amplification_per_hour FROM k b JOIN k a ON a.post_id = b.post_id AND b.n = 1 AND a.n = 2",
         "window_velocity": WITH + ", w AS (SELECT post_id, regr_slope(views::DOUBLE, (epoch_us(s.fetched_at) - epoch_us(p.posted_at)) / 3.6e9) AS slope, count(*) AS n FROM s JOIN p ON p.id = s.post_id WHERE views > 0 AND s.fetched_at >= p.posted_at GROUP BY post_id HAVING count(*) >= 3 AND count(DISTINCT s.fetched_at) > 1) SELECT post_id, round(slope, 4) AS views_per_hour, n FROM w WHERE slope IS NOT NULL",
         "snapshot_batches": _BATCH + "SELECT * FROM bt",
         "readings_per_hour": WITH + "SELECT hour(timezone('Europe/Paris', fetched_at))::INT AS hour, count(*) AS readings FROM s GROUP BY 1",
-        "long_gaps": WITH + ", dd AS (SELECT DISTINCT timezone('UTC', fetched_at)::DATE AS day FROM s WHERE fetched_at >= TIMESTAMPTZ '2025-01-01 00:00:00+00'), nn AS (SELECT day, lead(day) OVER (ORDER BY day) AS nx FROM dd) SELECT (day + 1)::DATE AS first_day, (nx - day - 1)::INT AS days FROM nn WHERE nx - day > 1",
-        "early_points": WITH + ", k AS (SELECT p.id, count(DISTINCT floor(epoch_us(s.fetched_at) / 21600000000)) FILTER (s.fetched_at >= p.posted_at AND epoch_us(s.fetched_at) - epoch_us(p.posted_at) < 86400000000) AS k FROM p LEFT JOIN s ON s.post_id = p.id WHERE NOT is_reply AND parent IS NULL GROUP BY p.id) SELECT k AS points, count(*) AS posts FROM k GROUP BY k",
+        "long_gaps": WITH + ", q AS (SELECT fetched_at AS a, lead(fetched_at) OVER (ORDER BY fetched_at) AS b FROM s WHERE fetched_at >= (SELECT min(posted_at) FROM p)) SELECT a AS last_reading, round((epoch_us(b) - epoch_us(a)) / 3.6e9, 4) AS hours FROM q WHERE epoch_us(b) - epoch_us(a) >= 28800000000",
+        "early_points": _BATCH + ", k AS (SELECT p.id, count(DISTINCT h.batch) FILTER (h.fetched_at >= p.posted_at AND epoch_us(h.fetched_at) - epoch_us(p.posted_at) < 86400000000) AS k FROM p LEFT JOIN h ON h.post_id = p.id WHERE NOT is_reply AND parent IS NULL GROUP BY p.id) SELECT k AS points, count(*) AS posts FROM k GROUP BY k",
         "smallest_batches": _BATCH + "SELECT started, readings FROM bt ORDER BY readings, started LIMIT 3",
         "curve_shares": WITH + ", a AS (SELECT s.post_id, (epoch_us(s.fetched_at) - epoch_us(p.posted_at)) / 8.64e10 AS age, views FROM s JOIN p ON p.id = s.post_id WHERE views > 0 AND NOT is_reply AND parent IS NULL AND s.fetched_at >= p.posted_at), g AS (SELECT post_id, arg_max(views, (age, views)) AS last, arg_max(views, (age, views)) FILTER (age <= 1) AS a1, arg_max(views, (age, views)) FILTER (age <= 3) AS a3, arg_max(views, (age, views)) FILTER (age <= 7) AS a7, arg_max(views, (age, views)) FILTER (age <= 14) AS a14 FROM a GROUP BY post_id) SELECT post_id, round(a1 / last, 6) AS day_1, round(a3 / last, 6) AS day_3, round(a7 / last, 6) AS day_7, round(a14 / last, 6) AS day_14 FROM g",
         "age_reach_spearman": WITH + ", a AS (SELECT views, round((epoch_us(fetched_at) - epoch_us(posted_at)) / 8.64e10, 6) AS age FROM m), k AS (SELECT rank() OVER (ORDER BY views) + (count(*) OVER (PARTITION BY views) - 1) / 2.0 AS rv, rank() OVER (ORDER BY age) + (count(*) OVER (PARTITION BY age) - 1) / 2.0 AS ra FROM a) SELECT round(corr(rv, ra), 6) AS rho, count(*) AS n FROM k",
