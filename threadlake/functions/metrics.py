@@ -128,7 +128,7 @@ def normal_tail(z: Column) -> Column:
         return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
 
     total = F.aggregate(F.sequence(F.lit(1), F.lit(140)), start, step)["sum"]
-    return F.greatest(F.lit(1.0) - 2 / math.sqrt(math.pi) * total, F.lit(0.0))
+    return F.when(z.isNotNull(), F.greatest(F.lit(1.0) - 2 / math.sqrt(math.pi) * total, F.lit(0.0)))
 
 
 def held(direction: str, alive: Column, verdict_: Column, delta: Column) -> Column:

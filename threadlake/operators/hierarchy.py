@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.plans.lineage import Stages
@@ -67,11 +67,10 @@ def _frontiers(tops: DataFrame, rest: DataFrame, stages: Stages, carried: list[s
             "id", (F.col("depth") + F.lit(stride)).cast("int").alias("depth"), *carried, *own, F.col("_next").alias("up"), F.least("low", "_low").alias("low"),
             *([F.concat("_seg", segment).alias("path")] if segment else []),
         )
-        seen = Observation()
-        found = stages.keep(found.observe(seen, F.count_if(F.col("up").isNull()).alias("new"), F.count_if(F.col("up").isNotNull()).alias("left")))
-        if seen.get["new"]:
+        found, seen = stages.keep_and_count(found, new=F.count_if(F.col("up").isNull()), left=F.count_if(F.col("up").isNotNull()))
+        if seen["new"]:
             reached.append(found.filter("up is null").drop("up", "low"))
-        if not seen.get["new"] or not seen.get["left"]:
+        if not seen["new"] or not seen["left"]:
             break
         left = found.filter("up is not null").select("id", "up", "low", *own, *([F.col("path").alias(segment)] if segment else []))
         stride *= 2

@@ -26,29 +26,49 @@ KEEP_GRADE = 2
 BLOCK_BYTES = 32_000_000
 
 
+class Bm25Index:
+    """Postings of the terms that a stated set of queries asks for, in accented and folded form, made in one pass over the
+    passages; corpus statistics cover all passages."""
+
+    def __init__(self, passages: DataFrame, queries: DataFrame):
+        stages = Stages(passages.sparkSession, "bm25")
+        self.queries = stages.keep(queries.select("query_id", T.search_tokens(F.col("text")).alias("t"), T.search_tokens(T.folded("text")).alias("f")))
+        wanted = self._terms(self.queries, F.lit(True)).union(self._terms(self.queries, F.lit(False))).distinct()
+        tokens = passages.select("passage_id", T.search_tokens(F.col("text")).alias("t"), T.search_tokens(T.folded("text")).alias("f"))
+        # one pass gives the postings that a query asks for and, as postings of an empty term, the lengths of all passages
+        wanted = wanted.union(passages.sparkSession.range(1).select(F.lit(True), F.lit("")))
+        forms = F.array(F.struct(F.lit(True).alias("accented"), F.concat(F.array(F.lit("")), F.coalesce("t", F.array().cast("array<string>"))).alias("w")), F.struct(F.lit(False).alias("accented"), F.col("f").alias("w")))
+        terms = tokens.select("passage_id", F.greatest(F.coalesce(F.size("t"), F.lit(0)), F.lit(0)).alias("len"), F.explode(forms).alias("x")).select("passage_id", "len", "x.accented", F.explode("x.w").alias("term"))
+        counted = terms.join(wanted, ["accented", "term"], "left_semi").groupBy("accented", "term", "passage_id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+        counted = stages.keep(counted)
+        size = counted.filter("term = ''").agg(F.sum("tf").alias("n"), F.sum(F.col("len") * F.col("tf")).alias("words")).first()
+        self.postings = counted.filter("term <> ''")
+        self.n, self.mean = size["n"] or 0, (size["words"] or 0) / max(size["n"] or 0, 1)
+
+    @staticmethod
+    def _terms(queries: DataFrame, accented: Column) -> DataFrame:
+        return queries.select(accented.alias("accented"), F.explode(F.when(accented, F.col("t")).otherwise(F.col("f"))).alias("term"))
+
+    def scores(self, mode: str = "auto", k1: float = K1, b: float = B) -> DataFrame:
+        """query_id, passage_id, score (rounded, over 0); a query with any accented token reads the accented postings, else the
+        folded ones (``mode`` fixes one of them). Repeated query terms add."""
+        accented = {"auto": F.col("t") != F.col("f"), "accented": F.lit(True), "folded": F.lit(False)}[mode]
+        asked = self.queries.select("query_id", accented.alias("accented"), F.explode(F.when(accented, F.col("t")).otherwise(F.col("f"))).alias("term")).groupBy("query_id", "accented", "term").agg(F.count("*").alias("times"))
+        df = self.postings.groupBy("accented", "term").agg(F.count("*").alias("df"))
+        idf = F.log1p((F.lit(float(self.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        weights = asked.join(df, ["accented", "term"]).select("query_id", "accented", "term", (F.col("times") * idf).alias("w"))
+        norm = (1 - b) + b * F.col("len") / F.lit(float(self.mean))
+        scored = self.postings.join(weights, ["accented", "term"]).groupBy("query_id", "passage_id").agg(F.sum(F.col("w") * F.col("tf") / (F.col("tf") + k1 * norm)).alias("score"))
+        return scored.select("query_id", "passage_id", F.round("score", DECIMALS).alias("score")).filter("score > 0")
+
+
 def bm25(passages: DataFrame, queries: DataFrame, *, k1: float = K1, b: float = B, mode: str = "auto") -> DataFrame:
     """query_id, passage_id, score (rounded, over 0) of passages (passage_id, text) for queries (query_id, text).
 
-    idf ln(1 + (N - df + .5) / (df + .5)), tf / (tf + k1 * norm); repeated query terms add. A query with any accented token
-    reads the accented index, else the folded one (``mode`` fixes one of them). Corpus statistics always cover all passages:
-    a filter belongs after the scores. Only postings of query terms are shuffled; the hot ones are summed map-side.
+    idf ln(1 + (N - df + .5) / (df + .5)), tf / (tf + k1 * norm). A filter belongs after the scores, for corpus statistics always
+    cover all passages. Only postings of query terms are shuffled; the hot ones are summed map-side.
     """
-    tokens = passages.select("passage_id", T.search_tokens(F.col("text")).alias("t"), T.search_tokens(T.folded("text")).alias("f"))
-    sizes = tokens.agg(F.count("*").cast("double").alias("N"), F.avg(F.coalesce(F.size("t"), F.lit(0))).alias("avg_len"))
-    q = queries.select("query_id", T.search_tokens(F.col("text")).alias("t"), T.search_tokens(T.folded("text")).alias("f"))
-    accented = {"auto": F.col("t") != F.col("f"), "accented": F.lit(True), "folded": F.lit(False)}[mode]
-    asked = q.select("query_id", accented.alias("accented"), F.explode(F.when(accented, F.col("t")).otherwise(F.col("f"))).alias("term")).groupBy("query_id", "accented", "term").agg(F.count("*").alias("times"))
-    wanted = asked.select("accented", "term").distinct()
-    both = F.explode(F.array(F.struct(F.lit(True).alias("accented"), F.col("t").alias("w")), F.struct(F.lit(False).alias("accented"), F.col("f").alias("w")))).alias("x")
-    terms = tokens.select("passage_id", F.size("t").alias("len"), both).select("passage_id", "len", "x.accented", F.explode("x.w").alias("term"))
-    postings = terms.join(wanted, ["accented", "term"], "left_semi").groupBy("accented", "term", "passage_id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    df = postings.groupBy("accented", "term").agg(F.count("*").alias("df"))
-    weights = asked.join(df, ["accented", "term"]).crossJoin(F.broadcast(sizes))  # one row of sizes
-    idf = F.log1p((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = weights.select("query_id", "accented", "term", (F.col("times") * idf).alias("w"), "avg_len")
-    norm = (1 - b) + b * F.col("len") / F.col("avg_len")
-    scored = postings.join(weights, ["accented", "term"]).groupBy("query_id", "passage_id").agg(F.sum(F.col("w") * F.col("tf") / (F.col("tf") + k1 * norm)).alias("score"))
-    return scored.select("query_id", "passage_id", F.round("score", DECIMALS).alias("score")).filter("score > 0")
+    return Bm25Index(passages, queries).scores(mode, k1, b)
 
 
 def rank_range(rows: DataFrame, key: str = "query_id", item: str = "passage_id", score: str = "score") -> DataFrame:

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -51,6 +51,18 @@ class Stages:
         out._stage_path = path
         return out
 
+    def keep_and_count(self, df: DataFrame, **aggregates: Column) -> tuple[DataFrame, dict]:
+        """``keep``, and aggregates of the rows that were seen while they were written."""
+        seen = Observation()
+        out = self.keep(df.observe(seen, *[a.alias(k) for k, a in aggregates.items()]))
+        try:
+            found = seen.get
+        except Exception:  # a plan that turned out empty drops what observes it
+            found = {}
+        if set(found) != set(aggregates):
+            found = out.agg(*[a.alias(k) for k, a in aggregates.items()]).first().asDict()
+        return out, found
+
     def drop(self, *frames: DataFrame) -> None:
         """Deletes tables that no later plan reads."""
         for df in frames:

@@ -35,7 +35,9 @@ def bm25_matches(spark, d):
 
 
 def _both(spark, d):
-    return _scores(spark, d, "accented"), _scores(spark, d, "folded")
+    """Scores of both indexes, from one pass over the documents."""
+    index, stages = op.Bm25Index(_passages(spark, d), _questions(spark, d)), Stages(spark, "bm25-both")
+    return stages.keep(index.scores("accented")), stages.keep(index.scores("folded"))
 
 
 def _fused(a, b, how):
@@ -101,6 +103,51 @@ def ab_verdicts(spark, d):
     return op.ab_verdict(*[op.gold_answer(op.gold_range(op.rank_range(_fused(a, b, how)), gold)) for how in ("rrf", "weighted")])
 
 
+def _graded(scores):
+    """A stored grade of 0 to 3 per question and passage, as a judge would give: by score, four points a grade."""
+    return scores.select("query_id", "passage_id", F.least(F.floor(F.col("score") / 4), F.lit(3)).cast("int").alias("grade"))
+
+
+def score_counts(spark, d):
+    """How many question and passage pairs bear each grade."""
+    return _graded(_scores(spark, d)).groupBy("grade").agg(F.count("*").alias("pairs"))
+
+
+def non_gold_kept(spark, d):
+    """Per question the passages graded high enough to keep that are no gold (gold: the first place of the list, ties included)."""
+    s = _scores(spark, d)
+    gold = op.top_ties(s, 1).select("query_id", "passage_id")
+    kept = _graded(s).filter(F.col("grade") >= op.KEEP_GRADE).join(gold, ["query_id", "passage_id"], "left_anti").groupBy("query_id").agg(F.count("*").alias("k"))
+    return _questions(spark, d).select("query_id").join(kept, "query_id", "left").select("query_id", F.coalesce("k", F.lit(0)).alias("kept"))
+
+
+def graded_top(spark, d):
+    """The ten best documents in the order of their grades, those under the kept grade dropped."""
+    s = _scores(spark, d)
+    rows = op.graded_rerank(op.top_ties(s), _graded(s), op.TOP_K)
+    return op.grade_filter(rows, _graded(s)).select("query_id", "passage_id", "rank", "tied_from", "tied_to")
+
+
+def rank_moves(spark, d):
+    """Places that documents of the fused list gained against the accented list, where that is certain."""
+    a, b = _both(spark, d)
+    return op.rank_moves(op.top_ties(a), op.top_ties(_fused(a, b, "rrf"))).select("query_id", "passage_id", F.col("moved").cast("int").alias("moved"))
+
+
+def removal_steps(spark, d):
+    """At which step documents of the accented list went: cut to the first ten, or graded too low."""
+    s = _scores(spark, d, "accented")
+    top = op.top_ties(s)
+    return op.removed_at([("list", s), ("top", top), ("grade", op.grade_filter(top, _graded(s)))])
+
+
+def rounding_ties(spark, d):
+    """Pairs of vectors per centroid that tie only because scores are rounded to two places."""
+    x = op.dense_scores(_vectors(spark, d), _centres(spark, d)).select("query_id", F.round("score", 2).alias("s"), "score")
+    g = x.groupBy("query_id", "s", "score").agg(F.count("*").alias("c")).groupBy("query_id", "s").agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1)).alias("same"))
+    return g.groupBy("query_id").agg((F.sum(F.col("n") * (F.col("n") - 1) - F.col("same")) / 2).cast("long").alias("ties"))
+
+
 def passage_hashes(spark, d):
     """Passages once each before anything is scored on them: the first id per text."""
     return _passages(spark, d).groupBy(F.sha2("text", 256).alias("hash")).agg(F.min("passage_id").alias("passage_id"))
@@ -111,7 +158,7 @@ def questions_with_tokens(spark, d):
     return _questions(spark, d).select("query_id", F.array_join(t, " ").alias("tokens"), (t != f).alias("accented"))
 
 
-QUERIES = (bm25_top, bm25_matches, rrf_top, weighted_top, distribution_top, dense_top, reranked, diverse, gold_ranks, ab_verdicts, passage_hashes, questions_with_tokens)
+QUERIES = (bm25_top, bm25_matches, rrf_top, weighted_top, distribution_top, dense_top, reranked, diverse, gold_ranks, ab_verdicts, score_counts, non_gold_kept, graded_top, rank_moves, removal_steps, rounding_ties, passage_hashes, questions_with_tokens)
 
 
 def queries() -> dict:
@@ -177,6 +224,15 @@ def oracle_sql() -> dict[str, str]:
         "dense_top": _DN + dense,
         "gold_ranks": _DN + _top("SELECT * FROM dr", 10**9).replace(" SELECT query_id, passage_id, score, rank::INT", ", tp AS (SELECT query_id, passage_id, score, rank::INT", 1).replace("tied_from::INT AS tied_from", "tied_from") + "), h AS (SELECT tp.query_id, e.label AS unit, tied_from, tied_to, count(*) AS h FROM tp JOIN e ON e.vec_id = tp.passage_id AND e.label::VARCHAR = tp.query_id GROUP BY ALL), f AS (SELECT query_id, unit, arg_min(struct_pack(a := tied_from, b := tied_to, h := h), tied_from) AS x FROM h GROUP BY 1, 2) SELECT c.query_id, c.label AS unit, x.a AS rank_from, x.b - x.h + 1 AS rank_to FROM c LEFT JOIN f ON f.query_id = c.query_id AND f.unit = c.label",
         "reranked": _DN + dense.replace(" SELECT query_id, passage_id, score, rank::INT", ", tp AS (SELECT query_id, passage_id, score, rank::INT", 1) + "), hd AS (SELECT tp.query_id, tp.passage_id, round(list_dot_product(e.v0, c.c), 6) AS score FROM tp JOIN e ON e.vec_id = tp.passage_id JOIN c ON c.query_id = tp.query_id WHERE tied_from <= 10) SELECT query_id, passage_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank, rank() OVER (PARTITION BY query_id ORDER BY score DESC) AS tied_from, rank() OVER (PARTITION BY query_id ORDER BY score DESC) + count(*) OVER (PARTITION BY query_id, score) - 1 AS tied_to, false AS not_reranked FROM hd UNION ALL SELECT query_id, passage_id, score, rank, tied_from, tied_to, true FROM tp WHERE tied_from > 10",
+        "ab_verdicts": _BM + rr + f""", w AS ({weighted}), f AS (SELECT query_id, passage_id, round(sum(s), 6)::DOUBLE AS score FROM rr GROUP BY 1, 2), gd AS (SELECT query_id, arg_min(passage_id, (-score, passage_id)) AS passage_id FROM sc WHERE mode = 'accented' GROUP BY 1),
+rf AS (SELECT query_id, passage_id, rank() OVER v AS a, rank() OVER v + count(*) OVER (PARTITION BY query_id, score) - 1 AS b FROM f WINDOW v AS (PARTITION BY query_id ORDER BY score DESC)), rw AS (SELECT query_id, passage_id, rank() OVER v AS a, rank() OVER v + count(*) OVER (PARTITION BY query_id, score) - 1 AS b FROM w WINDOW v AS (PARTITION BY query_id ORDER BY score DESC))
+SELECT query_id, CASE WHEN rf.a IS NULL AND rw.a IS NULL THEN 'unranked' WHEN rw.a IS NULL THEN 'A' WHEN rf.a IS NULL THEN 'B' WHEN rf.a <= rw.b AND rw.a <= rf.b THEN 'overlap' WHEN rf.b < rw.a THEN 'A' ELSE 'B' END AS verdict FROM gd LEFT JOIN rf USING (query_id, passage_id) LEFT JOIN rw USING (query_id, passage_id)""",
+        "score_counts": _BM + "SELECT least(floor(score / 4), 3)::INT AS grade, count(*) AS pairs FROM sc WHERE mode = 'auto' GROUP BY 1",
+        "non_gold_kept": _BM + ", k AS (SELECT query_id, least(floor(score / 4), 3) AS grade, rank() OVER (PARTITION BY query_id ORDER BY score DESC) AS r FROM sc WHERE mode = 'auto') SELECT qq.query_id, count(k.r) AS kept FROM qq LEFT JOIN k ON k.query_id = qq.query_id AND grade >= 2 AND r > 1 GROUP BY 1",
+        "graded_top": _BM + _top("SELECT query_id, passage_id, score FROM sc WHERE mode = 'auto'").replace(" SELECT query_id, passage_id, score, rank::INT", ", tp AS (SELECT query_id, passage_id, score, rank::INT", 1) + "), g AS (SELECT *, least(floor(score / 4), 3) AS grade FROM tp), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, rank) AS nr FROM g), m AS (SELECT *, min(nr) OVER w AS na, max(nr) OVER w AS nb FROM n WINDOW w AS (PARTITION BY query_id, grade, tied_from, tied_to)), h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY nr) AS hr FROM m WHERE grade >= 2) SELECT query_id, passage_id, hr::INT AS rank, (min(hr) OVER v)::INT AS tied_from, (max(hr) OVER v)::INT AS tied_to FROM h WINDOW v AS (PARTITION BY query_id, na, nb)",
+        "rank_moves": _BM + rr + ", f AS (SELECT query_id, passage_id, round(sum(s), 6)::DOUBLE AS score FROM rr GROUP BY 1, 2), x AS (SELECT query_id, passage_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS r, rank() OVER v AS a, rank() OVER v + count(*) OVER (PARTITION BY query_id, score) - 1 AS b FROM sc WHERE mode = 'accented' WINDOW v AS (PARTITION BY query_id ORDER BY score DESC)), y AS (SELECT query_id, passage_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS r, rank() OVER v AS a, rank() OVER v + count(*) OVER (PARTITION BY query_id, score) - 1 AS b FROM f WINDOW v AS (PARTITION BY query_id ORDER BY score DESC)) SELECT y.query_id, y.passage_id, CASE WHEN y.a > x.b OR x.a > y.b THEN (x.r - y.r)::INT END AS moved FROM y JOIN x ON x.query_id = y.query_id AND x.passage_id = y.passage_id WHERE x.a <= 10 AND y.a <= 10",
+        "removal_steps": _BM + ", k AS (SELECT query_id, passage_id, least(floor(score / 4), 3) AS grade, rank() OVER (PARTITION BY query_id ORDER BY score DESC) AS r FROM sc WHERE mode = 'accented') SELECT query_id, passage_id, CASE WHEN r > 10 THEN 'top' WHEN grade < 2 THEN 'grade' END AS step FROM k",
+        "rounding_ties": _DN + ", g AS (SELECT query_id, round(score, 2) AS s, score, count(*) AS c FROM dr GROUP BY 1, 2, 3), h AS (SELECT query_id, s, sum(c) AS n, sum(c * (c - 1)) AS same FROM g GROUP BY 1, 2) SELECT query_id, (sum(n * (n - 1) - same) / 2)::BIGINT AS ties FROM h GROUP BY 1",
         "passage_hashes": "SELECT sha256(text) AS hash, min(doc_id) AS passage_id FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1",
         "questions_with_tokens": _BM + "SELECT query_id, array_to_string(t, ' ') AS tokens, t <> f AS accented FROM qq",
     }

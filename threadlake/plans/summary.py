@@ -163,12 +163,6 @@ def reference_integrity(spark, d):
     return out
 
 
-def stale_representatives(spark, d):
-    """Stored representatives that are no unit of their topic in the newest run."""
-    t = table(spark, d, "topics").select(F.col("id").alias("topic_id"), F.explode(F.from_json("representative_ids_json", "array<string>")).alias("unit_id")).distinct()
-    return t.join(_topic_of(spark, d).select(F.col("id").alias("unit_id"), "topic_id"), ["topic_id", "unit_id"], "left_anti")
-
-
 def _anchors(spark, d):
     """The units that a topic held in the run before the newest: those of the cluster its present units mostly came from."""
     a, b = identity._last_two(spark, d)
@@ -252,7 +246,7 @@ def language_info(spark, d):
 
 
 QUERIES = (
-    pipeline_summary, comparison_rows, run_verdicts, comparison_history, masked_comparisons, conclusion_stability, agreement_summary, reference_integrity, stale_representatives, anchor_checks, topic_plan, topic_events,
+    pipeline_summary, comparison_rows, run_verdicts, comparison_history, masked_comparisons, conclusion_stability, agreement_summary, reference_integrity, anchor_checks, topic_plan, topic_events,
     post_rates, dst_posts, embedded_texts, language_info,
 )
 
@@ -330,7 +324,6 @@ tt AS (SELECT ra, rb, sum(n) AS n, sum(n * (n - 1) / 2.0) AS s FROM ce GROUP BY
 ar AS (SELECT CASE WHEN rb = (SELECT max(run_id) FROM cl) THEN 'vs_newest' ELSE 'pairwise' END AS arm, ({ari})::DOUBLE AS ari FROM tt JOIN xa USING (ra, rb) JOIN xb USING (ra, rb))
 SELECT arm, count(*) AS n, round(quantile_cont(ari, 0.5), 6) AS median, round(quantile_cont(ari, 0.25), 6) AS iqr_low, round(quantile_cont(ari, 0.75), 6) AS iqr_high FROM ar GROUP BY 1""",
         "reference_integrity": of + rj + " " + " UNION ALL ".join(relation.format(*x) for x in relations),
-        "stale_representatives": of + rj + " SELECT DISTINCT topic_id, k AS unit_id FROM rj WHERE k IS NOT NULL AND NOT EXISTS (SELECT 1 FROM tp WHERE tp.id = rj.k AND tp.topic_id = rj.topic_id)",
         "anchor_checks": plan + "SELECT * FROM ah",
         "topic_plan": plan + "SELECT * FROM pl",
         "topic_events": plan + "SELECT topic_id, CASE WHEN event = 'kept' AND reason IS NOT NULL THEN 'relabeled' ELSE event END AS event FROM pl UNION ALL SELECT DISTINCT topic, 'retired' FROM an WHERE topic NOT IN (SELECT topic_id FROM pl)",
