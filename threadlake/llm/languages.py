@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import chain
 
 import pyarrow as pa
@@ -42,6 +42,7 @@ MARGIN = 1.04
 #: Words per unit of decision where a stretch has no punctuation.
 WINDOW = 6
 
+_DIGIT = regex.compile(r"\p{N}")
 _CLAUSE = regex.compile(r"[,;:()\"«»“”]+\s*")
 
 
@@ -76,19 +77,21 @@ def chunks(text: str) -> list[tuple[int, str, int]]:
     """(sentence number, folded words with a letter, number of words) of the clauses of a text; long ones in windows."""
     out = []
     for k, sentence in enumerate(sentences(without_links(text))):
-        w: list[str] = []
-        for x in chain(chain.from_iterable(map(_FOLDED.__getitem__, sentence.split())), (None,)):
-            if x is not None:
-                w.append(x)
-                continue
-            parts = max(1, round(len(w) / (1.5 * WINDOW))) if len(w) > 2 * WINDOW else 1
-            for i in range(parts if w else 0):
-                piece = w[len(w) * i // parts : len(w) * (i + 1) // parts]
-                if letters := [y for y in piece if not y.isnumeric()]:
-                    out.append((k, " ".join(letters), len(piece)))
+        w = list(chain.from_iterable(map(_FOLDED.__getitem__, sentence.split())))
+        start = 0
+        for end in [i for i, x in enumerate(w) if x is None] + [len(w)] if None in w else [len(w)]:
+            n = end - start
+            parts = max(1, round(n / (1.5 * WINDOW))) if n > 2 * WINDOW else 1
+            for i in range(parts if n else 0):
+                piece = w[start + n * i // parts : start + n * (i + 1) // parts]
+                said = " ".join(piece)
+                if _DIGIT.search(said):
+                    said = " ".join([y for y in piece if not y.isnumeric()])
+                if said:
+                    out.append((k, said, len(piece)))
                 elif out and out[-1][0] == k:  # numbers alone count with the clause before them
                     out[-1] = (k, out[-1][1], out[-1][2] + len(piece))
-            w = []
+            start = end + 1
     return out
 
 
@@ -210,10 +213,12 @@ def fit(units: DataFrame, *, sample: int = SAMPLE) -> dict[str, bytes]:
     head = F.split(F.lower(F.trim("language_primary")), r"[-_\s]")[0]
     code = F.coalesce(*[F.when(head.isin(*names), F.lit(c)) for c, names in SPELLINGS.items()])
     spelled = narrow.select("id", code.alias("code"), F.xxhash64("id").alias("h")).filter("code is not null")
-    # a task keeps the first ``sample`` rows of a language before any are brought together
-    first = F.row_number().over(Window.partitionBy("code").orderBy("h", "id"))
     with Stages(spark, "languages") as stages:
-        chosen = stages.keep(spelled.withColumn("k", first).filter(F.col("k") <= sample))
+        spelled = stages.keep(spelled)
+        # every task keeps its first ``sample`` rows of a language before any are brought together
+        firsts = [spelled.filter(F.col("code") == c).orderBy("h", "id").limit(sample) for c in LANGUAGES]
+        first = F.row_number().over(Window.partitionBy("code").orderBy("h", "id"))
+        chosen = stages.keep(reduce(DataFrame.unionByName, firsts).withColumn("k", first))
         texts = latest_units(units.join(F.broadcast(chosen.select("id")), "id", "left_semi"), "id", "full_text")  # at most 3 * sample ids
         rows = texts.join(F.broadcast(chosen), "id").select("code", (F.col("k") % 2).cast("int").alias("half"), "k", "full_text")
         schema = "code string, half int, k int, full_text string"

@@ -129,10 +129,12 @@ class Packed:
         self.tokens = 2 * size - 1
         sub_of = np.repeat(word_of, count)
         pair_of = np.repeat(np.arange(len(size)), size - 1)
-        owner = np.concatenate([sub_of, pair_of])
-        weight = np.concatenate([np.repeat(1 / count, count), np.ones(len(pairs))])
-        order = np.argsort(owner, kind="stable")
-        self.owner, self.rows, self.weights = owner[order], np.concatenate([rows, pairs])[order].astype(np.int64), weight[order].astype(np.float32)
+        # a sentence's words, then its pairs: each part moves on by what the other part holds before it
+        held = np.bincount(sub_of, minlength=len(size))
+        at = np.concatenate([np.arange(len(sub_of)) + (np.cumsum(size - 1) - (size - 1))[sub_of], np.arange(len(pair_of)) + np.cumsum(held)[pair_of]])
+        self.owner, self.rows, self.weights = np.empty(len(at), np.int64), np.empty(len(at), np.int64), np.empty(len(at), np.float32)
+        for own, part in ((self.owner, (sub_of, pair_of)), (self.rows, (rows, pairs)), (self.weights, (np.repeat(1 / count, count), np.ones(len(pairs))))):
+            own[at] = np.concatenate(part)
 
     def means(self, embedding: np.ndarray, group: np.ndarray, kept: np.ndarray | None = None):
         """Means per group of sentences (``group``: ascending, of each sentence); with the rows, weights, groups they came from."""
@@ -197,8 +199,8 @@ def _gradients(shared, phase: str, seed: int):
         p = 1 / (1 + np.exp(-np.clip(x @ o + b, -30, 30)))
         d = ((p - target) * mask).astype(np.float32)
         dx = d @ o.T
-        touched, at = np.unique(rows, return_inverse=True)
-        de = np.stack([np.bincount(at, dx[owner, k] * weights, minlength=len(touched)) for k in range(WIDTH)], 1).astype(np.float32)
+        touched = np.flatnonzero(np.bincount(rows, minlength=BUCKETS))
+        de = np.stack([np.bincount(rows, dx[owner, k] * weights, minlength=BUCKETS)[touched] for k in range(WIDTH)], 1).astype(np.float32)
         parts = [touched.astype(np.int32), de, (x.T @ d).astype(np.float32), d.sum(0), np.array([len(x)], np.int64)]
         yield pd.DataFrame([[np.ascontiguousarray(v).tobytes() for v in parts]], columns=list("abcde"))
 
