@@ -150,6 +150,62 @@ def test_paged_source(spark):
     assert df.groupBy("account").count().orderBy("account").collect()[1]["count"] == 5
 
 
+def test_pages_shrink_grow_and_fall_back():
+    sizes = []
+
+    def fetch_(cursor, limit):
+        k = int(cursor or 0)
+        sizes.append(limit)
+        if k == 2 and limit >= 1 and k <= 2 < k + limit:
+            raise TimeoutError
+        return {"data": [{"id": str(i)} for i in range(k, min(k + limit, 40))], "after": str(k + limit) if k + limit < 40 else None}
+
+    lenient = lambda cursor: {"data": [{"id": cursor, "lost": "field"}], "after": str(int(cursor) + 1)}
+    got = list(api.pages(lambda c, n: fetch_(c, min(n, 2) if (c or "0") == "0" else n), limit=8, lenient=lenient))
+    assert [x["id"] for x in got] == [str(i) for i in range(40)] and got[2] == {"id": "2", "lost": "field"}
+    assert 1 in sizes and sizes[-1] > 1  # grown again after the bad item
+    with pytest.raises(TimeoutError):
+        list(api.pages(fetch_, limit=2))
+
+
+def test_client_errors_are_typed():
+    import io
+    import urllib.error
+
+    class Answer(io.BytesIO):
+        status = 200
+
+    ok = api.HttpClient("https://api.example", "t", opener=lambda r, timeout: Answer(b'{"data": [1]}'))
+    assert ok.get("me", limit=3, after=None) == {"data": [1]}
+
+    def fail(status, body):
+        def opener(request, timeout):
+            raise urllib.error.HTTPError(request.full_url, status, "", {}, io.BytesIO(body))
+
+        return api.HttpClient("https://api.example", "t", opener=opener)
+
+    with pytest.raises(api.ServerError):
+        fail(503, b"<html>").get("x")
+    with pytest.raises(api.ApiError) as e:
+        fail(400, b'{"error": {"message": "no", "code": 190, "fbtrace_id": "A"}}').get("x")
+    assert (e.value.status, e.value.code, e.value.trace) == (400, 190, "A") and not isinstance(e.value, api.ServerError)
+    with pytest.raises(api.ServerError):
+        api.HttpClient("https://api.example", "t", opener=lambda r, timeout: (_ for _ in ()).throw(TimeoutError())).get("x")
+    assert api.cursor_parameters("https://a/b?after=c&limit=5&fields=id") == {"after": "c", "limit": "5"} and api.cursor_parameters(None) is None
+    with pytest.raises(api.ApiError):
+        api.cursor_parameters("https://a/b?offset=5")
+
+
+def test_account_answers(spark):
+    payload = '{"data": [{"name": "followers", "total_value": {"breakdowns": [{"results": [{"dimension_values": ["FR"], "value": 3}, {"dimension_values": ["VN"], "value": 4}]}]}}]}'
+    p = spark.createDataFrame([(payload,), ('{"data": [{"name": "views", "total_value": {"value": 9}}]}',)], "payload string")
+    assert rows(formats.demographics(p)) == [("FR", 3), ("VN", 4)] and dict(rows(formats.account_totals(p))) == {"followers": 7, "views": 9}
+    with pytest.raises(ValueError):
+        formats.demographics(p, breakdown="shoe")
+    u = spark.createDataFrame([('{"id": "1", "username": "a", "is_verified": true}',), ("{}",)], "payload string")
+    assert rows(formats.user_info(u)) == [("1", "a", None, None, True)]
+
+
 def test_merged_deliveries(spark):
     p = spark.createDataFrame([("1", None, " 0\t", 1), ("1", "x", None, 2), (None, "y", None, 3), ("2", None, "  ", 4)], "id string, text string, replied_to_id string, extra int")
     assert {r.id: (r.text, r.replied_to_id) for r in merged_posts(p, "id", "text", "replied_to_id").collect()} == {"1": ("x", "0"), "2": (None, None)}

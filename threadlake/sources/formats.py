@@ -102,3 +102,25 @@ def select_outputs(outputs: DataFrame, requests: DataFrame) -> DataFrame:
     best = outputs.groupBy("id").agg(F.max(F.when(F.col("error").isNull(), F.struct("version", "output"))).alias("b"), F.count("*").alias("k"))
     j = requests.select("id").distinct().join(best, "id", "left")
     return j.select("id", F.col("b.version").alias("version"), F.col("b.output").alias("output"), F.when(F.col("b").isNotNull(), "ok").when(F.col("k").isNull(), "missing").otherwise("invalid").alias("status"))
+
+
+#: What follower demographics can be broken down by.
+BREAKDOWNS = ("age", "city", "country", "gender")
+
+
+def demographics(payloads: DataFrame, column: str = "payload", breakdown: str = "country") -> DataFrame:
+    """value_of (a breakdown's value) and followers, from answers with a broken-down total; other breakdowns are refused."""
+    if breakdown not in BREAKDOWNS:
+        raise ValueError(f"breakdown must be one of {', '.join(BREAKDOWNS)}")
+    return insight_values(payloads, column).filter("breakdown is not null").select(F.explode("breakdown").alias("value_of", "followers")).groupBy("value_of").agg(F.sum("followers").alias("followers"))
+
+
+def account_totals(payloads: DataFrame, column: str = "payload") -> DataFrame:
+    """metric, value: an account's totals over the period asked for, whatever shape each metric's answer has."""
+    return insight_values(payloads, column).groupBy("metric").agg(F.sum("value").alias("value"))
+
+
+def user_info(payloads: DataFrame, column: str = "payload") -> DataFrame:
+    """id, username, name, biography, verified of account answers; one row per id."""
+    x = payloads.select(F.from_json(column, "id string, username string, name string, threads_biography string, is_verified boolean").alias("u")).filter("u.id is not null")
+    return x.select("u.id", "u.username", "u.name", F.col("u.threads_biography").alias("biography"), F.coalesce("u.is_verified", F.lit(False)).alias("verified")).groupBy("id").agg(*[F.max(c).alias(c) for c in ("username", "name", "biography", "verified")])
