@@ -205,12 +205,6 @@ def dst_posts(spark, d):
     return p.groupBy(metrics.local_month(F.col("posted_at")).alias("month"), metrics.is_dst(F.col("posted_at"), metrics.AUTHOR_ZONE).alias("dst")).agg(F.count("*").alias("posts"))
 
 
-def embedded_texts(spark, d):
-    """Vectors joined to the texts they stand for, blank texts left out."""
-    texts = table(spark, d, "documents").filter(F.trim(F.coalesce("text", F.lit(""))) != "").select(F.col("doc_id").alias("vec_id"), F.char_length("text").alias("length"))
-    return table(spark, d, "embeddings").select("vec_id", "label", F.size("embedding").alias("dim")).join(texts, "vec_id")
-
-
 #: A token tells a language if it was met so often, and one language has at least this share of its rates.
 LEAST_MET, LEAST_SHARE, LEAST_CONFIDENCE = 3, 0.6, 0.5
 
@@ -247,7 +241,7 @@ def language_info(spark, d):
 
 QUERIES = (
     pipeline_summary, comparison_rows, run_verdicts, comparison_history, masked_comparisons, conclusion_stability, agreement_summary, reference_integrity, anchor_checks, topic_plan, topic_events,
-    post_rates, dst_posts, embedded_texts, language_info,
+    post_rates, dst_posts, language_info,
 )
 
 
@@ -329,7 +323,6 @@ SELECT arm, count(*) AS n, round(quantile_cont(ari, 0.5), 6) AS median, round(qu
         "topic_events": plan + "SELECT topic_id, CASE WHEN event = 'kept' AND reason IS NOT NULL THEN 'relabeled' ELSE event END AS event FROM pl UNION ALL SELECT DISTINCT topic, 'retired' FROM an WHERE topic NOT IN (SELECT topic_id FROM pl)",
         "post_rates": WITH + "SELECT id, " + ", ".join(f"CASE WHEN views > 0 THEN round({_RATE.format(e)}, 6) ELSE 0 END AS {k}" for k, e in _THREE.items()) + " FROM r",
         "dst_posts": WITH + "SELECT strftime(timezone('Europe/Paris', posted_at), '%Y-%m') AS month, epoch(timezone('Europe/Paris', posted_at)) - epoch(timezone('UTC', posted_at)) > 3600 AS dst, count(*) AS posts FROM p WHERE posted_at IS NOT NULL GROUP BY 1, 2",
-        "embedded_texts": "SELECT vec_id, label, len(embedding)::INT AS dim, length(text)::INT AS length FROM embeddings JOIN documents ON doc_id = vec_id WHERE trim(coalesce(text, '')) <> ''",
         "language_info": """WITH x AS (SELECT doc_id, regexp_extract(lower(trim(lang)), '^(vi|fr|en)(?:$|[-_])', 1) AS code, regexp_extract_all(lower(text), '\\p{L}+') AS t FROM documents WHERE text IS NOT NULL), tk AS (SELECT doc_id, code, unnest(t) AS token FROM x),
 lb AS (SELECT code, token, count(*) AS c FROM tk WHERE code <> '' GROUP BY 1, 2), sz AS (SELECT code, sum(c) AS size FROM lb GROUP BY 1), rt AS (SELECT token, code, c, c / size AS rate FROM lb JOIN sz USING (code)),
 bt AS (SELECT token, sum(c) AS met, sum(rate) AS al, max(struct_pack(rate := rate, code := code)) AS b FROM rt GROUP BY 1), kn AS (SELECT token, b.code AS code FROM bt WHERE met >= 3 AND b.rate >= 0.6 * al),
