@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadlake.functions import text as T
+from threadlake.operators import lexical
 from threadlake.operators import retrieval as op
 from threadlake.operators import vectors
 from threadlake.plans.lineage import Stages
@@ -24,6 +25,15 @@ def _scores(spark, d, mode="auto"):
     return Stages(spark, f"bm25-{mode}").keep(op.bm25(_passages(spark, d), _questions(spark, d), mode=mode))
 
 
+def _lists(spark, d, run, *modes):
+    """The rows of ``run`` over the lists of every block of questions."""
+    out = None
+    for block in lexical.query_blocks(_questions(spark, d)):
+        rows = run(lexical.Lists(_passages(spark, d), block, *modes))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def bm25_top(spark, d):
     """The ten best documents of every topic's keywords, ties included."""
     return op.top_ties(_scores(spark, d))
@@ -46,9 +56,17 @@ def _fused(a, b, how):
     return op.fuse_weighted(a, b) if how == "weighted" else op.fuse_distribution(a, b)
 
 
+def _rrf(x, goal):
+    """Fused rows and candidates of both lists, named by their questions."""
+    return [x.named(rows) for rows in x.reciprocal(goal)]
+
+
+BOTH = ("accented", "folded")
+
+
 def rrf_top(spark, d):
     """Accented and folded index fused by reciprocal ranks."""
-    return op.top_ties(_fused(*_both(spark, d), "rrf"))
+    return op.top_ties(_lists(spark, d, lambda x: _rrf(x, "top")[0], *BOTH))
 
 
 def weighted_top(spark, d):
