@@ -41,7 +41,7 @@ def bm25_top(spark, d):
 
 def bm25_matches(spark, d):
     """How many documents match each question, and the sum of their scores."""
-    return _scores(spark, d).groupBy("query_id").agg(F.count("*").alias("matches"), F.round(F.sum("score"), 3).alias("total"))
+    return _lists(spark, d, lambda x: x.totals(), "auto").withColumn("total", F.round("total", 3))
 
 
 def _both(spark, d):
