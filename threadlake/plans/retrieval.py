@@ -116,9 +116,14 @@ def gold_ranks(spark, d):
 
 def ab_verdicts(spark, d):
     """Fused by ranks against fused by weights, whole lists; the gold of a question is the first document of its accented list."""
-    a, b = _both(spark, d)
-    gold = op.top_ties(a, 1).filter("rank = 1").select("query_id", F.lit(0).alias("unit"), "passage_id")
-    return op.ab_verdict(*[op.gold_answer(op.gold_range(op.rank_range(_fused(a, b, how)), gold)) for how in ("rrf", "weighted")])
+
+    def run(x):
+        fused, rows = x.reciprocal("gold")
+        first = rows.filter("a > 0").groupBy("slot").agg(F.min(F.struct(-F.col("a"), "passage_id", "b")).alias("x")).select("slot", "x.passage_id", (-F.col("x.col1")).alias("a"), "x.b")
+        gold = x.named(first).select("query_id", F.lit(0).alias("unit"), "passage_id")
+        return op.ab_verdict(op.gold_answer(op.gold_range(op.rank_range(x.named(fused)), gold)), x.weighted_places(first))
+
+    return _lists(spark, d, run, *BOTH)
 
 
 def _graded(scores):
