@@ -138,9 +138,7 @@ def score_counts(spark, d):
 
 def non_gold_kept(spark, d):
     """Per question the passages graded high enough to keep that are no gold (gold: the first place of the list, ties included)."""
-    s = _scores(spark, d)
-    gold = op.top_ties(s, 1).select("query_id", "passage_id")
-    kept = _graded(s).filter(F.col("grade") >= op.KEEP_GRADE).join(gold, ["query_id", "passage_id"], "left_anti").groupBy("query_id").agg(F.count("*").alias("k"))
+    kept = _lists(spark, d, lambda x: x.kept_behind_first(), "auto")
     return _questions(spark, d).select("query_id").join(kept, "query_id", "left").select("query_id", F.coalesce("k", F.lit(0)).alias("kept"))
 
 
