@@ -74,7 +74,7 @@ def weighted_top(spark, d):
 
 
 def distribution_top(spark, d):
-    return op.top_ties(_fused(*_both(spark, d), "distribution"))
+    return op.top_ties(_lists(spark, d, lambda x: x.top_fused("distribution"), *BOTH))
 
 
 def _vectors(spark, d):
