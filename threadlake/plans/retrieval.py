@@ -70,7 +70,7 @@ def rrf_top(spark, d):
 
 
 def weighted_top(spark, d):
-    return op.top_ties(_fused(*_both(spark, d), "weighted"))
+    return op.top_ties(_lists(spark, d, lambda x: x.top_fused("weighted"), *BOTH))
 
 
 def distribution_top(spark, d):
