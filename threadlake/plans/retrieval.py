@@ -133,7 +133,7 @@ def _graded(scores):
 
 def score_counts(spark, d):
     """How many question and passage pairs bear each grade."""
-    return _graded(_scores(spark, d)).groupBy("grade").agg(F.count("*").alias("pairs"))
+    return _lists(spark, d, lambda x: x.grade_counts(), "auto").groupBy("grade").agg(F.sum("pairs").alias("pairs"))
 
 
 def non_gold_kept(spark, d):
