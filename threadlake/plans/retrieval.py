@@ -157,9 +157,7 @@ def rank_moves(spark, d):
 
 def removal_steps(spark, d):
     """At which step documents of the accented list went: cut to the first ten, or graded too low."""
-    s = _scores(spark, d, "accented")
-    top = op.top_ties(s)
-    return op.removed_at([("list", s), ("top", top), ("grade", op.grade_filter(top, _graded(s)))])
+    return _lists(spark, d, lambda x: x.steps(), "accented")
 
 
 def rounding_ties(spark, d):
