@@ -10,7 +10,7 @@ from threadlake.operators import lexical
 from threadlake.plans import retrieval
 from threadlake.plans.lineage import Stages
 
-NAMES = ("rrf_top", "bm25_matches", "ab_verdicts", "non_gold_kept", "distribution_top", "weighted_top", "score_counts", "removal_steps")
+NAMES = ("rrf_top", "bm25_matches", "ab_verdicts", "non_gold_kept", "distribution_top", "weighted_top", "score_counts", "removal_steps", "rank_moves")
 WORDS = "phở bò bún chả bánh mì ngon quá pho bo bun cha banh mi ngon qua the soup of noodles à la carte".split()
 QUESTIONS, PASSAGES = 40, 600
 

@@ -44,18 +44,6 @@ def bm25_matches(spark, d):
     return _lists(spark, d, lambda x: x.totals(), "auto").withColumn("total", F.round("total", 3))
 
 
-def _both(spark, d):
-    """Scores of both indexes, from one pass over the documents."""
-    index, stages = op.Bm25Index(_passages(spark, d), _questions(spark, d)), Stages(spark, "bm25-both")
-    return stages.keep(index.scores("accented")), stages.keep(index.scores("folded"))
-
-
-def _fused(a, b, how):
-    if how == "rrf":
-        return op.rrf(op.rank_range(a).unionByName(op.rank_range(b)))
-    return op.fuse_weighted(a, b) if how == "weighted" else op.fuse_distribution(a, b)
-
-
 def _rrf(x, goal):
     """Fused rows and candidates of both lists, named by their questions."""
     return [x.named(rows) for rows in x.reciprocal(goal)]
@@ -151,8 +139,13 @@ def graded_top(spark, d):
 
 def rank_moves(spark, d):
     """Places that documents of the fused list gained against the accented list, where that is certain."""
-    a, b = _both(spark, d)
-    return op.rank_moves(op.top_ties(a), op.top_ties(_fused(a, b, "rrf"))).select("query_id", "passage_id", F.col("moved").cast("int").alias("moved"))
+
+    def run(x):
+        fused, rows = _rrf(x, "top")
+        listed = rows.filter("a > 0").select("query_id", "passage_id", (F.col("a") / lexical.UNIT).alias("score"))
+        return op.rank_moves(op.top_ties(listed), op.top_ties(fused))
+
+    return _lists(spark, d, run, *BOTH).select("query_id", "passage_id", F.col("moved").cast("int").alias("moved"))
 
 
 def removal_steps(spark, d):
